@@ -146,9 +146,8 @@ def highlight_span(documents: DataFrame, spans: DataFrame, key: str = "doc_id")
 def initial_scope(documents: DataFrame, runs: DataFrame) -> DataFrame:
     """Every document of a run's corpus, for runs over the whole corpus."""
     initial = runs.where(F.col("kind") == "initial").select("run_id", "corpus_id")
-    return initial.join(documents, "corpus_id").select(
-        "run_id", "corpus_id", "doc_id", "filename", "ingested_at"
-    )
+    listed = documents.select("corpus_id", "doc_id", "filename", "ingested_at")
+    return initial.join(listed, "corpus_id").select("run_id", *listed.columns)
 
 
 def run_scope(documents: DataFrame, runs: DataFrame, neighbors: DataFrame) -> DataFrame:
@@ -160,5 +159,5 @@ def run_scope(documents: DataFrame, runs: DataFrame, neighbors: DataFrame) -> Da
     update = runs.where(F.col("kind") == "update")
     trigger = update.select("run_id", F.col("triggering_document_id").alias("doc_id"))
     wanted = trigger.unionByName(neighbors.select("run_id", "doc_id")).distinct()
-    narrow = wanted.join(documents, "doc_id").select(columns)
+    narrow = wanted.join(documents.select("corpus_id", "doc_id", "filename"), "doc_id").select(columns)
     return initial_scope(documents, runs).select(columns).unionByName(narrow)

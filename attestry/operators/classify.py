@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions.json import json_text
 from attestry.functions.ordering import position
 
 BATCH_SIZE = 3
@@ -38,15 +39,21 @@ def classification_batches(
     return (
         placed.withColumn("batch", F.floor(F.col("_position") / size))
         .groupBy(*groups, "batch")
-        .agg(F.to_json(F.transform(ordered, lambda p: p["item"])).alias("payload"))
+        .agg(json_text(F.transform(ordered, lambda p: p["item"])).alias("payload"))
     )
 
 
 def json_list_problem(response: Column) -> Column:
-    """Why a response is not a JSON list; null when it is one."""
-    value = F.try_parse_json(response)
-    return F.when(value.isNull(), F.lit("not JSON")).when(
-        ~F.schema_of_variant(value).startswith("ARRAY"), F.lit("not a list")
+    """Why a response is not a JSON list; null when it is one.
+
+    The JSON reader stops after the first value. Text behind it is found by
+    reading the response once as an array item and once as an object member:
+    only a single complete value fits both.
+    """
+    item = F.try_parse_json(F.concat(F.lit("["), response, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v": '), response, F.lit("}")))
+    return F.when(item.isNull() | member.isNull(), F.lit("not JSON")).when(
+        ~F.startswith(F.schema_of_variant(item), F.lit("ARRAY<ARRAY")), F.lit("not a list")
     )
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions.json import json_text
 from attestry.operators.register import FEATURE, SINGLE_FIELDS, entry_id
 
 
@@ -133,7 +134,7 @@ def commit_events(
         return df.select(
             "run_id",
             F.lit(event_type).alias("event_type"),
-            F.to_json(F.struct(*payload)).alias("payload"),
+            json_text(F.struct(*payload)).alias("payload"),
         )
 
     approved = additions.where(F.col("status") == "approved")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions.json import json_text
 from attestry.functions.ids import PROPOSAL_NAMESPACE, uuid5
 
 GROUP = ["run_id", "subject", "predicate"]
@@ -96,7 +97,7 @@ def conflict_events(conflicts: DataFrame) -> DataFrame:
     return conflicts.select(
         "run_id",
         F.lit("conflict_detected").alias("event_type"),
-        F.to_json(
+        json_text(
             F.struct(
                 "conflict_id",
                 "subject",

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions.json import json_text
 from attestry.functions.injection import smells
 from attestry.functions.text import wrap_source
 from attestry.operators.classify import json_list_problem
@@ -110,7 +111,7 @@ def rejected_claims(verified: DataFrame, key: str = "claim_id") -> DataFrame:
         "run_id",
         key,
         F.lit("claim_rejected_bad_quote").alias("event_type"),
-        F.to_json(
+        json_text(
             F.struct(
                 F.col("doc_id").cast("string").alias("document_id"),
                 "subject",

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions.json import json_text
 from attestry.functions.ids import PROPOSAL_NAMESPACE, proposal_id, uuid5
 from attestry.functions.text import slugify
 
@@ -303,12 +304,12 @@ def diff_events(
     proposed = additions.join(backing, "item_id", "left").select(
         "run_id",
         F.lit("register_entry_proposed").alias("event_type"),
-        F.to_json(F.struct("feature_key", "fields", "claim_ids")).alias("payload"),
+        json_text(F.struct("feature_key", "fields", "claim_ids")).alias("payload"),
     )
     changed = changes.select(
         "run_id",
         F.lit("register_field_change_proposed").alias("event_type"),
-        F.to_json(
+        json_text(
             F.struct(
                 F.col("entry_id").alias("register_entry_id"),
                 "feature_key",
@@ -322,7 +323,7 @@ def diff_events(
     same = unaffected.select(
         "run_id",
         F.lit("register_entry_unaffected").alias("event_type"),
-        F.to_json(F.struct("feature_key", F.col("entry_id").alias("register_entry_id"))).alias("payload"),
+        json_text(F.struct("feature_key", F.col("entry_id").alias("register_entry_id"))).alias("payload"),
     )
     active = additions.select("run_id").unionByName(changes.select("run_id"))
     reason = F.when(
@@ -331,6 +332,6 @@ def diff_events(
     empty = runs.join(active, "run_id", "left_anti").select(
         "run_id",
         F.lit("register_diff_empty").alias("event_type"),
-        F.to_json(F.struct(reason.alias("reason"))).alias("payload"),
+        json_text(F.struct(reason.alias("reason"))).alias("payload"),
     )
     return proposed.unionByName(changed).unionByName(same).unionByName(empty)

@@ -157,15 +157,14 @@ def run_counts(runs: DataFrame, claims: DataFrame, conflicts: DataFrame, finding
 
 def run_cost(costs: DataFrame) -> DataFrame:
     """Calls, tokens, latency and dollars per run and stage, plus a total row (stage null)."""
+    measures = ["calls", "input_tokens", "output_tokens", "latency_ms", "micro_usd"]
+    stages = costs.groupBy("run_id", "stage").agg(
+        F.count("*").alias("calls"), *[F.sum(m).alias(m) for m in measures[1:]]
+    )
+    # the total is taken over the stage sums, not over the calls a second time
     return (
-        costs.groupingSets([["run_id", "stage"], ["run_id"]], "run_id", "stage")
-        .agg(
-            F.count("*").alias("calls"),
-            F.sum("input_tokens").alias("input_tokens"),
-            F.sum("output_tokens").alias("output_tokens"),
-            F.sum("latency_ms").alias("latency_ms"),
-            F.sum("micro_usd").alias("micro_usd"),
-        )
+        stages.groupingSets([["run_id", "stage"], ["run_id"]], "run_id", "stage")
+        .agg(*[F.sum(m).alias(m) for m in measures])
         .withColumn("usd_cost", as_usd(F.col("micro_usd")))
     )
 

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions.json import json_text
 from attestry.functions.ids import PROPOSAL_NAMESPACE, uuid5
 from attestry.functions.text import quoted, wrap_source
 
@@ -233,7 +234,7 @@ def rule_evidence(
             "rule_id",
             "subject",
             "claim_id",
-            F.to_json(
+            json_text(
                 F.struct(
                     "subject",
                     "predicate",
@@ -349,5 +350,5 @@ def examine_clean(runs: DataFrame, violations: DataFrame, rules: Sequence[Rule])
     return runs.join(violations.select("run_id"), "run_id", "left_anti").select(
         "run_id",
         F.lit("examine_clean").alias("event_type"),
-        F.to_json(F.struct(names.alias("rules_evaluated"))).alias("payload"),
+        json_text(F.struct(names.alias("rules_evaluated"))).alias("payload"),
     )

@@ -123,4 +123,5 @@ def compose(query: str) -> str:
     if not needed:
         return query
     head = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in needed)
-    return f"WITH {head}\n{query}"
+    own = re.match(r"(?is)\s*with\s+(.*)", query)
+    return f"WITH {head},\n{own.group(1)}" if own else f"WITH {head}\n{query}"

@@ -27,6 +27,7 @@ def local_session(cores: str = "8", app: str = "attestry") -> SparkSession:
         .appName(app)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
     )
     for key, value in SETTINGS.items():

@@ -45,13 +45,12 @@ def csv_cell(value: Column) -> Column:
 
 def register_export_csv(entries: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One CSV line per entry, plus the ``keep`` columns."""
-    table = export_table(entries.select("feature_key", "fields"))
     fields = entries.schema["fields"].dataType
-    cells = [csv_cell(F.coalesce("feature_key", F.lit("")))] + [
+    cells = [
         csv_cell(flat_text(F.col(f"fields.{name}"), fields[name].dataType)) for name in field_order(fields)
     ]
-    assert len(cells) == len(table.columns)
-    return entries.select(*keep, "feature_key", F.concat_ws(",", *cells).alias("line"))
+    line = F.concat_ws(",", csv_cell(F.col("feature_key")), *cells)
+    return entries.select(*keep, "feature_key", line.alias("line"))
 
 
 def csv_header(entries: DataFrame) -> str:
