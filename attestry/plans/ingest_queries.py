@@ -225,7 +225,7 @@ def dedupe_by_filename(spark, sf_dir):
     "SELECT doc_id, idx, chunk_id, char_start, char_end, text FROM chunks",
 )
 def chunk_documents(spark, sf_dir):
-    return views.chunks(spark, sf_dir).select(
+    return views.cut_chunks(spark, sf_dir).select(
         "doc_id", "idx", "chunk_id", "char_start", "char_end", "text"
     )
 

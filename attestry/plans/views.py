@@ -8,10 +8,15 @@ grows with the documents and a feature keeps a bounded number of claims.
 
 from __future__ import annotations
 
+import functools
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.operators.chunks import chunk_documents
+from attestry.session import shared_dir
 
 # Classification labels in the order the derived column cycles through. Fixed values.
 DOC_TYPES = [
@@ -26,10 +31,43 @@ DOC_TYPES = [
 CHUNKS_PER_DOCUMENT = 1_000_000
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+_LOCK = threading.RLock()
+
+
+def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A derived table that is written once per session to the shared folder, then read.
+
+    Chunks, claims or the register are stored tables in use; deriving them anew
+    in every query that reads them would repeat the whole ingestion.
+    """
+
+    @functools.wraps(build)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, f"{build.__module__}.{build.__name__}")
+        with _LOCK:
+            if key not in _WRITTEN:
+                path = shared_dir(spark, build.__name__)
+                build(spark, sf_dir).write.parquet(path)
+                _WRITTEN[key] = path
+        return spark.read.parquet(_WRITTEN[key])
+
+    return read
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files give fewer splits than there are cores.
+
+    Large inputs have more splits than that and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _era(doc_id: Column) -> Column:
     return F.floor(doc_id / 1000)
 
@@ -55,7 +93,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id, text = F.col("doc_id"), F.col("text")
     types = F.array(*[F.lit(t) for t in DOC_TYPES])
     newline = F.lit("\n")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.col("source").alias("corpus_id"),
         F.concat(F.lit("doc_"), doc_id.cast("string"), F.lit(".md")).alias("filename"),
@@ -75,16 +113,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cut_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = ["doc_id", "corpus_id", "run_id", "lang"]
     cut = chunk_documents(documents(spark, sf_dir), keep)
     chunk_id = F.col("doc_id") * CHUNKS_PER_DOCUMENT + F.col("idx")
     return cut.withColumn("chunk_id", chunk_id)
 
 
+@stored
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_chunks(spark, sf_dir)
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One initial run per corpus and one update run per corpus and era."""
-    docs = documents(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("corpus_id"), run_of(F.col("doc_id"), F.col("source")).alias("run_id")
+    )
     kind = F.when(F.col("run_id").endswith(":initial"), F.lit("initial")).otherwise(F.lit("update"))
     return (
         docs.groupBy("run_id", "corpus_id")
@@ -141,11 +186,13 @@ def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claim_candidates(spark, sf_dir).where((n % 11 != 0) & (n % 13 != 0) & (n % 17 != 0))
 
 
+@stored
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored claims: exactly the candidates that quote verification keeps."""
     return _accepted(spark, sf_dir).drop("sources", "doc_id", "idx")
 
 
+@stored
 def claim_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _accepted(spark, sf_dir).select("claim_id", F.inline("sources"))
 
@@ -174,7 +221,7 @@ def audit_view(events: DataFrame) -> DataFrame:
         .otherwise(F.concat(stage, phase))
         .alias("event_type"),
         F.col("props").alias("payload"),
-        F.col("ts").alias("occurred_at"),
+        F.col("ts").cast("timestamp").alias("occurred_at"),
     )
 
 
@@ -200,5 +247,71 @@ def cost_view(events: DataFrame) -> DataFrame:
         F.floor(F.col("value") * 10).cast("long").alias("input_tokens"),
         (F.col("event_id") % 500).alias("output_tokens"),
         (F.col("event_id") % 1000).alias("latency_ms"),
-        F.col("ts").alias("occurred_at"),
+        F.col("ts").cast("timestamp").alias("occurred_at"),
+    )
+
+
+def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs that the audit and cost events belong to."""
+    return (
+        table(spark, sf_dir, "events")
+        .groupBy(F.col("user_id").alias("run_id"))
+        .agg(F.min(F.col("ts").cast("timestamp")).alias("started_at"))
+        .withColumn("corpus_id", F.concat(F.lit("src"), (F.col("run_id") % 20).cast("string")))
+    )
+
+
+def corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpora with a name and an inbox; several share one inbox, some are not listed."""
+    number = F.substr(F.col("source"), F.lit(4)).cast("int")
+    return (
+        table(spark, sf_dir, "documents")
+        .groupBy("source")
+        .agg(F.min("doc_id").alias("first_doc"))
+        .where(number % 7 != 3)
+        .select(
+            F.col("source").alias("corpus_id"),
+            F.concat(F.lit("Corpus "), number.cast("string")).alias("name"),
+            F.concat(F.lit("/inbox/"), (number % 6).cast("string")).alias("inbox_path"),
+            F.timestamp_micros(
+                F.lit(1704067200000000) + F.col("first_doc") * F.lit(60000000)
+            ).alias("created_at"),
+        )
+    )
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with a vector where the given vectors have one; every ninth stays without."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return (
+        chunks(spark, sf_dir)
+        .withColumn("vec_id", F.col("doc_id") + F.col("idx"))
+        .join(vectors.where(F.col("vec_id") % 9 != 0), "vec_id", "left")
+        .drop("vec_id")
+    )
+
+
+def _as_queries(spark: SparkSession, sf_dir: str, texts: DataFrame) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")
+    )
+    return texts.withColumn(
+        "corpus_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"))
+    ).join(vectors, "query_id", "left")
+
+
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query")
+    )
+    return _as_queries(spark, sf_dir, texts)
+
+
+def conversation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The opening turn of every conversation as a query."""
+    texts = (
+        table(spark, sf_dir, "conversations")
+        .groupBy(F.col("conv_id").alias("query_id"))
+        .agg(F.min_by("text", "turn").alias("query"))
     )
+    return _as_queries(spark, sf_dir, texts)

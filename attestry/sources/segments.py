@@ -77,8 +77,14 @@ def csv_parts(content: str) -> list[str]:
 
 
 def json_parts(content: str) -> list[str]:
-    """One part per element: its path, then the element as indented JSON."""
-    data = json.loads(content)
+    """One part per element: its path, then the element as indented JSON.
+
+    A file that is no JSON has no parts; it must not fail the files beside it.
+    """
+    try:
+        data = json.loads(content)
+    except ValueError:
+        return []
     if isinstance(data, list):
         members = [(f"$[{i}]", member) for i, member in enumerate(data)]
     elif isinstance(data, dict):
