@@ -154,7 +154,8 @@ def quarantine_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``responses``: ``run_id, doc_id, response``. The smells are computed in the
     row itself; nothing is shuffled.
     """
-    scanned = responses.withColumn("_smells", smells(F.col("response")))
+    # a generator, unlike a projection, is not repeated in the filters above it
+    scanned = responses.select("*", F.explode(F.array(smells(F.col("response")))).alias("_smells"))
     clean = scanned.where(F.size("_smells") == 0).drop("_smells")
     listed = F.array_join(
         F.transform(

@@ -246,7 +246,7 @@ def examine_clean(spark, sf_dir):
 SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown') AS slug FROM documents""",
 )
 def slugify_query(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", slugify(F.col("text")).alias("slug"))
+    return views.raw_documents(spark, sf_dir).select("doc_id", slugify(F.col("text")).alias("slug"))
 
 
 @query(

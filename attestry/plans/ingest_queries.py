@@ -30,7 +30,7 @@ def document_files(spark, sf_dir):
         .otherwise(text)
     )
     raw = F.encode(body, "UTF-8")
-    return views.table(spark, sf_dir, "documents").select(
+    return views.raw_documents(spark, sf_dir).select(
         F.concat(F.lit("/inbox/"), "source", F.lit("/doc_"), doc_id.cast("string"), suffix).alias("path"),
         F.lit(None).cast("timestamp").alias("modificationTime"),
         F.length(raw).cast("long").alias("length"),
@@ -73,7 +73,7 @@ def reject_unsupported(spark, sf_dir):
     "SELECT doc_id, sha256(text) AS content_hash FROM documents",
 )
 def content_hash(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select(
+    return views.raw_documents(spark, sf_dir).select(
         "doc_id", file_ops.content_hash(F.encode("text", "UTF-8")).alias("content_hash")
     )
 

@@ -437,7 +437,7 @@ SELECT doc_id, CASE WHEN regexp_matches(text, '[",\\n]') THEN '"' || replace(tex
 )
 def csv_cells(spark, sf_dir):
     """The export's quoting rule over whole texts."""
-    return views.table(spark, sf_dir, "documents").select("doc_id", export.csv_cell(F.col("text")).alias("cell"))
+    return views.raw_documents(spark, sf_dir).select("doc_id", export.csv_cell(F.col("text")).alias("cell"))
 
 
 @query(

@@ -89,11 +89,15 @@ def subject_of(doc_id: Column, lang: Column) -> Column:
     return F.when(doc_id % 3 == 0, F.lower(F.replace(title, F.lit("."), F.lit("/")))).otherwise(title)
 
 
+def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id, text = F.col("doc_id"), F.col("text")
     types = F.array(*[F.lit(t) for t in DOC_TYPES])
     newline = F.lit("\n")
-    return spread(table(spark, sf_dir, "documents")).select(
+    return raw_documents(spark, sf_dir).select(
         "doc_id",
         F.col("source").alias("corpus_id"),
         F.concat(F.lit("doc_"), doc_id.cast("string"), F.lit(".md")).alias("filename"),

@@ -7,6 +7,7 @@ import io
 import json
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,35 +95,46 @@ def json_parts(content: str) -> list[str]:
     return [f"{path}\n{json.dumps(member, indent=2, ensure_ascii=False)}" for path, member in members]
 
 
+PART_SEPARATOR = "\n\n"
+
+
 def _split_files(documents: DataFrame, key: str, split) -> DataFrame:
-    """Run a per-file splitter over Arrow batches; one output row per part."""
+    """Run a per-file splitter over Arrow batches; one output row per part.
+
+    A file arrives whole, so the offsets of its parts in their joined text are
+    a running sum right there: no shuffle.
+    """
     key_type = documents.schema[key].dataType.simpleString()
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file_key, content in zip(batch[key], batch["text"]):
                 found = split(content)
+                widths = np.array([len(part) for part in found], dtype=np.int64)
+                ends = np.cumsum(widths + len(PART_SEPARATOR)) - len(PART_SEPARATOR)
                 yield pd.DataFrame(
-                    {key: [file_key] * len(found), "seg": range(len(found)), "text": found}
+                    {
+                        key: [file_key] * len(found),
+                        "seg": range(len(found)),
+                        "text": found,
+                        "char_start": ends - widths,
+                        "char_end": ends,
+                    }
                 )
 
     return documents.select(key, "text").mapInPandas(
-        parts, schema=f"{key} {key_type}, seg int, text string"
+        parts, schema=f"{key} {key_type}, seg int, text string, char_start long, char_end long"
     )
 
 
 def segment_csv_rows(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """CSV files to one part per data row, with offsets in the joined text."""
-    return _with_offsets(_split_files(documents, key, csv_parts), key)
+    return _split_files(documents, key, csv_parts)
 
 
 def segment_json_elements(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """JSON files to one part per top-level element, with offsets in the joined text."""
-    return _with_offsets(_split_files(documents, key, json_parts), key)
-
-
-def _with_offsets(parts: DataFrame, key: str) -> DataFrame:
-    return concat_segments(parts, [key], "seg", "\n\n")
+    return _split_files(documents, key, json_parts)
 
 
 # Rows of one block of a document; bounds the work of a single window.
