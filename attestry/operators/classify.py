@@ -68,47 +68,52 @@ def parse_classifications(
     requested document without an answer.
     """
     keys = list(keys)
-    checked = responses.withColumn("_problem", json_list_problem(F.col("response")))
-    broken = checked.where(F.col("_problem").isNotNull()).select(
-        *keys, F.lit(None).cast("string").alias("document_id"), F.col("_problem").alias("error")
+    # a batch asks for a handful of documents, so all of it is judged in its row
+    asked = requested.groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.col("document_id").cast("string"))).alias("_asked")
     )
     schema = "array<struct<document_id string, doc_type string, confidence string>>"
-    items = (
-        checked.where(F.col("_problem").isNull())
-        .select(*keys, F.posexplode(F.from_json("response", schema)).alias("pos", "item"))
-        .select(
-            *keys,
-            "pos",
-            "item.document_id",
-            "item.doc_type",
-            F.col("item.confidence").try_cast("double").alias("confidence"),
+    problem = F.col("_problem")
+
+    def item_error(item: Column) -> Column:
+        confidence = item["confidence"].try_cast("double")
+        error = (
+            F.when(
+                item["document_id"].isNull() | item["doc_type"].isNull() | confidence.isNull(),
+                F.lit("incomplete item"),
+            )
+            .when(~F.array_contains("_asked", item["document_id"]), F.lit("document not in batch"))
+            .when(~item["doc_type"].isin(DOC_TYPES), F.lit("unknown type"))
         )
+        return F.struct(item["document_id"].alias("document_id"), error.alias("error"))
+
+    answered = F.transform("_items", lambda item: item["document_id"])
+    missing = F.transform(
+        F.array_except("_asked", answered),
+        lambda d: F.struct(d.alias("document_id"), F.lit("missing document").alias("error")),
     )
-    asked = requested.select(*keys, F.col("document_id").cast("string").alias("document_id"))
-    known = items.join(asked.withColumn("_asked", F.lit(True)), [*keys, "document_id"], "left")
-    error = (
-        F.when(
-            F.col("document_id").isNull() | F.col("doc_type").isNull() | F.col("confidence").isNull(),
-            F.lit("incomplete item"),
+    wrong = F.filter(F.transform("_items", item_error), lambda e: e["error"].isNotNull())
+    broken = F.array(F.struct(F.lit(None).cast("string").alias("document_id"), problem.alias("error")))
+    judged = (
+        responses.join(asked, keys)
+        .withColumn("_problem", json_list_problem(F.col("response")))
+        .withColumn("_items", F.from_json("response", schema))
+        .select(
+            *keys,
+            "_items",
+            F.explode(
+                F.array(F.when(problem.isNotNull(), broken).otherwise(F.concat(wrong, missing)))
+            ).alias("_errors"),
         )
-        .when(F.col("_asked").isNull(), F.lit("document not in batch"))
-        .when(~F.col("doc_type").isin(DOC_TYPES), F.lit("unknown type"))
-    )
-    judged = known.withColumn("error", error)
-    wrong = judged.where(F.col("error").isNotNull()).select(*keys, "document_id", "error")
-    sound = checked.where(F.col("_problem").isNull()).select(*keys)
-    missing = (
-        asked.join(sound, keys, "left_semi")
-        .join(items.select(*keys, "document_id"), [*keys, "document_id"], "left_anti")
-        .select(*keys, "document_id", F.lit("missing document").alias("error"))
     )
-    errors = broken.unionByName(wrong).unionByName(missing)
+    errors = judged.select(*keys, F.inline("_errors"))
     rows = (
-        judged.where(F.col("error").isNull())
-        .join(errors.select(*keys), keys, "left_anti")
-        .groupBy(*keys, "document_id")
-        .agg(F.max_by(F.struct("doc_type", "confidence"), "pos").alias("_last"))
-        .select(*keys, "document_id", "_last.doc_type", "_last.confidence")
+        judged.where(F.size("_errors") == 0)
+        .select(*keys, F.posexplode("_items").alias("_pos", "_item"))
+        .groupBy(*keys, F.col("_item.document_id").alias("document_id"))
+        # of two answers on one document the later one stands
+        .agg(F.max_by(F.struct("_item.doc_type", "_item.confidence"), "_pos").alias("_last"))
+        .select(*keys, "document_id", "_last.doc_type", F.col("_last.confidence").cast("double").alias("confidence"))
     )
     return rows, errors
 

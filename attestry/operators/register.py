@@ -194,13 +194,48 @@ def affected_rows(rows: DataFrame, affected: DataFrame) -> DataFrame:
     return _keyed(rows).join(affected.select(*FEATURE).distinct(), FEATURE, "left_semi").drop("feature_key")
 
 
-def stored_backing(entries: DataFrame, field_sources: DataFrame) -> DataFrame:
-    """Per entry field: how many claims back it and the one, if it is only one."""
-    return (
+def judge_fields(
+    rows: DataFrame, affected: DataFrame, entries: DataFrame, field_sources: DataFrame
+) -> DataFrame:
+    """New and stored state of every field of the touched features, one row per field.
+
+    ``values`` are the field's new values in order, ``newcomer`` the lowest
+    winning claim, as text, that is not stored for the field, ``backing`` the
+    number of claims stored for it. Grouping is by feature and field and
+    combines before the shuffle; only winners take part.
+    """
+    won = winners(affected_rows(rows, affected))
+    stored = (
         entries.select("entry_id", *FEATURE)
         .join(field_sources.select("entry_id", "field", "claim_id").distinct(), "entry_id")
+        .select(*FEATURE, "field", "claim_id", F.lit(True).alias("_stored"))
+    )
+    backing = stored.groupBy(*FEATURE, "field").agg(F.count("*").alias("backing"))
+    fresh = F.col("_stored").isNull()
+    ordered = F.array_sort(F.collect_list(F.struct("trust", "value")))
+    return (
+        won.join(stored, [*FEATURE, "field", "claim_id"], "left")
         .groupBy(*FEATURE, "field")
-        .agg(F.count("*").alias("_backing"), F.min("claim_id").alias("_backed_by"))
+        .agg(
+            F.transform(ordered, lambda v: v["value"]).alias("values"),
+            F.min("claim_id").alias("winner"),
+            F.min_by("claim_id", F.when(fresh, F.col("claim_id").cast("string"))).alias("newcomer"),
+        )
+        .join(backing, [*FEATURE, "field"], "left")
+    )
+
+
+def _fold(judged: DataFrame) -> DataFrame:
+    """Fields of a feature, one row per field, to one ``fields`` struct."""
+
+    def values(field: str) -> Column:
+        return F.max(F.when(F.col("field") == field, F.col("values")))
+
+    return judged.groupBy("run_id", *FEATURE).agg(
+        F.struct(
+            *[F.get(values(f), F.lit(0)).alias(f) for f in ["name", *SINGLE_FIELDS]],
+            F.coalesce(values("open_risks"), F.array().cast("array<string>")).alias("open_risks"),
+        ).alias("fields")
     )
 
 
@@ -223,66 +258,42 @@ def diff_register(
     not stored yet; the lowest such id, as text, stands for the change. A field
     without a winner never changes.
     """
-    won = winners(affected_rows(rows, affected))
-    fresh = fields_of(won)
-    nothing = F.struct(
-        *[F.lit(None).cast("string").alias(name) for name in ["name", *SINGLE_FIELDS]],
-        F.array().cast("array<string>").alias("open_risks"),
+    fields = judge_fields(rows, affected, entries, field_sources)
+    known = entries.select("entry_id", *FEATURE, "fields")
+    # a touched feature without any claim row keeps one row with empty fields
+    judged = affected.join(fields, FEATURE, "left").join(known, FEATURE, "left")
+    multi = F.col("field") == "open_risks"
+    changed = F.when(multi, F.col("newcomer").isNotNull()).otherwise(
+        F.col("newcomer").isNotNull() | (F.col("backing") != 1)
     )
-    proposed = affected.join(fresh, FEATURE, "left").withColumn("fields", F.coalesce("fields", nothing))
-    known = entries.select(*FEATURE)
-    additions = proposed.join(known, FEATURE, "left_anti").select(
+    judged = judged.withColumn(
+        "changed", F.coalesce(F.col("field").isNotNull() & changed, F.lit(False))
+    )
+    additions = _fold(judged.where(F.col("entry_id").isNull())).select(
         proposal_id(F.col("run_id"), F.col("feature_key")).alias("item_id"),
         "run_id",
         *FEATURE,
         "fields",
         F.lit("pending").alias("status"),
     )
-
-    backing = stored_backing(entries, field_sources)
-    existing = won.join(known, FEATURE, "left_semi")
-    single = (
-        existing.where(F.col("field") != "open_risks")
-        .join(backing, [*FEATURE, "field"], "left")
-        .where(~((F.coalesce("_backing", F.lit(0)) == 1) & (F.col("_backed_by") == F.col("claim_id"))))
-        .select(*FEATURE, "field", "claim_id")
-    )
-    stored_risks = (
-        entries.select("entry_id", *FEATURE)
-        .join(field_sources.where(F.col("field") == "open_risks").select("entry_id", "claim_id"), "entry_id")
-        .select(*FEATURE, "claim_id")
-    )
-    multi = (
-        existing.where(F.col("field") == "open_risks")
-        .join(stored_risks, [*FEATURE, "claim_id"], "left_anti")
-        .groupBy(*FEATURE, "field")
-        .agg(F.min_by("claim_id", F.col("claim_id").cast("string")).alias("claim_id"))
-    )
     field = F.col("field")
-    changes = (
-        single.unionByName(multi)
-        .join(affected, FEATURE)
-        .join(fresh.withColumn("_new", F.col("fields")).drop("fields"), FEATURE)
-        .join(entries.select("entry_id", *FEATURE, "fields"), FEATURE)
-        .withColumn("old_value", _stored_value(field))
-        .withColumn("fields", F.col("_new"))
-        .withColumn("new_value", _stored_value(field))
-        .select(
-            proposal_id(F.col("run_id"), F.col("feature_key"), field).alias("item_id"),
-            "run_id",
-            *FEATURE,
-            "entry_id",
-            "field",
-            "old_value",
-            "new_value",
-            "claim_id",
-            F.lit("pending").alias("status"),
-        )
+    changes = judged.where(F.col("entry_id").isNotNull() & F.col("changed")).select(
+        proposal_id(F.col("run_id"), F.col("feature_key"), field).alias("item_id"),
+        "run_id",
+        *FEATURE,
+        "entry_id",
+        "field",
+        _stored_value(field).alias("old_value"),
+        F.col("values").alias("new_value"),
+        F.when(multi, F.col("newcomer")).otherwise(F.col("winner")).alias("claim_id"),
+        F.lit("pending").alias("status"),
     )
     unaffected = (
-        affected.join(entries.select("entry_id", *FEATURE), FEATURE)
-        .join(changes.select("run_id", *FEATURE), ["run_id", *FEATURE], "left_anti")
-        .select("run_id", *FEATURE, "entry_id")
+        judged.where(F.col("entry_id").isNotNull())
+        .groupBy("run_id", *FEATURE, "entry_id")
+        .agg(F.bool_or("changed").alias("_changed"))
+        .where(~F.col("_changed"))
+        .drop("_changed")
     )
     return additions, changes, unaffected
 

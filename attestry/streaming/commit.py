@@ -39,11 +39,16 @@ def stream_commit(
     One query is the only writer of a register, so commits are serial. A batch
     starts from the snapshot before its own number, and so gives the same
     snapshot when it is run again. ``prepare`` turns a batch into review rows.
+    Items that an earlier batch decided are listed in ``folder``/decided and
+    are not applied a second time.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         decisions = batch if prepare is None else prepare(batch)
+        decided = read_batches(spark, f"{folder}/decided", before=number)
+        if decided is not None:
+            decisions = decisions.join(decided.select("item_id"), "item_id", "left_anti")
         before = latest_snapshot(spark, f"{folder}/entries", before=number)
         backing = latest_snapshot(spark, f"{folder}/field_sources", before=number)
         after, sources = next_snapshot(
@@ -54,6 +59,7 @@ def stream_commit(
             register_decisions(changes, decisions),
             mode,
         )
+        write_batch(decisions.select("item_id").distinct(), f"{folder}/decided", number)
         write_batch(sources, f"{folder}/field_sources", number)
         write_batch(after, f"{folder}/entries", number)
 
