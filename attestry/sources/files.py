@@ -20,7 +20,10 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 
 
 def read_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """Files of ``folder`` as ``(path, modificationTime, length, content)``."""
+    """Files of ``folder`` as ``(path, modificationTime, length, content)``.
+
+    Spark's file scan leaves out files of length zero.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     return reader.load(folder)
 

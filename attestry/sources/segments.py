@@ -110,6 +110,8 @@ def _split_files(documents: DataFrame, key: str, split) -> DataFrame:
         for batch in batches:
             for file_key, content in zip(batch[key], batch["text"]):
                 found = split(content)
+                if not found:
+                    continue
                 widths = np.array([len(part) for part in found], dtype=np.int64)
                 ends = np.cumsum(widths + len(PART_SEPARATOR)) - len(PART_SEPARATOR)
                 yield pd.DataFrame(

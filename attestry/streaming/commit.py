@@ -18,8 +18,9 @@ def latest_snapshot(spark: SparkSession, folder: str, before: int | None = None)
     written = read_batches(spark, folder, before)
     if written is None:
         return None
-    newest = written.agg(F.max("batch").alias("batch"))
-    return written.join(F.broadcast(newest), "batch").drop("batch")
+    newest = written.agg(F.max("batch")).first()[0]
+    # a fixed number, so that only the files of this snapshot are read
+    return None if newest is None else written.where(F.col("batch") == newest).drop("batch")
 
 
 def stream_commit(
