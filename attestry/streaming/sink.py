@@ -20,6 +20,8 @@ def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
 
 def read_batches(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
     """All written batches (or those before one), or None when there is none yet."""
+    if before == 0:
+        return None
     try:
         found = spark.read.parquet(folder)
     except AnalysisException:
