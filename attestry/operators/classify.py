@@ -136,6 +136,15 @@ def low_confidence_escalations(classifications: DataFrame) -> DataFrame:
     return classifications.where(F.col("confidence") < ESCALATION_THRESHOLD)
 
 
+def escalation_events(classifications: DataFrame) -> DataFrame:
+    """``classify_escalated`` audit records, one per document and not one list per run."""
+    return low_confidence_escalations(classifications).select(
+        "run_id",
+        F.lit("classify_escalated").alias("event_type"),
+        json_text(F.struct("document_id", "doc_type", "confidence")).alias("payload"),
+    )
+
+
 def classification_review_flags(classifications: DataFrame) -> DataFrame:
     """Per run: whether any classification needs a person, and how many do."""
     low = F.col("confidence") < ESCALATION_THRESHOLD

@@ -198,3 +198,14 @@ def review_gate(runs: DataFrame, pending: DataFrame) -> DataFrame:
         result = result.withColumn(name, F.coalesce(name, F.lit(0)))
     waiting = F.col("conflicts") + F.col("findings") + F.col("register_changes")
     return result.withColumn("gated", waiting > 0)
+
+
+def gate_outcome(runs: DataFrame, gate: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(runs, events)`` after the gate: a gated run awaits review, a clean one leaves a record."""
+    gated = gate.select("run_id", "gated")
+    status = F.when(F.col("gated"), F.lit("awaiting_review")).otherwise(F.col("status"))
+    moved = runs.join(gated, "run_id", "left").withColumn("status", status).select(*runs.columns)
+    events = gated.where(~F.col("gated")).select(
+        "run_id", F.lit("human_gate_clean").alias("event_type"), F.lit("{}").alias("payload")
+    )
+    return moved, events

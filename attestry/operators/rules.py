@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions.injection import smells
 from attestry.functions.json import json_text
 from attestry.functions.ids import PROPOSAL_NAMESPACE, uuid5
 from attestry.functions.text import quoted, wrap_source
@@ -277,6 +278,29 @@ def apply_verdicts(responses: DataFrame, claims: DataFrame, rules: Sequence[Rule
     )
 
 
+def quarantine_verdicts(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(clean, findings)``: a verdict response with any smell is set aside whole.
+
+    Every smell of it becomes a warning of the run.
+    """
+    # a generator, unlike a projection, is not repeated in the filters above it
+    scanned = responses.select("*", F.explode(F.array(smells(F.col("response")))).alias("_smells"))
+    clean = scanned.where(F.size("_smells") == 0).drop("_smells")
+    findings = scanned.select("run_id", F.inline("_smells")).select(
+        "run_id",
+        F.lit("possible_prompt_injection").alias("rule_id"),
+        F.lit("warning").alias("severity"),
+        F.lit(None).cast("string").alias("subject"),
+        F.concat(
+            F.lit("examine: possible prompt injection smell in LLM response ("),
+            "category",
+            F.lit("): "),
+            quoted(F.col("excerpt")),
+        ).alias("message"),
+    )
+    return clean, findings
+
+
 def evaluate_rules(
     claims: DataFrame,
     runs: DataFrame,
@@ -344,6 +368,15 @@ def findings_and_sources(
     return findings, sources
 
 
+def finding_events(findings: DataFrame) -> DataFrame:
+    """One ``examine_finding`` audit record per finding."""
+    return findings.select(
+        "run_id",
+        F.lit("examine_finding").alias("event_type"),
+        json_text(F.struct("finding_id", "rule_id", "severity", "subject")).alias("payload"),
+    )
+
+
 def examine_clean(runs: DataFrame, violations: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One ``examine_clean`` record per run without a violation."""
     names = F.array(*[F.lit(rule.rule_id) for rule in rules])

@@ -11,6 +11,7 @@ from attestry.operators import conflicts, register, rules
 from attestry.operators.rules import Rule
 from attestry.plans import tables, views
 from attestry.plans.check_sql import uuid5
+from attestry.plans.ingest_queries import BAITED_SQL, baited_responses, smell_sql
 from attestry.plans.registry import query
 
 # ---------------------------------------------------------------- conflicts
@@ -225,6 +226,29 @@ def findings_and_sources(spark, sf_dir):
     )
 
 
+@query(
+    "quarantine_verdicts",
+    BAITED_SQL
+    + f""", hits AS (SELECT * FROM ({smell_sql()}) WHERE excerpt <> '')
+SELECT run_id, NULL AS rule_id, NULL AS message, doc_id FROM baited WHERE doc_id NOT IN (SELECT doc_id FROM hits)
+UNION ALL SELECT run_id, 'possible_prompt_injection', 'examine: possible prompt injection smell in LLM response (' || category || '): ''' || excerpt || '''', NULL FROM hits""",
+)
+def quarantine_verdicts(spark, sf_dir):
+    clean, findings = rules.quarantine_verdicts(baited_responses(spark, sf_dir))
+    return clean.select("run_id", "doc_id").unionByName(
+        findings.select("run_id", "rule_id", "message"), allowMissingColumns=True
+    )
+
+
+@query(
+    "finding_events",
+    """
+SELECT run_id, 'examine_finding' AS event_type, to_json({'finding_id': finding_id, 'rule_id': rule_id, 'severity': severity, 'subject': subject})::VARCHAR AS payload FROM findings""",
+)
+def finding_events(spark, sf_dir):
+    return rules.finding_events(tables.findings(spark, sf_dir))
+
+
 @query(
     "examine_clean",
     """

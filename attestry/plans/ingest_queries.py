@@ -468,6 +468,22 @@ def low_confidence_escalations(spark, sf_dir):
     )
 
 
+@query(
+    "escalation_events",
+    BATCH_SQL
+    + """
+SELECT run_id, 'classify_escalated' AS event_type, doc_id::VARCHAR AS document_id, coalesce(doc_type, 'other') AS doc_type FROM placed WHERE batch % 7 IN (0, 6) AND doc_id % 10 < 5""",
+)
+def escalation_events(spark, sf_dir):
+    rows, _ = classify.parse_classifications(*classification_responses(spark, sf_dir))
+    return classify.escalation_events(rows).select(
+        "run_id",
+        "event_type",
+        F.get_json_object("payload", "$.document_id").alias("document_id"),
+        F.get_json_object("payload", "$.doc_type").alias("doc_type"),
+    )
+
+
 @query(
     "classification_review_flags",
     BATCH_SQL
@@ -618,7 +634,7 @@ BAITED_SQL = (
 )
 
 
-def _smell_sql() -> str:
+def smell_sql() -> str:
     from attestry.functions.injection import SMELLS
 
     return " UNION ALL ".join(
@@ -627,7 +643,7 @@ def _smell_sql() -> str:
     )
 
 
-@query("scan_injection", BAITED_SQL + f" SELECT * EXCLUDE (run_id) FROM ({_smell_sql()}) WHERE excerpt <> ''")
+@query("scan_injection", BAITED_SQL + f" SELECT * EXCLUDE (run_id) FROM ({smell_sql()}) WHERE excerpt <> ''")
 def scan_injection(spark, sf_dir):
     return extract.scan_injection(baited_responses(spark, sf_dir), ["doc_id"], "response")
 
@@ -635,7 +651,7 @@ def scan_injection(spark, sf_dir):
 @query(
     "quarantine_responses",
     BAITED_SQL
-    + f""", hits AS (SELECT * FROM ({_smell_sql()}) WHERE excerpt <> '')
+    + f""", hits AS (SELECT * FROM ({smell_sql()}) WHERE excerpt <> '')
 SELECT doc_id, run_id, NULL AS rule_id, NULL AS severity, NULL AS message FROM baited WHERE doc_id NOT IN (SELECT doc_id FROM hits)
 UNION ALL SELECT doc_id, run_id, 'possible_prompt_injection', 'warning', 'extract: possible prompt injection smell in LLM response for document ' || doc_id || ': ['
   || string_agg('(''' || category || ''', ''' || excerpt || ''')', ', ' ORDER BY pattern) || ']' FROM hits GROUP BY doc_id, run_id""",

@@ -216,6 +216,24 @@ def review_gate(spark, sf_dir):
     return review.review_gate(views.runs(spark, sf_dir), pending)
 
 
+@query(
+    "gate_outcome",
+    """
+WITH waiting AS (
+  SELECT run_id FROM conflicts WHERE conflict_id NOT IN (SELECT item_id FROM conflict_calls)
+  UNION SELECT run_id FROM findings WHERE finding_id NOT IN (SELECT item_id FROM finding_calls)
+  UNION SELECT run_id FROM addition_state WHERE state = 'pending' UNION SELECT run_id FROM change_state WHERE state = 'pending')
+SELECT run_id, CASE WHEN run_id IN (SELECT run_id FROM waiting) THEN 'awaiting_review' ELSE 'running' END AS outcome FROM runs
+UNION ALL SELECT run_id, 'human_gate_clean' FROM runs WHERE run_id NOT IN (SELECT run_id FROM waiting)""",
+)
+def gate_outcome(spark, sf_dir):
+    moving = views.runs(spark, sf_dir).withColumn("status", F.lit("running"))
+    runs, events = review.gate_outcome(moving, review_gate(spark, sf_dir))
+    return runs.select("run_id", F.col("status").alias("outcome")).unionByName(
+        events.select("run_id", F.col("event_type").alias("outcome"))
+    )
+
+
 # ---------------------------------------------------------------- commit
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.operators.chunks import chunk_documents
-from attestry.session import shared_dir
+from attestry.session import shared_dir, spread
 
 # Classification labels in the order the derived column cycles through. Fixed values.
 DOC_TYPES = [
@@ -59,15 +59,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the files give fewer splits than there are cores.
-
-    Large inputs have more splits than that and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _era(doc_id: Column) -> Column:
     return F.floor(doc_id / 1000)
 

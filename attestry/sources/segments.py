@@ -108,21 +108,20 @@ def _split_files(documents: DataFrame, key: str, split) -> DataFrame:
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            keys, texts, numbers, ends = [], [], [], []
             for file_key, content in zip(batch[key], batch["text"]):
                 found = split(content)
-                if not found:
-                    continue
-                widths = np.array([len(part) for part in found], dtype=np.int64)
-                ends = np.cumsum(widths + len(PART_SEPARATOR)) - len(PART_SEPARATOR)
-                yield pd.DataFrame(
-                    {
-                        key: [file_key] * len(found),
-                        "seg": range(len(found)),
-                        "text": found,
-                        "char_start": ends - widths,
-                        "char_end": ends,
-                    }
-                )
+                end = -len(PART_SEPARATOR)
+                for number, part in enumerate(found):
+                    end += len(PART_SEPARATOR) + len(part)
+                    keys.append(file_key)
+                    texts.append(part)
+                    numbers.append(number)
+                    ends.append(end)
+            if keys:
+                frame = pd.DataFrame({key: keys, "seg": numbers, "text": texts, "char_end": ends})
+                frame["char_start"] = frame["char_end"] - np.array([len(t) for t in texts])
+                yield frame
 
     return documents.select(key, "text").mapInPandas(
         parts, schema=f"{key} {key_type}, seg int, text string, char_start long, char_end long"

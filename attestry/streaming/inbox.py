@@ -9,9 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from attestry.functions.ids import PROPOSAL_NAMESPACE, uuid5
 from attestry.operators.chunks import chunk_documents, chunk_segments, dedupe, new_documents
 from attestry.operators.reports import inbox_owner
+from attestry.session import spread
 from attestry.sources.files import FILE_SCHEMA, scan_documents
 from attestry.sources.segments import joined_text, segment_csv_rows, segment_json_elements
-from attestry.streaming.sink import read_batches, start, write_batch
+from attestry.streaming.sink import read_batch, read_batches, start, write_batch
 
 DOCUMENT = ["doc_id", "corpus_id", "filename", "content_hash", "mime_type", "text"]
 
@@ -58,7 +59,9 @@ def stream_inbox(files: DataFrame, corpora: DataFrame, folder: str, **options) -
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        found = owned_documents(batch, corpora)
+        # parsing, deduplication and run rows all read this table, not the batch again
+        write_batch(owned_documents(spread(batch), corpora), f"{folder}/arrived", number)
+        found = read_batch(spark, f"{folder}/arrived", number)
         stored = read_batches(spark, f"{folder}/documents", before=number)
         fresh = dedupe(found, ["corpus_id", "content_hash"], ["path"])
         if stored is not None:

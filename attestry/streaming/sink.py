@@ -18,6 +18,11 @@ def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
 
+def read_batch(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    """One written batch."""
+    return spark.read.parquet(f"{folder}/batch={batch_id}")
+
+
 def read_batches(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
     """All written batches (or those before one), or None when there is none yet."""
     if before == 0:
