@@ -247,10 +247,10 @@ def _stored_value(field: Column) -> Column:
     return value
 
 
-def diff_register(
+def judge_features(
     rows: DataFrame, affected: DataFrame, entries: DataFrame, field_sources: DataFrame
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(additions, changes, unaffected)`` of update runs against the stored register.
+) -> DataFrame:
+    """Every field of every touched feature of every update run, with ``changed``.
 
     ``rows`` are all claim rows; only touched features are computed. A
     single-valued field changes when its winner is not exactly the set of
@@ -262,13 +262,21 @@ def diff_register(
     known = entries.select("entry_id", *FEATURE, "fields")
     # a touched feature without any claim row keeps one row with empty fields
     judged = affected.join(fields, FEATURE, "left").join(known, FEATURE, "left")
-    multi = F.col("field") == "open_risks"
-    changed = F.when(multi, F.col("newcomer").isNotNull()).otherwise(
+    changed = F.when(F.col("field") == "open_risks", F.col("newcomer").isNotNull()).otherwise(
         F.col("newcomer").isNotNull() | (F.col("backing") != 1)
     )
-    judged = judged.withColumn(
+    return judged.withColumn(
         "changed", F.coalesce(F.col("field").isNotNull() & changed, F.lit(False))
     )
+
+
+def split_diff(judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(additions, changes, unaffected)`` of judged features.
+
+    The three read ``judged`` once each; a caller that uses all of them writes it
+    to a table first.
+    """
+    multi = F.col("field") == "open_risks"
     additions = _fold(judged.where(F.col("entry_id").isNull())).select(
         proposal_id(F.col("run_id"), F.col("feature_key")).alias("item_id"),
         "run_id",
@@ -298,6 +306,13 @@ def diff_register(
     return additions, changes, unaffected
 
 
+def diff_register(
+    rows: DataFrame, affected: DataFrame, entries: DataFrame, field_sources: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(additions, changes, unaffected)`` of update runs against the stored register."""
+    return split_diff(judge_features(rows, affected, entries, field_sources))
+
+
 def diff_events(
     additions: DataFrame,
     addition_claims: DataFrame,

@@ -362,10 +362,14 @@ def findings_and_sources(
         F.lit(None).cast("string").alias("reviewer"),
         F.lit(None).cast("timestamp").alias("reviewed_at"),
     )
-    sources = cited_claims(violations, claims, rules).select(
+    return findings, finding_source_rows(findings, claims, rules)
+
+
+def finding_source_rows(findings: DataFrame, claims: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row per finding and claim it cites; ``chunk_id`` is for sources without a claim."""
+    return cited_claims(findings, claims, rules).select(
         finding_id().alias("finding_id"), F.lit(None).cast("long").alias("chunk_id"), "claim_id"
     )
-    return findings, sources
 
 
 def finding_events(findings: DataFrame) -> DataFrame:

@@ -33,6 +33,12 @@ def claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@views.stored
+def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claim rows as a table, for the derived tables below."""
+    return claim_rows(spark, sf_dir)
+
+
 def doc_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.claim_doc_types(
         views.claim_sources(spark, sf_dir), views.chunks(spark, sf_dir), views.documents(spark, sf_dir)
@@ -41,7 +47,7 @@ def doc_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @views.stored
 def initial_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return register.winners(initial_only(claim_rows(spark, sf_dir)))
+    return register.winners(initial_only(stored_rows(spark, sf_dir)))
 
 
 @views.stored
@@ -71,26 +77,34 @@ def compute_diff(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     )
 
 
+@views.stored
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    affected = register.affected_keys(views.claims(spark, sf_dir), views.runs(spark, sf_dir))
+    return register.judge_features(
+        stored_rows(spark, sf_dir), affected, entries(spark, sf_dir), field_sources(spark, sf_dir)
+    )
+
+
 @views.stored
 def additions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compute_diff(spark, sf_dir)[0]
+    return register.split_diff(judged(spark, sf_dir))[0]
 
 
 @views.stored
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compute_diff(spark, sf_dir)[1]
+    return register.split_diff(judged(spark, sf_dir))[1]
 
 
 @views.stored
 def unaffected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compute_diff(spark, sf_dir)[2]
+    return register.split_diff(judged(spark, sf_dir))[2]
 
 
 @views.stored
 def addition_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims behind the proposed additions: ``item_id, field, claim_id``."""
     added = additions(spark, sf_dir).select("item_id", *register.FEATURE)
-    rows = register.affected_rows(claim_rows(spark, sf_dir), added)
+    rows = register.affected_rows(stored_rows(spark, sf_dir), added)
     won = register.winners(rows).select(*register.FEATURE, "field", "claim_id")
     return added.join(won, register.FEATURE).drop(*register.FEATURE)
 
@@ -125,7 +139,8 @@ def finding_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(first, "run_id")
         .select("finding_id", "chunk_id", F.lit(None).cast("long").alias("claim_id"))
     )
-    return compute_findings(spark, sf_dir)[1].unionByName(whole)
+    cited = rules.finding_source_rows(findings(spark, sf_dir), views.claims(spark, sf_dir), PLAYBOOK)
+    return cited.unionByName(whole)
 
 
 def label_decisions(
