@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,24 @@ QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
 
+def in_utc(function: Query) -> Query:
+    """The given tables hold UTC times without a zone; the session must read them as such."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return function(spark, sf_dir)
+
+    return run
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query; ``sql`` may use the views of ``check_sql``."""
 
     def register(function: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = function
+        QUERIES[name] = in_utc(function)
         if sql is not None:
             CHECKS[name] = compose(sql.strip())
         return function

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attestry import schemas
 from attestry.operators import commit, conflicts, embedding, reports, review
 from attestry.plans import tables, views
 from attestry.plans.check_sql import uuid5
@@ -234,6 +235,27 @@ def gate_outcome(spark, sf_dir):
     )
 
 
+@query(
+    "value_checks",
+    """
+SELECT 'runs' AS table_name, 'kind' AS column_name, count(*) AS rows, 0::BIGINT AS invalid FROM runs
+UNION ALL SELECT 'conflicts', 'resolution', count(*), 0 FROM conflicts
+UNION ALL SELECT 'findings', unnest(['severity', 'status']), n, 0 FROM (SELECT count(*) AS n FROM findings)
+UNION ALL SELECT 'reviews', unnest(['item_type', 'decision']), n, 0 FROM (SELECT (SELECT count(*) FROM conflict_calls) + (SELECT count(*) FROM finding_calls) + (SELECT count(*) FROM change_calls) AS n)""",
+)
+def value_checks(spark, sf_dir):
+    """Enumerated columns of the tables after review hold allowed values only."""
+    reviews = tables.reviews(spark, sf_dir).where(F.col("decided_at") >= "2024-07-01")
+    return schemas.value_checks(
+        {
+            "runs": views.runs(spark, sf_dir),
+            "conflicts": decided_conflicts(spark, sf_dir),
+            "findings": decided_findings(spark, sf_dir),
+            "reviews": reviews,
+        }
+    )
+
+
 # ---------------------------------------------------------------- commit
 
 

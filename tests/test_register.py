@@ -1,11 +1,14 @@
 """Register build, diff, review and commit on small hand-written tables."""
 
 import datetime as dt
+import random
+import re
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from attestry import schemas
 from attestry.functions.ids import PROPOSAL_NAMESPACE
 from attestry.operators import commit, register, review
 
@@ -269,3 +272,39 @@ def test_conflict_and_finding_decisions(frame):
         ("x1", "conflict"),
         ("x3", "finding"),
     }
+
+
+def test_winners_match_a_plain_search_with_a_hot_feature(frame):
+    chance = random.Random(11)
+    rows = []
+    for i in range(900):
+        subject = chance.choice(["Hot one", "hot ONE", "hot/one"]) if i % 2 else f"Feature {i % 37}"
+        predicate = chance.choice(["owner", "target_release", "status", "risk", "note"])
+        when = chance.choice([None, OLD, NEW])
+        rows.append(row(f"{i:04d}", predicate, f"v{chance.randrange(6)}", chance.choice([0.1, 0.5, 0.9]), when, subject))
+    chance.shuffle(rows)
+
+    def trust(r):
+        return (-r[6], -(r[7] or dt.datetime.min).timestamp() if r[7] else 1e18, r[0])
+
+    groups = {}
+    for r in rows:
+        groups.setdefault(re.sub("[^a-z0-9]+", "-", r[3].lower()), []).append(r)
+    expected = {}
+    for key, members in groups.items():
+        ordered = sorted(members, key=trust)
+        fields = {"name": ordered[0][3]}
+        for field in ("owner", "target_release", "status"):
+            fields[field] = next((r[5] for r in ordered if r[4] == field), None)
+        fields["open_risks"] = list(dict.fromkeys(r[5] for r in ordered if r[4] == "risk"))
+        expected[key] = fields
+    assert fields_of(register.build_fields(frame(rows, ROWS))) == expected
+
+
+def test_enumerated_columns_are_checked(frame):
+    df = frame([("r1", "initial", "done"), ("r2", "other", None)], "run_id string, kind string, status string")
+    found = {r["column_name"]: (r["rows"], r["invalid"]) for r in schemas.value_check(df, "runs").collect()}
+    assert found == {"kind": (2, 1), "status": (2, 1)}
+    assert [r["run_id"] for r in schemas.valid_rows(df, "runs").collect()] == ["r1"]
+    for text in schemas.SCHEMAS.values():
+        assert frame([], text).columns
