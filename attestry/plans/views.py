@@ -12,6 +12,7 @@ import functools
 import threading
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +47,15 @@ def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, f"{build.__module__}.{build.__name__}")
         with _LOCK:
-            if key not in _WRITTEN:
-                path = shared_dir(spark, build.__name__)
-                build(spark, sf_dir).write.parquet(path)
-                _WRITTEN[key] = path
-        return spark.read.parquet(_WRITTEN[key])
+            if key in _WRITTEN:
+                try:
+                    return spark.read.parquet(_WRITTEN[key])
+                except AnalysisException:
+                    pass  # the folder was cleared: write it again
+            path = shared_dir(spark, build.__name__)
+            build(spark, sf_dir).write.parquet(path)
+            _WRITTEN[key] = path
+            return spark.read.parquet(path)
 
     return read
 

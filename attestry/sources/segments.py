@@ -19,6 +19,7 @@ from attestry.functions.text import NOT_SPACE, SPACE, strip
 # A first-level heading line: one '#', white space, something visible.
 HEADING = rf"(?mdU)^#{SPACE}+{NOT_SPACE}.*$"
 MARK = "\x01"
+PIECES_PER_BLOCK = 256
 
 SEGMENTS = T.ArrayType(
     T.StructType(
@@ -44,9 +45,11 @@ def heading_segments(text: Column) -> Column:
         F.split(F.regexp_replace(clean, HEADING, MARK + "$0"), MARK),
         lambda piece, i: (i > 0) | (piece != "") | (text == ""),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SEGMENTS).alias("out"))
 
-    def step(acc: Column, piece: Column) -> Column:
+    def starting(at: Column, kind: str) -> Column:
+        return F.struct(at.cast("long").alias("at"), F.array().cast(kind).alias("out"))
+
+    def add_segment(acc: Column, piece: Column) -> Column:
         end = acc["at"] + F.length(piece)
         item = F.struct(
             piece.alias("text"),
@@ -58,7 +61,32 @@ def heading_segments(text: Column) -> Column:
             end.alias("at"), F.concat(acc["out"], F.array(item)).cast(SEGMENTS).alias("out")
         )
 
-    return F.aggregate(pieces, start, step)["out"]
+    def add_block(acc: Column, block: Column) -> Column:
+        width = F.aggregate(block, F.lit(0).cast("long"), lambda total, piece: total + F.length(piece))
+        return F.struct(
+            (acc["at"] + width).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")
+        )
+
+    def placed(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, starting(F.lit(0), "array<bigint>"), add_block)["out"]
+        return F.flatten(
+            F.zip_with(
+                blocks,
+                starts,
+                lambda block, at: F.aggregate(block, starting(at, SEGMENTS.simpleString()), add_segment)["out"],
+            )
+        )
+
+    def in_blocks(whole: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(whole) / PIECES_PER_BLOCK).cast("int") - 1)
+        return F.transform(
+            numbers, lambda b: F.slice(whole, b * PIECES_PER_BLOCK + 1, F.lit(PIECES_PER_BLOCK))
+        )
+
+    # one-element arrays bind the pieces and the blocks, so each is built once; the
+    # blocks keep a text with very many headings from copying its list per heading
+    bound = F.transform(F.array(pieces), in_blocks)
+    return F.flatten(F.transform(bound, placed))
 
 
 def segment_by_heading(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

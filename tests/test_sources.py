@@ -27,6 +27,7 @@ HEADED = [
     "# one\n\n\n# two",
     "a # not a line start",
     "#\n\nword after blank lines\n# end",
+    "\n".join(f"# {i}\nx" for i in range(1500)),
 ]
 
 
