@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import decontaminate
+from attestry.llm import decontaminate, mixing, shard
 from attestry.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,51 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+@query("op7_mix", """
+with docs as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
+    md5('17:' || coalesce(cast(doc_id as varchar), '')) place
+  from documents),
+sizes as (
+  select source, cast(sum(size) as bigint) source_size, row_number() over (order by source nulls last) source_no
+  from docs group by source),
+limited as (
+  select *, [5.0, 2.0, 1.0][(source_no - 1) % 3 + 1]::double weight, 3 * source_size most from sizes),
+levels as (
+  select *, most / weight ratio,
+    (sum(source_size) over () - coalesce(sum(most) over (
+      order by most / weight, source_no rows between unbounded preceding and 1 preceding), 0))::double
+    / sum(weight) over (order by most / weight, source_no rows between current row and unbounded following) level
+  from limited),
+sources as (
+  select *, least(most::double, weight * (
+    select arg_min(level, (ratio, source_no)) from levels where level <= ratio)) target from levels),
+queued as (
+  select doc_id, size, source_no, source_size, weight, target, place,
+    sum(size) over (partition by source_no order by place, size rows between unbounded preceding and current row)
+      run
+  from docs d join sources s on d.source is not distinct from s.source),
+turns as (
+  select *, unnest([0, 1, 2]) turn from queued where size > 0),
+ended as (
+  select *, sum(size) over (
+    order by (turn * source_size + run)::double / weight, source_no, turn, place
+    rows between unbounded preceding and current row) spent
+  from turns),
+taken as (
+  select doc_id, sum(size) taken from ended where spent <= (select sum(size) from docs) group by 1)
+select doc_id, size, source_size, target, cast(coalesce(taken, 0) as bigint) taken
+from queued left join taken using (doc_id)
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query("op10_shard")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard.assign_shards(table(spark, sf_dir, "documents"), shards=8)
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
+    )
