@@ -133,12 +133,12 @@ def assign_shards(
 
     order = ["_group", "_tie", "doc_id", "size", "text_crc32"]
     light = running_total(
-        rows.where("_whole is null").withColumn("_all", F.lit(0)), ["_all"], order, F.col("_cell"), F.col("size"), "_before"
+        rows.where("_whole is null").withColumn("_all", F.lit(0)), ["_all"], order, F.col("_cell"), F.col("size"), "_ahead"
     )
     # A group of equal texts moves as one: by the middle of its stretch, or of the row's where it is split.
     kept = light.where("_split is null").withColumn("_sizes", F.sum("size").over(_group_window()))
-    kept = kept.withColumn("_middle", F.min("_before").over(_group_window()) + F.col("_sizes") / 2).drop("_sizes")
-    spread = light.where("_split is not null").withColumn("_middle", F.col("_before") + F.col("size") / 2)
+    kept = kept.withColumn("_middle", F.min("_ahead").over(_group_window()) + F.col("_sizes") / 2).drop("_sizes")
+    spread = light.where("_split is not null").withColumn("_middle", F.col("_ahead") + F.col("size") / 2)
     room, reach = [], 0.0
     for used in load:
         reach += max(0.0, share - used)
