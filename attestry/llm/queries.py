@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import decontaminate, mixing, shard
+from attestry.llm import decontaminate, mixing, shard, warc
 from attestry.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +116,34 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+@query("op8_warc", """
+with pages as (
+  select page_id, coalesce(html, '') payload from pages),
+raw as (
+  select page_id, strlen(payload) payload_bytes, sha1(payload) digest,
+    min(page_id) over (partition by payload) original from pages),
+bits as (
+  select *, [('0x' || substr(digest, 1 + 5 * i, 5))::bigint for i in range(8)] groups from raw)
+select page_id, payload_bytes,
+  list_reduce([list_reduce([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((g >> s) & 31)::int, 1)
+    for s in [15, 10, 5, 0]], lambda a, b: a || b) for g in groups], lambda a, b: a || b) payload_digest,
+  case when page_id = original then 'response' else 'revisit' end record_type,
+  case when page_id <> original then original end refers_to
+from bits
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.round_trip(table(spark, sf_dir, "pages"))
+    fields = F.map_from_entries("metadata.fields")
+    refers = F.regexp_extract("response.refers_to", r":(-?[0-9]+)>$", 1).cast("long")
+    return captures.select(
+        F.when(fields["page"] != "", fields["page"]).cast("long").alias("page_id"),
+        F.coalesce("response.payload_bytes", fields["fetchedBytes"].cast("long")).alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        F.when(F.col("response.record_type") == "revisit", refers).alias("refers_to"),
+    )
+
+
 @query("op10_shard")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard.assign_shards(table(spark, sf_dir, "documents"), shards=8)
