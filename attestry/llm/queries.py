@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import decontaminate, mixing, shard, warc
+from attestry.llm import decontaminate, mixing, neardup, shard, warc
 from attestry.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,35 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_near_duplicates", """
+with recursive docs as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') w
+  from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i : i + 1], ' ') shingle
+  from (select doc_id, w, unnest(range(1, greatest(len(w), 2))) i from docs where len(w) > 0)),
+sizes as (select doc_id, count(*) n from shingles group by 1),
+common as (
+  select a.doc_id one, b.doc_id two, count(*) overlap from shingles a join shingles b using (shingle)
+  where a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select one, two from common join sizes s on s.doc_id = one join sizes t on t.doc_id = two
+  where 100 * overlap >= 80 * (s.n + t.n - overlap)),
+edges as (select one, two from links union select two, one from links),
+reach as (
+  select doc_id, doc_id least_id from docs
+  union
+  select e.one, r.least_id from reach r join edges e on e.two = r.doc_id),
+components as (select doc_id, min(least_id) component_id from reach group by 1)
+select d.doc_id, coalesce(s.n, 0) n_shingles, component_id, d.doc_id = component_id kept
+from docs d join components using (doc_id) left join sizes s on s.doc_id = d.doc_id
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 @query("op3_decontaminate", """
 with words as (
   select doc_id, unnest(w) word, generate_subscripts(w, 1) pos from (
