@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import decontaminate, mixing, neardup, shard, warc
+from attestry.llm import bitslice, decontaminate, mixing, neardup, shard, warc
 from attestry.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,27 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_top_k", """
+with vectors as (
+  select row_number() over () row_id, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * x::double) as bigint)) v
+  from embeddings
+  where embedding is not null and vec_id is not null
+    and coalesce(list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))), true)),
+parts as (
+  select row_id, vec_id, unnest(v) x, generate_subscripts(v, 1) i from vectors),
+scores as (
+  select q.vec_id query_id, c.vec_id, cast(sum(q.x * c.x) as bigint) score
+  from parts q join parts c on q.i = c.i and q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+  group by q.row_id, c.row_id, q.vec_id, c.vec_id)
+select * from (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) rank, vec_id, score
+  from scores) where rank <= 10
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return bitslice.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
+
+
 @query("op7_mix", """
 with docs as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
