@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import bitslice, decontaminate, mixing, neardup, shard, warc
+from attestry.llm import bitslice, decontaminate, language, mixing, neardup, shard, warc
 from attestry.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,6 +126,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
 
 
+@query("op5_language")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held = language.held_out("doc_id", 4, 2)
+    labelled = language.label_texts(documents, language.train_languages(documents.where(~held)))
+    return labelled.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @query("op7_mix", """
 with docs as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
