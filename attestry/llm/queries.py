@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import bitslice, decontaminate, language, mixing, neardup, shard, warc
+from attestry.llm import bitslice, decontaminate, language, mixing, neardup, secrets, shard, warc
 from attestry.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +134,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+@query("op6_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "weak")
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secrets.joined_text(base), 256).alias("base_sha256"),
+        secrets.joined_text(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op7_mix", """
 with docs as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,

@@ -43,13 +43,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The column's bytes with A-Z lower-cased, and row offsets; null is empty."""
+def text_bytes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The column's bytes, with A-Z lower-cased if asked, and row offsets; null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     _, offsets, data = column.buffers()
     bounds = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
-    return LOWER[raw], bounds - bounds[0]
+    return LOWER[raw] if lower else raw, bounds - bounds[0]
 
 
 def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
