@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import bitslice, decontaminate, language, mixing, neardup, secrets, shard, warc
+from attestry.llm import bitslice, decontaminate, language, mixing, neardup, secrets, shard, toxicity, warc
 from attestry.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,6 +220,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held = language.held_out("doc_id", 3, 1)
+    model = toxicity.train_classifier(documents.where(~held), table(spark, sf_dir, "labels").where(~held))
+    scored = toxicity.score_texts(documents, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", toxicity.predicted(F.col("score")).alias("predicted"))
+
+
 @query("op10_shard")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard.assign_shards(table(spark, sf_dir, "documents"), shards=8)
