@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import bitslice, decontaminate, language, mixing, neardup, secrets, shard, toxicity, warc
+from attestry.llm import bitslice, decontaminate, hmm, language, mixing, neardup, secrets, shard, toxicity, warc
 from attestry.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+@query("op2_language_model")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return hmm.score_documents(documents.withColumn("held_out", language.held_out("doc_id", 7, 2)))
+
+
 @query("op3_decontaminate", """
 with words as (
   select doc_id, unnest(w) word, generate_subscripts(w, 1) pos from (
