@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry.llm.words import ALNUM, Words, mix, pieces, text_bytes
 
@@ -139,9 +140,12 @@ def find_benchmark(
     text_column: str = "text",
     item_column: str = "item_id",
     item_text: str = "text",
+    carry: bool = False,
 ) -> DataFrame:
     """Per document: its words, the word ranges inside benchmark windows, and the items found.
 
+    With ``carry`` the whole document row follows as ``row``.
+
     A null or empty text has no words and no hits; an item without words is
     never found; an item id found through several rows or windows is listed
     once; a null item id counts as an item. Other columns are not read.
@@ -151,43 +155,51 @@ def find_benchmark(
     bench = benchmark.select(F.col(item_column).cast("long").alias("item"), F.col(item_text).alias("words"))
     total = bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     parts = 1 + total // PART_BYTES
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    found = []
+    docs = documents.select(
+        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *[F.struct("*").alias("row")] * carry
+    )
+    schema = T.StructType.fromDDL(FOUND)
+    span = pa.struct([("first", pa.int64()), ("last", pa.int64())])
+    passes = []
     for part in range(parts):
         rows = bench.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == part).collect()
         sent = spark.sparkContext.broadcast(compile_patterns(((r[0], r[1]) for r in rows), window))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0)
                 count, ranges, items = [], [], []
                 for _, n, hits, found_items in scan_texts(batch.column(1), sent.value):
                     count.append(n)
                     ranges.append([{"first": a, "last": b} for a, b in hits.tolist()])
                     items.append(found_items)
-                span = pa.struct([("first", pa.int64()), ("last", pa.int64())])
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(count, pa.int64()), pa.array(ranges, pa.list_(span)), pa.array(items, pa.list_(pa.int64()))],
-                    ["doc_id", "n_words", "hits", "items"],
+                    [
+                        batch.column(0),
+                        pa.array(count, pa.int64()),
+                        pa.array(ranges, pa.list_(span)),
+                        pa.array(items, pa.list_(pa.int64())),
+                        *batch.columns[2:],
+                    ],
+                    ["doc_id", "n_words", "hits", "items", *batch.schema.names[2:]],
                 )
 
-        found.append((docs, scan))
+        passes.append(scan)
     if parts == 1:
-        return docs.mapInArrow(found[0][1], FOUND)
+        return docs.mapInArrow(passes[0], T.StructType([*schema.fields, *docs.schema.fields[2:]]))
     # Rows are told apart by their place in the scan, which is the same in every pass.
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    passes = [
-        placed.select("_row", "text").mapInArrow(scan, FOUND).withColumnRenamed("doc_id", "_row")
-        for _, scan in found
-    ]
-    merged = passes[0]
-    for more in passes[1:]:
-        merged = merged.unionByName(more)
-    return merged.groupBy("_row").agg(
+    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    merged = None
+    for scan in passes:
+        one = placed.select("_place", "text").mapInArrow(scan, schema).withColumnRenamed("doc_id", "_place")
+        merged = one if merged is None else merged.unionByName(one)
+    merged = merged.groupBy("_place").agg(
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("hits")).alias("_hits"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    ).join(placed.select("_row", "doc_id"), "_row").select("doc_id", "n_words", _union("_hits").alias("hits"), "items")
+    )
+    return merged.join(placed.drop("text"), "_place").select(
+        "doc_id", "n_words", _union("_hits").alias("hits"), "items", *["row"] * carry
+    )
 
 
 def _union(name: str) -> F.Column:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry.llm.words import mix
 
@@ -212,9 +213,9 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
 
 
 def label_texts(
-    documents: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text"
+    documents: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text", carry: bool = False
 ) -> DataFrame:
-    """Per row: ``doc_id, lang_pred, score, spans``.
+    """Per row: ``doc_id, lang_pred, score, spans``, and with ``carry`` the whole row as ``row``.
 
     Spans give start and end (code points, end exclusive) of stretches of words in one language. The
     prediction is the language with most letters, the first by name on a tie; the score is its part of all letters.
@@ -229,7 +230,7 @@ def label_texts(
         tables, own = letter_tables(), sent.value
         names = np.array([*own.languages, UNDETERMINED], dtype=object)
 
-        def finish(ids: list[pa.Array], texts: list[TextWords], scores: list[np.ndarray]) -> pa.RecordBatch:
+        def finish(rows: list[pa.RecordBatch], texts: list[TextWords], scores: list[np.ndarray]) -> pa.RecordBatch:
             base = np.cumsum([0] + [t.rows for t in texts])
             row = np.concatenate([t.row + b for t, b in zip(texts, base, strict=False)])
             start, end, letters = (np.concatenate([getattr(t, k) for t in texts]) for k in ("start", "end", "letters"))
@@ -247,14 +248,16 @@ def label_texts(
                 [pa.array(start[first]), pa.array(end[last]), pa.array(names[path[first]], pa.string())], fields=list(span)
             )
             bounds = np.searchsorted(row[first], np.arange(base[-1] + 1)).astype(np.int32)
+            held = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays(ids),
+                    held.column(0),
                     pa.array(names[pred], pa.string()),
                     pa.array(share.max(axis=1, initial=0) / np.maximum(total, 1)),
                     pa.ListArray.from_arrays(pa.array(bounds), values),
+                    *held.columns[2:],
                 ],
-                ["doc_id", "lang_pred", "score", "spans"],
+                ["doc_id", "lang_pred", "score", "spans", *held.schema.names[2:]],
             )
 
         for batch in batches:
@@ -263,7 +266,7 @@ def label_texts(
                 words = TextWords(batch.column(1).slice(low, high - low).to_pylist(), tables)
                 if not own.languages:
                     words = TextWords([""] * words.rows, tables)
-                for part, value in zip(held, (batch.column(0).slice(low, high - low), words, own.word_scores(words)), strict=True):
+                for part, value in zip(held, (batch.slice(low, high - low), words, own.word_scores(words)), strict=True):
                     part.append(value)
                 if sum(len(s) for s in held[2]) > GROUP_WORDS:
                     yield finish(*held)
@@ -271,7 +274,10 @@ def label_texts(
             if held[0]:
                 yield finish(*held)
 
-    rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(
-        label, "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>"
+    rows = documents.select(
+        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *[F.struct("*").alias("row")] * carry
     )
+    schema = T.StructType.fromDDL(
+        "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>"
+    )
+    return rows.mapInArrow(label, T.StructType([*schema.fields, *rows.schema.fields[2:]]))

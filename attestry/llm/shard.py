@@ -73,7 +73,7 @@ def heavy_groups(rows: DataFrame, limit: float) -> list[tuple[int, int]]:
 def assign_shards(
     documents: DataFrame, shards: int = 8, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """``doc_id, size, text_crc32, shard, slot`` per row: shards of near equal total size.
+    """``doc_id, size, text_crc32, shard, slot, text_key`` per row: shards of near equal total size.
 
     Size is the UTF-8 length plus one; a null text counts as empty, and null
     and empty texts are one group. Rows of one group share a shard unless the group
@@ -153,7 +153,7 @@ def assign_shards(
     )
     done = stored(done, "sharded")
     return position(done, ["shard"], order, F.col("_cell"), "slot").select(
-        "doc_id", "size", "text_crc32", "shard", "slot"
+        "doc_id", "size", "text_crc32", "shard", "slot", F.col("_group").alias("text_key")
     )
 
 

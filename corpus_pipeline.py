@@ -1,16 +1,86 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents: language, deduplication, decontamination, mixture, shards.
+
+Every stage takes the documents that its predecessor kept, decides on each of
+them, and returns those it keeps; the last one adds shard and slot. A stage's input may
+hold repeated rows, null ids, texts or sources, and further columns: they are carried along.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from attestry.llm import decontaminate, language, mixing, neardup, shard
 from attestry.llm.storage import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+SHARDS = 8
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out texts in which no language can be told: null, or without a letter."""
+    labelled = language.label_texts(docs, language.train_languages(docs), carry=True)
+    return labelled.where(F.col("lang_pred") != language.UNDETERMINED).select("row.*")
+
+
+def text_key() -> F.Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """Rows of one id and text as one, keyed by both; a null id is the text of length 0."""
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_text": text_key()})
+    return keyed.dropDuplicates(["_id", "_text"])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates on five-word shingles: that of the smallest id.
+
+    Rows of one id and text are one document. Rows without an id all stay.
+    """
+    kept = neardup.near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null")
+    kept = stored(kept.select("doc_id").distinct(), "kept-ids")
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_text", text_key())
+    return named.dropDuplicates(["doc_id", "_text"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out documents that hold a benchmark window."""
+    found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), carry=True)
+    return found.where(F.size("hits") == 0).select("row.*")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it, from not at all to three times."""
+    taken = mixing.mix_sources(docs).where("taken > 0")
+    taken = taken.select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
+        F.col("text_key").alias("_text"),
+        F.expr("explode(sequence(1, cast(taken div size as int)))"),
+    )
+    return once(docs).join(stored(taken.select("_id", "_text"), "taken"), ["_id", "_text"]).select(docs.columns)
+
+
+def split_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and its slot there; columns of these names are replaced."""
+    placed = shard.assign_shards(docs, SHARDS)
+    placed = placed.select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_key").alias("_text"), "shard", "slot"
+    )
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    return once(docs.select(columns)).join(stored(placed, "placed"), ["_id", "_text"]).select(*columns, "shard", "slot")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixture", mix),
+    ("shards", split_shards),
+]
 
 #: Language labels come from a trained model, which SQL cannot express.
 ORACLE_SQL = None
