@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestry.llm.storage import stored
 from attestry.llm.words import ALNUM, Words, mix, pieces, text_bytes
 
 #: Bytes of item text searched for in one pass; bounds what is sent to a task.
@@ -186,8 +187,8 @@ def find_benchmark(
         passes.append(scan)
     if parts == 1:
         return docs.mapInArrow(passes[0], T.StructType([*schema.fields, *docs.schema.fields[2:]]))
-    # Rows are told apart by their place in the scan, which is the same in every pass.
-    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    # Several passes: rows are numbered and written once, so that every pass sees the same numbers.
+    placed = stored(docs.withColumn("_place", F.monotonically_increasing_id()), "benchmark-scan")
     merged = None
     for scan in passes:
         one = placed.select("_place", "text").mapInArrow(scan, schema).withColumnRenamed("doc_id", "_place")
