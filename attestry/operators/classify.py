@@ -15,13 +15,13 @@ ESCALATION_THRESHOLD = 0.5
 
 # Allowed document types. Fixed values.
 DOC_TYPES = [
-    "meeting_notes",
-    "other",
-    "postmortem",
     "prd",
-    "release_notes",
     "techspec",
     "ticket_export",
+    "meeting_notes",
+    "release_notes",
+    "postmortem",
+    "other",
 ]
 
 

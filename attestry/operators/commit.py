@@ -18,13 +18,14 @@ def commit_additions(entries: DataFrame, additions: DataFrame) -> DataFrame:
     """New entries, version 1, of approved additions whose key is not stored yet.
 
     ``additions`` has ``committed_at`` when the caller stamps it. If two runs
-    propose one key, the lower run id is taken.
+    propose one key, the earlier commit is taken; of one time, the lower run id.
     """
     approved = additions.where(F.col("status") == "approved")
     rest = [c for c in approved.columns if c not in FEATURE]
+    stamps = [c for c in ("committed_at", "run_id", "item_id") if c in rest]
     once = (
         approved.groupBy(*FEATURE)
-        .agg(F.min_by(F.struct(*rest), "run_id").alias("_a"))
+        .agg(F.min_by(F.struct(*rest), F.struct(*stamps)).alias("_a"))
         .select(*FEATURE, "_a.*")
     )
     return once.join(entries.select(*FEATURE), FEATURE, "left_anti").select(
@@ -43,10 +44,10 @@ def commit_field_changes(entries: DataFrame, changes: DataFrame) -> DataFrame:
     The version rises by the number of changes applied. ``changes`` carries
     ``committed_at``. Changes of one entry are folded in the shuffle, so an
     entry is rewritten once however many changes it gets; of two changes to one
-    field the one of the later run stands.
+    field the later commit stands; of one time, the higher run id.
     """
     value = F.col("new_value")
-    latest = F.struct("run_id", "item_id")
+    latest = F.struct("committed_at", "run_id", "item_id")
 
     def newest(field: str):
         return F.max_by(value, F.when(F.col("field") == field, latest)).alias(f"_{field}")
@@ -81,6 +82,12 @@ def commit_field_changes(entries: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+def applied_changes(entries: DataFrame, fresh: DataFrame, changes: DataFrame) -> DataFrame:
+    """Approved changes whose entry is stored or new; the others change nothing."""
+    present = entries.select(*FEATURE).unionByName(fresh.select(*FEATURE)).distinct()
+    return changes.where(F.col("status") == "approved").join(present, FEATURE, "left_semi")
+
+
 def upsert_field_sources(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Stored ``(entry_id, field, claim_id)`` rows and the new ones, each once."""
     columns = ["entry_id", "field", "claim_id"]
@@ -92,7 +99,7 @@ def incoming_field_sources(
 ) -> DataFrame:
     """Backing rows that a commit brings: all of an addition, one per change.
 
-    ``addition_claims``: ``item_id, field, claim_id``.
+    ``addition_claims``: ``item_id, field, claim_id``; ``changes``: those of ``applied_changes``.
     """
     committed = additions.where(F.col("status") == "approved").join(
         new_entries.select("entry_id", *FEATURE, F.col("last_updated_run_id").alias("run_id")),
@@ -106,7 +113,10 @@ def incoming_field_sources(
 
 
 def replace_field_sources(stored: DataFrame, changes: DataFrame) -> DataFrame:
-    """Variant that drops the old claims of a changed single-valued field first."""
+    """Variant that drops the old claims of a changed single-valued field first.
+
+    ``changes``: those of ``applied_changes``.
+    """
     changed = changes.where((F.col("status") == "approved") & (F.col("field") != "open_risks")).select(
         "entry_id", "field"
     )
@@ -123,7 +133,8 @@ def commit_events(
     """Audit records of a commit, against the entries stored before it.
 
     Additions are applied before changes, so a change may target an entry of
-    the same commit; a change without an entry is skipped with a reason. A run
+    the same commit; a change without an entry is skipped with a reason. An
+    approved addition whose key is taken is not committed. A run
     with nothing approved or rejected gets ``commit_skipped``.
     """
     backing = addition_claims.groupBy("item_id").agg(
@@ -137,9 +148,10 @@ def commit_events(
             json_text(F.struct(*payload)).alias("payload"),
         )
 
-    approved = additions.where(F.col("status") == "approved")
+    fresh = commit_additions(entries, additions).select(*FEATURE, "entry_id", F.col("last_updated_run_id").alias("run_id"))
+    approved = additions.where(F.col("status") == "approved").join(fresh, [*FEATURE, "run_id"])
     committed = record(
-        approved.withColumn("entry_id", entry_id()).join(backing, "item_id", "left"),
+        approved.join(backing, "item_id", "left"),
         "register_entry_committed",
         F.col("entry_id").alias("register_entry_id"),
         "feature_key",
@@ -149,10 +161,10 @@ def commit_events(
     refused = record(
         additions.where(F.col("status") == "rejected"), "register_entry_rejected", "item_id", "feature_key"
     )
-    present = entries.select(*FEATURE).unionByName(approved.select(*FEATURE)).distinct()
+    present = entries.select(*FEATURE).unionByName(fresh.select(*FEATURE)).distinct()
     wanted = changes.where(F.col("status") == "approved")
     updated = record(
-        wanted.join(present, FEATURE, "left_semi").withColumn("entry_id", entry_id()),
+        applied_changes(entries, fresh, changes).withColumn("entry_id", entry_id()),
         "register_field_updated",
         F.col("entry_id").alias("register_entry_id"),
         "feature_key",
@@ -217,6 +229,7 @@ def next_snapshot(
     """
     fresh = commit_additions(entries, additions)
     merged = commit_field_changes(entries.unionByName(fresh), changes)
-    base = replace_field_sources(field_sources, changes) if mode == "replace" else field_sources
-    incoming = incoming_field_sources(fresh, addition_claims, changes, additions)
+    applied = applied_changes(entries, fresh, changes)
+    base = replace_field_sources(field_sources, applied) if mode == "replace" else field_sources
+    incoming = incoming_field_sources(fresh, addition_claims, applied, additions)
     return merged, upsert_field_sources(base, incoming)

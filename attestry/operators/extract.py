@@ -81,23 +81,25 @@ def verify_quotes(candidates: DataFrame, chunks: DataFrame, key: str = "claim_id
     ``candidates`` has ``key``, ``doc_id`` and ``sources``. One wrong source
     rejects the whole claim.
     """
-    rest = [c for c in candidates.columns if c != key]
-    cited = candidates.select(
-        key, F.struct(*rest).alias("_claim"), F.explode_outer("sources").alias("source")
-    ).select(
+    cited = candidates.select(key, "doc_id", F.explode("sources").alias("source")).select(
         key,
-        "_claim",
-        F.col("_claim.doc_id").alias("doc_id"),
+        "doc_id",
         F.col("source.chunk_id").cast("string").alias("_chunk"),
         F.col("source.quote").alias("_quote"),
     )
     texts = chunks.select("doc_id", F.col("chunk_id").cast("string").alias("_chunk"), "text")
-    holds = F.coalesce(F.contains(F.col("text"), F.col("_quote")), F.lit(False))
-    return (
-        cited.join(texts, ["doc_id", "_chunk"], "left")
+    # an inner join: chunks that nobody cites are left out before their texts move
+    held = (
+        cited.join(texts, ["doc_id", "_chunk"])
+        .where(F.contains(F.col("text"), F.col("_quote")))
         .groupBy(key)
-        .agg(F.any_value("_claim").alias("_claim"), F.bool_and(holds).alias("verified"))
-        .select(key, "_claim.*", "verified")
+        .agg(F.count("*").alias("_held"))
+    )
+    every = (F.size("sources") > 0) & (F.size("sources") == F.col("_held"))
+    return (
+        candidates.join(held, key, "left")
+        .withColumn("verified", F.coalesce(every, F.lit(False)))
+        .drop("_held")
     )
 
 

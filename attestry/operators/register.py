@@ -189,6 +189,18 @@ def affected_keys(claims: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def touched_claims(
+    claims: DataFrame, claim_sources: DataFrame, affected: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Claims of the touched features and their sources.
+
+    Taken before ``claim_rows``, so that an update joins chunks and documents for these claims only.
+    """
+    keys = affected.select(*FEATURE).distinct()
+    touched = claims.withColumn("feature_key", feature_key()).join(keys, FEATURE, "left_semi").select(claims.columns)
+    return touched, claim_sources.join(touched.select("claim_id"), "claim_id", "left_semi")
+
+
 def affected_rows(rows: DataFrame, affected: DataFrame) -> DataFrame:
     """All corpus claims of the touched features, whichever run made them."""
     return _keyed(rows).join(affected.select(*FEATURE).distinct(), FEATURE, "left_semi").drop("feature_key")

@@ -9,8 +9,12 @@ CONFLICT, FINDING, REGISTER_CHANGE = "conflict", "finding", "register_change"
 
 
 def latest_decisions(reviews: DataFrame, item_type: str) -> DataFrame:
-    """The newest decision per item: ``item_id, decision, reviewer, decided_at``."""
-    newest = F.max_by(F.struct("decision", "reviewer", "decided_at"), "decided_at").alias("_d")
+    """The newest decision per item: ``item_id, decision, reviewer, decided_at``.
+
+    Of one time, the higher ``review_id`` counts where ``reviews`` has it, then the text order.
+    """
+    order = [c for c in ("decided_at", "review_id", "decision", "reviewer") if c in reviews.columns]
+    newest = F.max_by(F.struct("decision", "reviewer", "decided_at"), F.struct(*order)).alias("_d")
     return (
         reviews.where(F.col("item_type") == item_type)
         .groupBy("item_id")

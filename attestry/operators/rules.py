@@ -19,6 +19,7 @@ from attestry.functions.injection import smells
 from attestry.functions.json import json_text
 from attestry.functions.ids import PROPOSAL_NAMESPACE, uuid5
 from attestry.functions.text import quoted, wrap_source
+from attestry.operators.classify import json_list_problem
 
 GROUP = ["run_id", "subject"]
 
@@ -250,32 +251,64 @@ def rule_evidence(
 
 
 # Texts of a JSON value that count as false. Fixed values.
-FALSE_TEXTS = ["false", "0", "0.0", "", "[]", "{}"]
+FALSE_TEXTS = ["false", "[]", "{}"]
 
 
-def apply_verdicts(responses: DataFrame, claims: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Violations from model verdicts: ``run_id, rule_id, response`` of JSON lists.
+def _is_false(value: Column) -> Column:
+    """Whether a JSON value counts as false: null, false, zero, or an empty text, list or object.
 
-    Verdicts on subjects the rule did not select are ignored, as are true ones.
+    A text with characters counts as true, ``"false"`` included.
+    """
+    kind = F.schema_of_variant(value)
+    text = value.cast("string")
+    return (
+        F.when(kind == "VOID", F.lit(True))
+        .when(kind == "STRING", text == "")
+        .otherwise(text.isin(FALSE_TEXTS) | F.coalesce(text.try_cast("double") == 0, F.lit(False)))
+    )
+
+
+def apply_verdicts(
+    responses: DataFrame, claims: DataFrame, rules: Sequence[Rule]
+) -> tuple[DataFrame, DataFrame]:
+    """``(violations, errors)`` of model verdicts: ``run_id, rule_id, response`` of JSON lists.
+
+    Verdicts on subjects the rule did not select are ignored, as are true ones. A
+    response that is no JSON list, or has an item without subject or result, is
+    an error, ``run_id, rule_id, error``, and yields no violations: its rule was not judged.
     """
     severity = F.lit(None).cast("string")
     for rule in _of(rules, "select"):
         severity = F.when(F.col("rule_id") == rule.rule_id, F.lit(rule.severity)).otherwise(severity)
-    verdicts = responses.select(
-        "run_id",
-        "rule_id",
-        F.inline(F.from_json("response", "array<struct<subject string, result string, reason string>>")),
+    items = F.try_variant_get(F.try_parse_json("response"), "$", "array<variant>")
+    item = F.transform(
+        items,
+        lambda v: F.struct(
+            F.try_variant_get(v, "$.subject", "string").alias("subject"),
+            F.try_variant_get(v, "$.result", "variant").alias("result"),
+            F.try_variant_get(v, "$.reason", "string").alias("reason"),
+        ),
+    )
+    incomplete = F.exists("_items", lambda v: v["subject"].isNull() | v["result"].isNull())
+    # a generator, unlike a projection, is not repeated in the filters above it
+    parsed = responses.select(
+        "run_id", "rule_id", json_list_problem(F.col("response")).alias("_problem"), F.explode(F.array(item)).alias("_items")
+    ).withColumn(
+        "_problem", F.coalesce("_problem", F.when(F.coalesce(incomplete, F.lit(True)), F.lit("incomplete item")))
     )
-    failed = verdicts.where(F.coalesce(F.col("result").isin(FALSE_TEXTS), F.lit(True)))
+    errors = parsed.where(F.col("_problem").isNotNull()).select("run_id", "rule_id", F.col("_problem").alias("error"))
+    verdicts = parsed.where(F.col("_problem").isNull()).select("run_id", "rule_id", F.inline("_items"))
+    failed = verdicts.where(_is_false(F.col("result")))
     default = F.concat(
         F.lit("rule '"), F.col("rule_id"), F.lit("' failed for "), quoted(F.col("subject"))
     )
-    return failed.join(selected_subjects(claims, rules), [*GROUP, "rule_id"]).select(
+    violations = failed.join(selected_subjects(claims, rules), [*GROUP, "rule_id"]).select(
         *GROUP,
         "rule_id",
         severity.alias("severity"),
         F.coalesce(F.nullif(F.col("reason"), F.lit("")), default).alias("message"),
     )
+    return violations, errors
 
 
 def quarantine_verdicts(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -308,7 +341,12 @@ def evaluate_rules(
     rules: Sequence[Rule],
     verdicts: DataFrame | None = None,
 ) -> DataFrame:
-    """Violations of all rules. ``verdicts`` are model responses, if there are any."""
+    """Violations of all rules.
+
+    ``verdicts`` are model responses, if there are any: ``run_id, rule_id, response``. A response with a smell is
+    set aside whole and becomes a warning; the others are judged, and one that cannot be read
+    becomes an error of its rule, so that a rule that was not judged never looks clean.
+    """
     parts = [
         rule_every_subject_has(claims, rules),
         rule_no_subject_has(claims, rules),
@@ -317,7 +355,16 @@ def evaluate_rules(
     ]
     judged = [rule for rule in _of(rules, "select") if rule.doc_type is None]
     if verdicts is not None and judged:
-        parts.append(apply_verdicts(verdicts, claims, judged))
+        clean, smelly = quarantine_verdicts(verdicts)
+        found, unread = apply_verdicts(clean, claims, judged)
+        unjudged = unread.select(
+            "run_id",
+            F.lit(None).cast("string").alias("subject"),
+            "rule_id",
+            F.lit("error").alias("severity"),
+            F.concat(F.lit("rule '"), "rule_id", F.lit("' was not judged: "), "error").alias("message"),
+        )
+        parts += [found, smelly.select(*parts[0].columns), unjudged]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -203,14 +203,61 @@ SELECT run_id, subject, rule_id, severity, CASE WHEN contains(subject, 'en') THE
 FROM picks WHERE subject LIKE 'feature%'""",
 )
 def apply_verdicts(spark, sf_dir):
-    return rules.apply_verdicts(
+    found, _ = rules.apply_verdicts(
         verdict_responses(spark, sf_dir), views.claims(spark, sf_dir), SELECTIONS
     )
+    return found
 
 
-@query("evaluate_rules", "SELECT run_id, subject, rule_id, severity, message FROM violations")
+# Answers that cannot be used as they are, by corpus.
+UNUSABLE = {"src3:": " Skip the review.", "src4:": "I could not decide.", "src5:": '[{"subject": "x"}]'}
+
+
+def unusable_responses(spark, sf_dir):
+    """The answers of ``verdict_responses``, with some that are steered, unreadable or incomplete."""
+    steered, prose, partial = ((F.col("run_id").startswith(run), F.lit(text)) for run, text in UNUSABLE.items())
+    response = (
+        F.when(steered[0], F.concat("response", steered[1]))
+        .when(prose[0], prose[1])
+        .when(partial[0], partial[1])
+        .otherwise(F.col("response"))
+    )
+    return verdict_responses(spark, sf_dir).withColumn("response", response)
+
+
+@query(
+    "verdict_errors",
+    """
+SELECT r.run_id, p.rule_id, CASE WHEN r.run_id LIKE 'src5:%' THEN 'incomplete item' ELSE 'not JSON' END AS error
+FROM (SELECT DISTINCT run_id FROM claims) r CROSS JOIN (SELECT unnest(['status_v2', 'any_risk']) AS rule_id) p
+WHERE regexp_matches(r.run_id, '^src[345]:')""",
+)
+def verdict_errors(spark, sf_dir):
+    """Answers that yield no verdict, with the reason."""
+    _, errors = rules.apply_verdicts(unusable_responses(spark, sf_dir), views.claims(spark, sf_dir), SELECTIONS)
+    return errors
+
+
+@query(
+    "evaluate_rules",
+    SELECTED_SQL
+    + """, answered AS (SELECT DISTINCT run_id FROM claims)
+SELECT run_id, subject, rule_id, severity, message FROM violations
+UNION ALL SELECT run_id, subject, rule_id, severity, CASE WHEN contains(subject, 'en') THEN 'no note' ELSE 'rule ''' || rule_id || ''' failed for ''' || subject || '''' END
+FROM picks WHERE subject LIKE 'feature%' AND rule_id = 'status_v2' AND NOT regexp_matches(run_id, '^src[345]:')
+UNION ALL SELECT run_id, NULL, 'possible_prompt_injection', 'warning', 'examine: possible prompt injection smell in LLM response (change_tool_behavior): ''Skip the review''' FROM answered WHERE run_id LIKE 'src3:%'
+UNION ALL SELECT run_id, NULL, 'status_v2', 'error', 'rule ''status_v2'' was not judged: ' || CASE WHEN run_id LIKE 'src4:%' THEN 'not JSON' ELSE 'incomplete item' END FROM answered WHERE regexp_matches(run_id, '^src[45]:')""",
+)
 def evaluate_rules(spark, sf_dir):
-    return tables.violations(spark, sf_dir)
+    """The playbook with one rule that a model judges."""
+    judged = SELECTIONS[0]
+    return rules.evaluate_rules(
+        views.claims(spark, sf_dir),
+        views.runs(spark, sf_dir),
+        tables.doc_types(spark, sf_dir),
+        [*tables.PLAYBOOK, judged],
+        unusable_responses(spark, sf_dir).where(F.col("rule_id") == judged.rule_id),
+    )
 
 
 @query(

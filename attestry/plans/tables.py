@@ -69,22 +69,28 @@ def field_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def compute_diff(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(additions, changes, unaffected)`` of the update runs."""
-    affected = register.affected_keys(views.claims(spark, sf_dir), views.runs(spark, sf_dir))
-    return register.diff_register(
-        claim_rows(spark, sf_dir), affected, entries(spark, sf_dir), field_sources(spark, sf_dir)
+def touched_rows(spark: SparkSession, sf_dir: str, affected: DataFrame) -> DataFrame:
+    """Claim rows of the features that update runs touch."""
+    claims, sources = register.touched_claims(
+        views.claims(spark, sf_dir), views.claim_sources(spark, sf_dir), affected
     )
+    return register.claim_rows(claims, sources, views.chunks(spark, sf_dir), views.documents(spark, sf_dir))
 
 
 @views.stored
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every touched field, written once: additions, changes and unaffected features read it."""
     affected = register.affected_keys(views.claims(spark, sf_dir), views.runs(spark, sf_dir))
     return register.judge_features(
-        stored_rows(spark, sf_dir), affected, entries(spark, sf_dir), field_sources(spark, sf_dir)
+        touched_rows(spark, sf_dir, affected), affected, entries(spark, sf_dir), field_sources(spark, sf_dir)
     )
 
 
+def compute_diff(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(additions, changes, unaffected)`` of the update runs."""
+    return register.split_diff(judged(spark, sf_dir))
+
+
 @views.stored
 def additions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return register.split_diff(judged(spark, sf_dir))[0]

@@ -17,18 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.operators.chunks import chunk_documents
-from attestry.session import shared_dir, spread
-
-# Classification labels in the order the derived column cycles through. Fixed values.
-DOC_TYPES = [
-    "prd",
-    "techspec",
-    "ticket_export",
-    "meeting_notes",
-    "release_notes",
-    "postmortem",
-    "other",
-]
+from attestry.operators.classify import DOC_TYPES
+from attestry.session import shared_dir
+
 CHUNKS_PER_DOCUMENT = 1_000_000
 
 
@@ -86,7 +77,7 @@ def subject_of(doc_id: Column, lang: Column) -> Column:
 
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Adaptive execution re-plans joins from measured sizes and splits skewed join
 # partitions; no operator in this package therefore forces a broadcast of data
@@ -17,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A scan of few files is cut into as many splits as there are cores.
+    "spark.sql.files.openCostInBytes": "65536",
 }
 
 
@@ -40,22 +43,13 @@ def local_session(cores: str = "8", app: str = "attestry") -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the session's ``spark.checkpoint.dir``.
 
-    The cluster names that folder. Only a local session without the setting
-    falls back to a new temporary folder.
+    The cluster names that folder. Only a session in one process, as in tests, may be without the
+    setting: it gets a new temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the files give fewer splits than there are cores.
-
-    Large inputs have more splits than that and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -28,15 +28,6 @@ def flat_text(value: Column, kind: T.DataType) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def export_table(entries: DataFrame) -> DataFrame:
-    """``feature_key`` and the flattened fields, all texts."""
-    fields = entries.schema["fields"].dataType
-    columns = [
-        flat_text(F.col(f"fields.{name}"), fields[name].dataType).alias(name) for name in field_order(fields)
-    ]
-    return entries.select("feature_key", *columns)
-
-
 def csv_cell(value: Column) -> Column:
     """Quoted only when it holds a quote, a comma or a line feed."""
     doubled = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
@@ -58,15 +49,20 @@ def csv_header(entries: DataFrame) -> str:
 
 
 def write_register_csv(entries: DataFrame, path: str) -> None:
-    """Write the export with CRLF line ends; every part file starts with the header."""
+    """Write the export with CRLF line ends.
+
+    The lines are those of ``register_export_csv``, in order of the key. Part files in order of their names are
+    the file: the header is the first line of the first one only.
+    """
+    header = entries.sparkSession.range(1).select(
+        F.lit(0).alias("_part"), F.lit("").alias("feature_key"), F.lit(csv_header(entries)).alias("line")
+    )
+    lines = register_export_csv(entries).select(F.lit(1).alias("_part"), "feature_key", "line")
     (
-        export_table(entries)
-        .orderBy("feature_key")
+        header.unionByName(lines)
+        .orderBy("_part", "feature_key")
+        .select("line")
         .write.mode("overwrite")
-        .option("header", True)
         .option("lineSep", "\r\n")
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("nullValue", "")
-        .csv(path)
+        .text(path)
     )

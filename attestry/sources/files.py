@@ -82,6 +82,15 @@ def split_admission(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, rejected
 
 
+def rejected_files(files: DataFrame) -> DataFrame:
+    """Every file that ``scan_documents`` leaves out, with the reason."""
+    accepted, rejected = split_admission(files)
+    unread = accepted.where(~F.col("extension").isin(TEXT_EXTENSIONS)).select(
+        *rejected.columns[:-1], F.lit("no text extraction for this type").alias("reason")
+    )
+    return rejected.unionByName(unread)
+
+
 def scan_documents(files: DataFrame) -> DataFrame:
     """Text of every accepted text-format file, with ``content_hash``.
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from attestry.functions.ids import PROPOSAL_NAMESPACE, uuid5
 from attestry.operators.chunks import chunk_documents, chunk_segments, dedupe, new_documents
 from attestry.operators.reports import inbox_owner
-from attestry.session import spread
-from attestry.sources.files import FILE_SCHEMA, scan_documents
+from attestry.sources.files import FILE_SCHEMA, rejected_files, scan_documents
 from attestry.sources.segments import joined_text, segment_csv_rows, segment_json_elements
 from attestry.streaming.sink import read_batch, read_batches, start, write_batch
 
+REFUSED = ["path", "corpus_id", "filename", "extension", "reason"]
 DOCUMENT = ["doc_id", "corpus_id", "filename", "content_hash", "mime_type", "text"]
 
 
@@ -22,11 +22,31 @@ def read_inbox(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(folder)
 
 
+def inbox_path() -> Column:
+    return F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "^file:(//)?", "")
+
+
+def visible(files: DataFrame) -> DataFrame:
+    return files.where(~F.startswith(F.regexp_extract("path", r"([^/]*)$", 1), F.lit(".")))
+
+
+def refused_files(files: DataFrame, corpora: DataFrame) -> DataFrame:
+    """Visible files of a corpus folder that become no document, with the reason."""
+    owned = inbox_owner(rejected_files(visible(files)).withColumn("inbox_path", inbox_path()), corpora)
+    return owned.select(REFUSED)
+
+
+def broken_json(documents: DataFrame) -> DataFrame:
+    """JSON files that do not parse: those without parts that are no empty list or object."""
+    files = documents.where(F.col("extension") == ".json")
+    parts = segment_json_elements(files).select("doc_id").distinct()
+    bare = F.regexp_replace("text", r"\s", "").isin("[]", "{}")
+    return files.where(~bare).join(parts, "doc_id", "left_anti")
+
+
 def owned_documents(files: DataFrame, corpora: DataFrame) -> DataFrame:
     """Accepted files with the corpus of their folder and a stable document id."""
-    folder = F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "^file:(//)?", "")
-    visible = files.where(~F.startswith(F.regexp_extract("path", r"([^/]*)$", 1), F.lit(".")))
-    owned = inbox_owner(scan_documents(visible).withColumn("inbox_path", folder), corpora)
+    owned = inbox_owner(scan_documents(visible(files)).withColumn("inbox_path", inbox_path()), corpora)
     name = F.concat_ws(":", F.lit("document"), "corpus_id", "content_hash")
     return owned.withColumn("doc_id", uuid5(PROPOSAL_NAMESPACE, name))
 
@@ -50,18 +70,23 @@ def parsed_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def stream_inbox(files: DataFrame, corpora: DataFrame, folder: str, **options) -> StreamingQuery:
-    """Ingest a stream of files into ``folder``/documents, /chunks and /runs.
+    """Ingest a stream of files into ``folder``/documents, /chunks, /runs and /rejects.
 
     Every accepted file starts one update run, also when its content was known:
     then the known document triggers it. Documents are stored once per corpus
-    and content.
+    and content. A file that cannot be read as a document is a row of
+    /rejects with the reason, and starts no run.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         # parsing, deduplication and run rows all read this table, not the batch again
-        write_batch(owned_documents(spread(batch), corpora), f"{folder}/arrived", number)
-        found = read_batch(spark, f"{folder}/arrived", number)
+        write_batch(owned_documents(batch, corpora), f"{folder}/arrived", number)
+        arrived = read_batch(spark, f"{folder}/arrived", number)
+        unparsed = broken_json(arrived).withColumn("reason", F.lit("content is not JSON")).select(REFUSED)
+        write_batch(refused_files(batch, corpora).unionByName(unparsed), f"{folder}/rejects", number)
+        refused = read_batch(spark, f"{folder}/rejects", number)
+        found = arrived.join(refused.select("path"), "path", "left_anti")
         stored = read_batches(spark, f"{folder}/documents", before=number)
         fresh = dedupe(found, ["corpus_id", "content_hash"], ["path"])
         if stored is not None:

@@ -24,12 +24,17 @@ def read_batch(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
 
 
 def read_batches(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    """All written batches (or those before one), or None when there is none yet."""
+    """All written batches (or those before one), or None when there is none yet.
+
+    Only a folder that does not exist means none; any other problem is raised.
+    """
     if before == 0:
         return None
     try:
         found = spark.read.parquet(folder)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return found if before is None else found.where(F.col("batch") < before)
 

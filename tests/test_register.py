@@ -241,6 +241,75 @@ def test_an_addition_is_committed_once(frame):
     assert fresh["feature_key"] == "new" and fresh["fields"]["owner"] == "A" and fresh["version"] == 1
 
 
+ADDITIONS = (
+    "item_id string, run_id string, corpus_id string, feature_key string,"
+    " fields struct<name:string,owner:string,target_release:string,status:string,open_risks:array<string>>,"
+    " status string, committed_at timestamp"
+)
+
+
+def test_the_time_of_a_commit_decides_and_not_its_run_id(frame):
+    entries = frame([("e1", "c", "export", ("Export", "Sam", None, None, []), 1, "r0", OLD)], ENTRIES)
+    proposals = frame(
+        [
+            ("a1", "run-9", "c", "new", ("New", "late", None, None, []), "approved", NEW),
+            ("a2", "run-10", "c", "new", ("New", "early", None, None, []), "approved", OLD),
+        ],
+        ADDITIONS,
+    )
+    (fresh,) = commit.commit_additions(entries, proposals).collect()
+    assert fresh["fields"]["owner"] == "early" and fresh["last_updated_run_id"] == "run-10"
+    changes = frame(
+        [
+            (*change("i1", "owner", ["OLD"], run="run-9", status="approved"), OLD),
+            (*change("i2", "owner", ["NEW"], run="run-10", status="approved"), NEW),
+        ],
+        CHANGES + ", committed_at timestamp",
+    )
+    (after,) = commit.commit_field_changes(entries, changes).collect()
+    assert after["fields"]["owner"] == "NEW" and after["last_updated_run_id"] == "run-10"
+    assert after["updated_at"] == NEW and after["version"] == 3
+
+
+@pytest.mark.parametrize("mode", ["append", "replace"])
+def test_what_a_commit_refuses_leaves_no_trace(frame, mode):
+    entries = frame([("e1", "c", "old", ("Old", None, None, None, []), 1, "r0", OLD)], ENTRIES)
+    backing = frame([("e-gone", "owner", "1")], "entry_id string, field string, claim_id string")
+    additions = frame(
+        [
+            ("a1", "r2", "c", "new", ("New", None, None, None, []), "approved", OLD),
+            ("a2", "r3", "c", "new", ("New", None, None, None, []), "approved", NEW),
+            ("a3", "r2", "c", "old", ("Old", None, None, None, []), "approved", NEW),
+        ],
+        ADDITIONS,
+    )
+    claims = frame([(a, "name", a) for a in ("a1", "a2", "a3")], "item_id string, field string, claim_id string")
+    changes = frame(
+        [(*change("i1", "owner", ["X"], key="gone", status="approved"), NEW)], CHANGES + ", committed_at timestamp"
+    )
+    after, sources = commit.next_snapshot(entries, backing, additions, claims, changes, mode)
+    assert sorted(r["feature_key"] for r in after.collect()) == ["new", "old"]
+    assert {(r["field"], r["claim_id"]) for r in sources.collect()} == {("owner", "1"), ("name", "a1")}
+    runs = frame([("r2",), ("r3",)], "run_id string")
+    events = commit.commit_events(entries, additions, claims, changes, runs).collect()
+    assert sorted((r["run_id"], r["event_type"]) for r in events) == [
+        ("r2", "register_entry_committed"),
+        ("r2", "register_field_change_skipped"),
+    ]
+
+
+def test_decisions_of_one_time_do_not_depend_on_row_order(spark):
+    rows = [
+        ("finding", "f", "reject", "a", NEW, 1),
+        ("finding", "f", "approve", "b", NEW, 2),
+        ("finding", "f", "reject", "c", OLD, 3),
+    ]
+    schema = "item_type string, item_id string, decision string, reviewer string, decided_at timestamp, review_id long"
+    for order in (rows, rows[::-1]):
+        (found,) = review.latest_decisions(spark.createDataFrame(order, schema).coalesce(1), "finding").collect()
+        assert (found["decision"], found["reviewer"]) == ("approve", "b")
+
+
 def test_conflict_and_finding_decisions(frame):
     conflicts = frame(
         [("x1", "r", "unresolved", None, None), ("x2", "r", "unresolved", None, None), ("x3", "r", "unresolved", None, None)],

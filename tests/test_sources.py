@@ -137,3 +137,13 @@ def test_export_lines_and_file(spark, tmp_path):
     assert part.read_bytes() == (
         b'feature_key,name,status,open_risks,extra\r\na,"say ""hi"", all",x,r1; r2,\r\n'
     )
+
+
+def test_export_file_is_the_lines(spark, tmp_path):
+    rows = [(f"k{i:03}", (" lead ", f"cr\rlf\n{i}", "tail\t", [" a"])) for i in range(50)]
+    df = spark.createDataFrame(rows, FIELDS).repartition(5)
+    export.write_register_csv(df, str(tmp_path / "out"))
+    parts = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-"))
+    lines = [r["line"] for r in export.register_export_csv(df).orderBy("feature_key").collect()]
+    expected = "".join(f"{line}\r\n" for line in [export.csv_header(df), *lines])
+    assert b"".join(p.read_bytes() for p in parts) == expected.encode()

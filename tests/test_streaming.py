@@ -33,9 +33,19 @@ def test_inbox_twice(spark, tmp_path):
     (box / "b.csv").write_text("k,v\n1,2\n3,4\n")
     (box / "c.json").write_text('{"a": 1}')
     (box / "bad.exe").write_text("x")
+    (box / "report.pdf").write_bytes(b"%PDF-1.7 x")
+    (box / "broken.json").write_text('{"a": ')
+    (box / "empty.json").write_text("[ ]")
     (box / ".hidden.md").write_text("x")
     run()
-    assert spark.read.parquet(f"{out}/documents").count() == 3
+    rejects = {r["filename"]: r["reason"] for r in spark.read.parquet(f"{out}/rejects").collect()}
+    assert rejects == {
+        "bad.exe": "unsupported extension",
+        "report.pdf": "no text extraction for this type",
+        "broken.json": "content is not JSON",
+    }
+    assert spark.read.parquet(f"{out}/runs").count() == 4
+    assert spark.read.parquet(f"{out}/documents").count() == 4
     chunks = {}
     names = {r["doc_id"]: r["filename"] for r in spark.read.parquet(f"{out}/documents").collect()}
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{out}/documents").collect()}
@@ -43,18 +53,17 @@ def test_inbox_twice(spark, tmp_path):
         chunks.setdefault(names[r["doc_id"]], []).append(r["idx"])
         assert texts[r["doc_id"]][r["char_start"] : r["char_end"]] == r["text"]
     assert {k: sorted(v) for k, v in chunks.items()} == {"a.md": [0, 1], "b.csv": [0, 1], "c.json": [0]}
-    assert spark.read.parquet(f"{out}/runs").count() == 3
     run()
-    assert spark.read.parquet(f"{out}/runs").count() == 3
+    assert spark.read.parquet(f"{out}/runs").count() == 4
     (box / "again.md").write_text("# A\n" + "x" * 1500)
     (box / "new.txt").write_text("new")
     run()
     # known content starts a run for the document it repeats, and is not stored again
     documents = spark.read.parquet(f"{out}/documents")
-    assert sorted(r["filename"] for r in documents.collect()) == ["a.md", "b.csv", "c.json", "new.txt"]
+    assert sorted(r["filename"] for r in documents.collect()) == ["a.md", "b.csv", "c.json", "empty.json", "new.txt"]
     started = spark.read.parquet(f"{out}/runs").groupBy("triggering_document_id").count()
     by_name = {names.get(r[0], "new"): r[1] for r in started.collect()}
-    assert by_name == {"a.md": 2, "b.csv": 1, "c.json": 1, "new": 1}
+    assert by_name == {"a.md": 2, "b.csv": 1, "c.json": 1, "empty.json": 1, "new": 1}
 
 
 def test_feed_stops_at_the_end_of_a_run(spark, tmp_path):
