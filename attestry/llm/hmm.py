@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +33,9 @@ ROUNDS = 6
 THIRDS = 3
 SEGMENT = 128
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 #: Tokens whose forward and backward values are held at once.
-HELD_TOKENS = 600_000
+HELD_TOKENS = 300_000
 #: Part of a state's emissions left to the background.
 BACKGROUND = 0.2
 END_WORD = np.uint64(0x0123456789ABCDEF)
@@ -48,11 +47,11 @@ def encode(documents: DataFrame, held: str) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
+            _, offsets = text_bytes(batch.column(2), lower=False)
             for low, high in pieces(offsets, BLOCK_BYTES):
                 hashes, counts = [], []
                 for a, b in pieces(offsets[low : high + 1], 1 << 20):
-                    words = Words(data, offsets[low + a : low + b + 1], NOT_SPACE)
+                    words = Words(*text_bytes(batch.column(2).slice(low + a, b - a)), NOT_SPACE)
                     # Every text ends with the end token.
                     bounds = words.offsets[1:]
                     hashes.append(np.insert(words.hashes(), bounds, END_WORD))
@@ -96,16 +95,17 @@ class Block:
     tokens: np.ndarray
 
     @staticmethod
-    def read(row: dict) -> Block:
-        low, high = np.frombuffer(row["low"], "<u2"), np.frombuffer(row["high"], "<u2")
-        return Block(
-            np.frombuffer(row["ids"], "<i8"),
-            np.frombuffer(row["no_id"], np.uint8).astype(bool),
-            np.frombuffer(row["held"], np.uint8).astype(bool),
-            np.frombuffer(row["offsets"], "<i8"),
-            np.frombuffer(row["words"], "<u8"),
-            low.astype(np.int64) | high.astype(np.int64) << 16,
-        )
+    def read(rows: pa.RecordBatch | pa.Table, at: int) -> Block:
+        """The block in one row; its bytes are read where Arrow holds them."""
+
+        def of(name: str, kind: str) -> np.ndarray:
+            return np.frombuffer(rows.column(name)[at].as_buffer(), kind)
+
+        tokens = of("high", "<u2").astype(np.int32)
+        tokens <<= 16
+        tokens |= of("low", "<u2")
+        flags = (of(name, "u1").astype(bool) for name in ("no_id", "held"))
+        return Block(of("ids", "<i8"), *flags, of("offsets", "<i8"), of("words", "<u8"), tokens)
 
     def texts(self, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Token numbers and bounds of the chosen texts, in runs of about ``HELD_TOKENS`` tokens."""
@@ -120,8 +120,7 @@ class Block:
 def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
     for batch in batches:
         for at in range(batch.num_rows):
-            row = batch.slice(at, 1).to_pylist()[0]
-            yield row["block"], Block.read(row)
+            yield batch.column("block")[at].as_py(), Block.read(batch, at)
 
 
 class Segments:
@@ -441,15 +440,16 @@ def score_documents(
         "block", "place", F.col("c").cast("int").alias("c"), *[F.col(n).cast("float").alias(n) for n in names]
     )
 
-    def score(block_rows_: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in block_rows_.to_dict("records"):
-            block = Block.read(row)
-            place = counts["place"].to_numpy()
+    def score(group: pa.Table, counts: pa.Table) -> pa.Table:
+        parts = []
+        for row in range(group.num_rows):
+            block = Block.read(group, row)
+            place = counts.column("place").to_numpy()
             c = np.zeros(len(block.words))
-            c[place] = counts["c"].to_numpy()
+            c[place] = counts.column("c").to_numpy()
             own = np.zeros((len(block.words), STATES))
-            own[place] = counts[names].to_numpy()
+            for s, name in enumerate(names):
+                own[place, s] = counts.column(name).to_numpy()
             background = (c + 1) / (total + distinct + 1)
             emission = smoothed(own, sums, background)
             known, base = c > 0, np.log10(background)
@@ -460,30 +460,33 @@ def score_documents(
                 log, _ = cut.forward(products, scale, chain.start, chain.transition)
                 some = slice(at, at + len(log))
                 at += len(log)
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "doc_id": pd.array(block.ids[some], dtype="Int64"),
-                            "held_out": block.held[some],
-                            "n_tokens": np.diff(offsets),
-                            "n_known": np.add.reduceat(known[tokens].astype(np.int64), offsets[:-1]),
-                            "train_tokens": total,
-                            "base_score": np.add.reduceat(base[tokens], offsets[:-1]),
-                            "score": log / np.log(10),
-                        }
-                    )
-                )
-                out[-1].loc[block.no_id[some], "doc_id"] = pd.NA
-        return pd.concat(out) if out else pd.DataFrame(columns=RESULT.keys()).astype(RESULT)
+                columns = [
+                    pa.array(block.ids[some], mask=block.no_id[some]),
+                    pa.array(block.held[some]),
+                    pa.array(np.diff(offsets)),
+                    pa.array(np.add.reduceat(known[tokens].astype(np.int64), offsets[:-1])),
+                    pa.array(np.full(len(log), total, np.int64)),
+                    pa.array(np.add.reduceat(base[tokens], offsets[:-1])),
+                    pa.array(log / np.log(10)),
+                ]
+                parts.append(pa.Table.from_arrays(columns, schema=SCORED))
+        return pa.concat_tables(parts) if parts else SCORED.empty_table()
 
     # A group is one block and its words, bounded by the block's size.
-    return path_blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(
+    return path_blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(
         score,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
 
 
-RESULT = {
-    "doc_id": "Int64", "held_out": bool, "n_tokens": "int64", "n_known": "int64",
-    "train_tokens": "int64", "base_score": float, "score": float,
-}
+SCORED = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("held_out", pa.bool_()),
+        ("n_tokens", pa.int64()),
+        ("n_known", pa.int64()),
+        ("train_tokens", pa.int64()),
+        ("base_score", pa.float64()),
+        ("score", pa.float64()),
+    ]
+)
