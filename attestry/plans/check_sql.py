@@ -282,7 +282,7 @@ VIEWS |= {
     "talk_v": _vector_list("talk_q"),
     "talk_t": _trigram_list("talk_q"),
     "talk_f": _fused("talk_v", "talk_t"),
-    "triggers": "SELECT corpus_id, corpus_id || ':latest' AS run_id, max(doc_id) AS doc_id FROM docs GROUP BY corpus_id",
+    "triggers": "SELECT run_id, corpus_id, triggering_document_id AS doc_id FROM runs WHERE kind = 'update'",
     "neighbors": f"""
   SELECT run_id, doc_id, position FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seed, rank) AS position FROM (
     SELECT run_id, doc_id, min(seed) AS seed, arg_min(rank, (seed, rank)) AS rank FROM (

@@ -176,17 +176,23 @@ def apply_finding_decisions(spark, sf_dir):
     )
 
 
+# Every decision, the superseded ones of the second reviewer included.
+EVERY_DECISION = """
+WITH every AS (
+  SELECT item_id, run_id, 'conflict' AS item_type, decision, reviewer FROM conflict_calls
+  UNION ALL SELECT item_id, run_id, 'finding', decision, reviewer FROM finding_calls
+  UNION ALL SELECT item_id, run_id, {changes}, decision, reviewer FROM change_calls),
+sent AS (SELECT * FROM every UNION ALL SELECT item_id, run_id, item_type, CASE decision WHEN 'approve' THEN 'reject' ELSE 'approve' END, reviewer FROM every WHERE reviewer = 'reviewer-1')
+"""
+
+
 @query(
     "invalid_decisions",
-    """
-SELECT item_id, run_id, item_type, decision FROM conflict_calls
-UNION ALL SELECT item_id, run_id, item_type, decision FROM finding_calls
-UNION ALL SELECT item_id, run_id, 'finding', decision FROM change_calls""",
+    EVERY_DECISION.format(changes="'finding'") + "SELECT item_id, run_id, item_type, decision FROM sent",
 )
 def invalid_decisions(spark, sf_dir):
-    """The same decisions sent a second time, and those on changes sent under another type."""
-    newest = tables.reviews(spark, sf_dir).where(F.col("decided_at") >= "2024-07-01")
-    sent = newest.withColumn(
+    """All decisions sent a second time, and those on changes sent under another type."""
+    sent = tables.reviews(spark, sf_dir).withColumn(
         "item_type",
         F.when(F.col("item_type") == "register_change", F.lit("finding")).otherwise(F.col("item_type")),
     )
@@ -237,21 +243,21 @@ def gate_outcome(spark, sf_dir):
 
 @query(
     "value_checks",
-    """
+    EVERY_DECISION.format(changes="'register_change'")
+    + """
 SELECT 'runs' AS table_name, 'kind' AS column_name, count(*) AS rows, 0::BIGINT AS invalid FROM runs
 UNION ALL SELECT 'conflicts', 'resolution', count(*), 0 FROM conflicts
 UNION ALL SELECT 'findings', unnest(['severity', 'status']), n, 0 FROM (SELECT count(*) AS n FROM findings)
-UNION ALL SELECT 'reviews', unnest(['item_type', 'decision']), n, 0 FROM (SELECT (SELECT count(*) FROM conflict_calls) + (SELECT count(*) FROM finding_calls) + (SELECT count(*) FROM change_calls) AS n)""",
+UNION ALL SELECT 'reviews', unnest(['item_type', 'decision']), n, 0 FROM (SELECT count(*) AS n FROM sent)""",
 )
 def value_checks(spark, sf_dir):
     """Enumerated columns of the tables after review hold allowed values only."""
-    reviews = tables.reviews(spark, sf_dir).where(F.col("decided_at") >= "2024-07-01")
     return schemas.value_checks(
         {
             "runs": views.runs(spark, sf_dir),
             "conflicts": decided_conflicts(spark, sf_dir),
             "findings": decided_findings(spark, sf_dir),
-            "reviews": reviews,
+            "reviews": tables.reviews(spark, sf_dir),
         }
     )
 
