@@ -4,12 +4,13 @@ A document's set holds the hashes of its distinct word shingles. Documents with
 set are one class, found by a sum of hashes; only classes go on. One permutation deals
 a set's hashes into bins, each bin keeps its smallest, and an empty bin
 borrows from the first filled bin of its own random order (optimal densification).
-Bands of bins are bucket keys. Within a bucket, candidates form a star around one member,
-so n members give n - 1 pairs. Pairs are confirmed on the full sets.
+Bands of bins are bucket keys. Within a bucket, candidates form a star around the member that
+shares most buckets with others, so n members give n - 1 pairs. Pairs are measured on the full sets.
 
-Where a bucket still holds several groups after that, its members are compared across groups
-by their signatures, in blocks of bounded size, and likely pairs are confirmed too, so
-a star whose centre was a poor choice loses no link. Sets too small to differ by more than one
+A star may miss links between members that are not similar enough to its centre. So the measured pairs
+also form clusters, at a lower similarity; where a cluster holds several groups, the sets
+outside its largest group are compared with all its members, exactly, in blocks of bounded size. A block's
+task returns only the links that join groups. Sets too small to differ by more than one
 shingle do not rely on chance: they meet in buckets of their exact set with one shingle left out.
 """
 
@@ -32,9 +33,11 @@ BINS = BANDS * ROWS
 SHINGLE = np.uint64(0xA24BAED4963EE407)
 NODE, CHECK = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
 FEATURES = "doc_id long, n_shingles long, node long, check long, signature binary, small binary"
-#: Signature agreement below the threshold by this much (six standard deviations) is no candidate.
-SLACK = 0.2
-BLOCK_ROWS = 2000
+#: Measured pairs whose similarity is below the threshold by at most this many percent hold a cluster together.
+SLACK = 20
+#: Shingles of the sets that one side of a block holds.
+BLOCK_SHINGLES = 500_000
+COLUMNS = 2048
 DONORS = np.stack([np.random.RandomState(1000 + i).permutation(BINS) for i in range(BINS)])
 
 
@@ -181,10 +184,9 @@ def near_sizes(percent: int) -> F.Column:
     return F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of classes whose full sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = stored(ends.join(classes.select("node", "rep"), "node"), "near-ends")
+def class_sets(nodes: DataFrame, classes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """``node, set``: the full sets of the given classes, from the texts of their first documents."""
+    wanted = stored(nodes.join(classes.select("node", "rep"), "node"), "near-ends")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,61 +197,115 @@ def confirm(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: i
                 own = node.to_numpy() == set_sums(value, offsets, NODE).view(np.int64)
                 yield pa.RecordBatch.from_arrays([node, pa.array(packed, pa.binary())], ["node", "set"]).filter(pa.array(own))
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = documents.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("node", "text")
+    return texts.mapInArrow(sets, "node long, set binary")
+
+
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` with the sizes of the sets' intersection and union."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            common, union = [], []
             for one, two in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-                both = np.concatenate((a, b))
+                both = np.concatenate([np.frombuffer(s.as_buffer(), np.uint64) for s in (one, two)])
                 both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    texts = documents.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("node", "text")
-    full = stored(texts.mapInArrow(sets, "node long, set binary"), "near-sets")
-    left, right = full.alias("l"), full.alias("r")
+                common.append(int((both[1:] == both[:-1]).sum()))
+                union.append(len(both) - common[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())],
+                ["a", "b", "common", "union"],
+            )
+
+    left, right = sets.alias("l"), sets.alias("r")
     return (
         pairs.join(left, F.col("a") == F.col("l.node"))
         .select("a", "b", F.col("l.set").alias("one"))
         .join(right, F.col("b") == F.col("r.node"))
         .select("a", "b", "one", F.col("r.set").alias("two"))
-        .mapInArrow(similar, "a long, b long")
+        .mapInArrow(measure, "a long, b long, common long, union long")
     )
 
 
-def likely_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups within a bucket whose signatures agree well enough.
+def links_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between the groups of each cluster.
 
-    ``members`` holds ``key, node, n, label, size``. A bucket of more than ``BLOCK_ROWS`` members is cut into
-    blocks, and each pair of blocks is compared in a task of its own.
+    ``members`` holds ``cluster, node, n, label``. Sets outside the cluster's largest group meet all of its sets; both sides are
+    cut into blocks, and each pair of blocks is compared in a task of its own.
     """
-    least = percent / 100 - SLACK
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    cut = members.join(classes.select("node", "signature"), "node").withColumn("blocks", blocks)
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cut = cut.withColumn("other", F.explode(other)).select(
-        "key", "node", "n", "label", "signature", "block",
-        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-    )
+    groups = members.groupBy("cluster", "label").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    groups = stored(groups, "near-groups")
+    clusters = groups.groupBy("cluster").agg(
+        F.max(F.struct("size", "label"))["label"].alias("main"), F.sum("shingles").alias("all"), F.count("*").alias("groups")
+    ).where("groups > 1")
+    clusters = stored(clusters.join(groups.alias("g").select("cluster", "label", "shingles"), "cluster").where("label = main").select(
+        "cluster",
+        "main",
+        F.ceil((F.col("all") - F.col("shingles")) / BLOCK_SHINGLES).cast("int").alias("rows"),
+        F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("columns"),
+    ), "near-mixed")
+
+    def place(parts: str) -> F.Column:
+        return F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+
+    def each(parts: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    held = members.join(clusters, "cluster")
+    outside = held.where("label <> main").select("cluster", "node", "label", F.lit(True).alias("outside"), place("rows").alias("i"), each("columns").alias("j"))
+    every = held.select("cluster", "node", "label", F.lit(False).alias("outside"), each("rows").alias("i"), place("columns").alias("j"))
+    blocks = stored(outside.unionByName(every), "near-blocks").join(sets, "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
-        first, second = rows[rows["block"] == low], rows[rows["block"] == high]
-        lines = np.stack([np.frombuffer(s, np.uint32) for s in second["signature"]]) if len(second) else None
-        node, label, size = (second[c].to_numpy() for c in ("node", "label", "n"))
+        sides = [rows[rows["outside"]], rows[~rows["outside"]]]
+        lists = [[np.frombuffer(s, np.uint64) for s in side["set"]] for side in sides]
+        common = shared_counts(*lists)
+        sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in lists]
+        linked = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+        nodes, labels = ([side[c].to_numpy() for side in sides] for c in ("node", "label"))
+        group = {x: x for x in np.concatenate(labels).tolist()}
+
+        def root(x: int) -> int:
+            while group[x] != x:
+                group[x] = group[group[x]]
+                x = group[x]
+            return x
+
         found = []
-        for one in first.itertuples() if lines is not None else ():
-            far = (label != one.label) & ((node > one.node) if low == high else True)
-            far &= np.minimum(size, one.n) * 100 >= np.maximum(size, one.n) * percent
-            at = np.flatnonzero(far)
-            if len(at):
-                same = (lines[at] == np.frombuffer(one.signature, np.uint32)).mean(axis=1)
-                found += [(min(one.node, x), max(one.node, x)) for x in node[at[same >= least]].tolist()]
+        for a, b in zip(*np.nonzero(linked & (labels[0][:, None] != labels[1][None, :])), strict=True):
+            one, two = root(int(labels[0][a])), root(int(labels[1][b]))
+            if one != two:
+                group[one] = two
+                found.append((nodes[0][a], nodes[1][b]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return cut.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    return blocks.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by products of membership matrices."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not left or not right:
+        return out
+    sides = [np.concatenate(side) for side in (left, right)]
+    both = np.intersect1d(*sides)
+    rows, columns = [], []
+    for side, values in zip((left, right), sides, strict=True):
+        row = np.repeat(np.arange(len(side)), [len(x) for x in side])
+        column = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        known = both[column] == values if len(both) else np.zeros(len(values), dtype=bool)
+        order = np.argsort(column[known], kind="stable")
+        rows.append(row[known][order])
+        columns.append(column[known][order])
+    for low in range(0, len(both), COLUMNS):
+        dense = []
+        for side, row, column in zip((left, right), rows, columns, strict=True):
+            a, b = np.searchsorted(column, (low, low + COLUMNS))
+            part = np.zeros((len(side), COLUMNS), np.float32)
+            part[row[a:b], column[a:b] - low] = 1
+            dense.append(part)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
 
 
 def near_duplicates(
@@ -273,39 +329,46 @@ def near_duplicates(
     )
     classes = stored(classes.drop("check"), "near-classes")
 
+    sizes = buckets(classes, percent).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stored(buckets(classes, percent).join(stored(sizes, "near-sizes"), "key"), "near-shared")
+    weights = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")), "near-weights")
     centers = (
-        buckets(classes, percent)
+        shared.join(weights, "node")
         .groupBy("key")
-        .agg(F.min(F.struct("rank", "node", "n")).alias("center"), F.count("*").alias("size"))
-        .where("size > 1")
+        .agg(F.min(F.struct("rank", -F.col("weight"), "node", "n")).alias("center"))
+        .select("key", F.col("center.rank").alias("lead"), F.col("center.node").alias("a"), F.col("center.n").alias("m"))
     )
-    centers = stored(centers, "near-centers")
-    shared = stored(buckets(classes, percent).join(centers, "key"), "near-shared")
     stars = (
-        shared.where("node <> center.node and center.rank = 0")
-        .withColumn("m", F.col("center.n"))
-        .where(near_sizes(percent))
-        .select(F.col("center.node").alias("a"), F.col("node").alias("b"))
+        shared.join(stored(centers, "near-centers"), "key")
+        .where("node <> a and lead = 0")
+        .where(near_sizes(percent - SLACK))
+        .select("a", F.col("node").alias("b"))
         .distinct()
     )
     stars = stored(stars, "near-stars")
-    links = stored(confirm(stars, classes, docs, width, percent), "near-links")
-    labels = connected_components(links)
-
-    # Buckets of three or more in which several groups are left: compare across the groups.
-    known = shared.where("size > 2 and rank = 0 and center.rank = 0").join(labels, "node", "left").select(
-        "key", "node", "n", "size", F.coalesce("label", "node").alias("label")
-    )
-    known = stored(known, "near-known")
-    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    members = known.join(stored(mixed.select("key"), "near-mixed"), "key")
-    signed = classes.where("signature is not null")
-    more = likely_pairs(members, signed, percent)
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(more.join(tried, ["a", "b"], "left_anti"), "near-rest")
+    ends = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    sets = stored(class_sets(ends, classes, docs, width), "near-sets")
+    pairs = stored(measured(stars, sets), "near-pairs")
+    links = pairs.where(F.col("common") * 100 >= F.col("union") * percent).select("a", "b")
+    labels = connected_components(links, "near-links")
+
+    clusters = connected_components(
+        pairs.where(F.col("common") * 100 >= F.col("union") * (percent - SLACK)).select("a", "b"), "near-clusters"
+    ).withColumnRenamed("label", "cluster")
+    members = clusters.join(labels, "node", "left").join(classes.select("node", F.col("n_shingles").alias("n")), "node")
+    members = stored(members.withColumn("label", F.coalesce("label", "node")), "near-members")
+    more = stored(links_across(members, sets, percent), "near-more")
     if not more.isEmpty():
-        links = links.unionByName(confirm(more, classes, docs, width, percent))
-        labels = connected_components(links)
+        joined = more.join(labels.alias("l"), F.col("a") == F.col("l.node"), "left").select(
+            F.coalesce("l.label", "a").alias("a"), "b"
+        ).join(labels.alias("r"), F.col("b") == F.col("r.node"), "left").select("a", F.coalesce("r.label", "b").alias("b"))
+        over = stored(connected_components(joined, "near-joined"), "near-over").select(
+            F.col("node").alias("label"), F.col("label").alias("top")
+        )
+        # A group's label stands for all its nodes, and so does a node that had no link.
+        labels = labels.unionByName(over.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti"))
+        labels = labels.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+        labels = stored(labels, "near-labels")
 
     named = classes.select("node", "rep").join(labels, "node", "left").select(
         "node", "rep", F.coalesce("label", "node").alias("label")

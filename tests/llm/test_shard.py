@@ -22,7 +22,7 @@ def check(rows, docs, shards):
 
 def test_near_equal_sizes_and_whole_groups(spark):
     docs = [(i, f"text {i} " * (i % 50)) for i in range(4000)]
-    docs += [(5000 + i, "a group of copies " * 20) for i in range(400)]  # less than a shard: stays whole
+    docs += [(5000 + i, "a group of copies " * 20) for i in range(300)]  # less than a shard: stays whole
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     rows = shard.assign_shards(df, 8).collect()
     load = check(rows, docs, 8)
