@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.llm.bloom import maybe_in
 from attestry.llm.graph import connected_components
 from attestry.llm.storage import stored
 from attestry.llm.words import NOT_SPACE, Words, mix, pieces, text_bytes
@@ -185,20 +186,24 @@ def near_sizes(percent: int) -> F.Column:
 
 
 def class_sets(nodes: DataFrame, classes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
-    """``node, set``: the full sets of the given classes, from the texts of their first documents."""
-    wanted = stored(nodes.join(classes.select("node", "rep"), "node"), "near-ends")
+    """``node, set``: the full sets of the given classes, from the texts of their first documents.
+
+    Texts do not move: a filter of the documents' ids stands before the sets are built, and the sets are joined.
+    """
+    wanted = stored(nodes.join(classes.select("node", "rep"), "node").withColumnRenamed("rep", "doc_id"), "near-ends")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, value, offsets in shingle_sets(batch.column(1), width):
                 packed = [value[offsets[i] : offsets[i + 1]].tobytes() for i in range(len(offsets) - 1)]
-                node = batch.column(0).slice(low, len(packed))
-                # A repeated doc_id may bring a text of another class.
-                own = node.to_numpy() == set_sums(value, offsets, NODE).view(np.int64)
-                yield pa.RecordBatch.from_arrays([node, pa.array(packed, pa.binary())], ["node", "set"]).filter(pa.array(own))
+                node = pa.array(set_sums(value, offsets, NODE).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(low, len(packed)), node, pa.array(packed, pa.binary())], ["doc_id", "node", "set"]
+                )
 
-    texts = documents.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("node", "text")
-    return texts.mapInArrow(sets, "node long, set binary")
+    some = documents.where(maybe_in(wanted.select("doc_id"), "doc_id")).select("doc_id", "text")
+    found = some.mapInArrow(sets, "doc_id long, node long, set binary")
+    return found.join(wanted, ["doc_id", "node"]).select("node", "set")
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
