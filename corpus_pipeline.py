@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm import decontaminate, language, mixing, neardup, shard
+from attestry.llm.bloom import maybe_in
 from attestry.llm.storage import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,25 +27,36 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return labelled.where(F.col("lang_pred") != language.UNDETERMINED).select("row.*")
 
 
-def text_key() -> F.Column:
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows as ``row``, so that no column of theirs is mistaken, with what they are joined by: id and text.
+
+    A null id is the text of length 0, and so is a null text.
+    """
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return docs.select(F.struct("*").alias("row"), "doc_id", number.alias("_id"), text.alias("_text"))
 
 
 def once(docs: DataFrame) -> DataFrame:
-    """Rows of one id and text as one, keyed by both; a null id is the text of length 0."""
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_text": text_key()})
-    return keyed.dropDuplicates(["_id", "_text"])
+    """Rows of one id and text as one."""
+    return keyed(docs).dropDuplicates(["_id", "_text"])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates on five-word shingles: that of the smallest id.
 
-    Rows of one id and text are one document. Rows without an id all stay.
+    Rows of one id and text are one document. Rows without an id all stay. Only rows that may have to go are
+    shuffled: those whose id a filter of the dropped and repeated ids holds.
     """
-    kept = neardup.near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null")
-    kept = stored(kept.select("doc_id").distinct(), "kept-ids")
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_text", text_key())
-    return named.dropDuplicates(["doc_id", "_text"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    found = neardup.near_duplicates(docs, width=5, percent=80).where("doc_id is not null")
+    ids = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    touched = stored(ids.where("not kept or n > 1"), "touched-ids")
+    flagged = keyed(docs).withColumn(
+        "_touched", maybe_in(touched.select("doc_id"), "doc_id") & F.col("doc_id").isNotNull()
+    )
+    some = flagged.where("_touched").join(touched.where("not kept").select("doc_id"), "doc_id", "left_anti")
+    some = some.dropDuplicates(["_id", "_text"]).select("row")
+    return flagged.where("not _touched").select("row").unionByName(some).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +73,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.col("text_key").alias("_text"),
         F.expr("explode(sequence(1, cast(taken div size as int)))"),
     )
-    return once(docs).join(stored(taken.select("_id", "_text"), "taken"), ["_id", "_text"]).select(docs.columns)
+    return once(docs).join(stored(taken.select("_id", "_text"), "taken"), ["_id", "_text"]).select("row.*")
 
 
 def split_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +82,8 @@ def split_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     placed = placed.select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_key").alias("_text"), "shard", "slot"
     )
-    columns = [c for c in docs.columns if c not in ("shard", "slot")]
-    return once(docs.select(columns)).join(stored(placed, "placed"), ["_id", "_text"]).select(*columns, "shard", "slot")
+    rest = docs.drop("shard", "slot")
+    return once(rest).join(stored(placed, "placed"), ["_id", "_text"]).select("row.*", "shard", "slot")
 
 
 STAGES: list[tuple[str, Stage]] = [
