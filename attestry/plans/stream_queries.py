@@ -1,4 +1,4 @@
-"""Streaming queries: each runs over the given table until it is used up, then reads its result."""
+"""Streaming queries: each runs over the given table, in several micro-batches, and reads its result."""
 
 from __future__ import annotations
 
@@ -15,12 +15,20 @@ from attestry.streaming import commit, inbox, runs
 from attestry.streaming.sink import newest_per_key
 
 
-def table_stream(spark, sf_dir, name):
-    """A given table as a stream of its files."""
-    schema = views.table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    )
+BATCHES = 3
+
+
+def table_stream(spark, sf_dir, name, key):
+    """A given table as a stream that arrives in order of ``key``, in three micro-batches."""
+    whole = views.table(spark, sf_dir, name)
+    folder = shared_dir(spark, f"arriving-{name}")
+    low, high = whole.agg(F.min(key), F.max(key)).first()
+    part = F.floor((F.col(key) - F.lit(low)) * BATCHES / F.lit((high or 0) - (low or 0) + 1))
+    for number in range(BATCHES):
+        whole.where(part == number).write.mode("append").parquet(folder)
+    files = len(spark.read.parquet(folder).inputFiles())
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", -(-files // BATCHES))
+    return stream.parquet(folder)
 
 
 @query(
@@ -34,7 +42,7 @@ def stream_inbox(spark, sf_dir):
     suffix = F.get(
         F.array(*[F.lit(s) for s in [".md", ".txt", ".exe", ".MD"]]), (F.col("doc_id") % 4).cast("int")
     )
-    files = table_stream(spark, sf_dir, "documents").select(
+    files = table_stream(spark, sf_dir, "documents", "doc_id").select(
         F.concat(F.lit("/inbox/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), suffix).alias("path"),
         F.lit(None).cast("timestamp").alias("modificationTime"),
         F.length("text").cast("long").alias("length"),
@@ -69,7 +77,7 @@ def stream_inbox(spark, sf_dir):
 SELECT run_id, regexp_replace(arg_max(event_type, id), '_(start|end)$', '') AS stage FROM audit WHERE event_type LIKE '%\\_start' ESCAPE '\\' OR event_type LIKE '%\\_end' ESCAPE '\\' GROUP BY run_id""",
 )
 def stream_current_stage(spark, sf_dir):
-    events = views.audit_view(table_stream(spark, sf_dir, "events"))
+    events = views.audit_view(table_stream(spark, sf_dir, "events", "event_id"))
     folder = shared_dir(spark, "stage")
     runs.stream_current_stage(events, folder).awaitTermination()
     return newest_per_key(spark, f"{folder}/stage", ["run_id"])
@@ -82,7 +90,7 @@ SELECT a.id, a.run_id, a.event_type FROM audit a LEFT JOIN (SELECT run_id, min(i
 WHERE e.last_id IS NULL OR a.id <= e.last_id""",
 )
 def stream_run_events(spark, sf_dir):
-    events = views.audit_view(table_stream(spark, sf_dir, "events"))
+    events = views.audit_view(table_stream(spark, sf_dir, "events", "event_id"))
     folder = shared_dir(spark, "feed")
     runs.stream_run_events(events, folder).awaitTermination()
     return spark.read.parquet(f"{folder}/feed").select("id", "run_id", "event_type")
@@ -95,7 +103,7 @@ SELECT run_id, stage, count(*)::BIGINT AS calls, sum(input_tokens)::BIGINT AS in
   sum(latency_ms)::BIGINT AS latency_ms, sum(micro_usd)::BIGINT AS micro_usd FROM priced GROUP BY 1, 2""",
 )
 def stream_run_cost(spark, sf_dir):
-    calls = llm_call_cost(views.cost_view(table_stream(spark, sf_dir, "events")))
+    calls = llm_call_cost(views.cost_view(table_stream(spark, sf_dir, "events", "event_id")))
     folder = shared_dir(spark, "cost")
     runs.stream_run_cost(calls, folder).awaitTermination()
     return newest_per_key(spark, f"{folder}/cost", ["run_id", "stage"])
@@ -123,7 +131,7 @@ def stream_commit(spark, sf_dir):
     stamp = F.timestamp_micros(F.lit(1719878400000000))
     folder = shared_dir(spark, "commit")
     commit.stream_commit(
-        table_stream(spark, sf_dir, "labels"),
+        table_stream(spark, sf_dir, "labels", "doc_id"),
         tables.entries(spark, sf_dir),
         tables.field_sources(spark, sf_dir),
         additions.withColumn("committed_at", stamp),
