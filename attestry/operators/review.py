@@ -166,17 +166,22 @@ def apply_finding_decisions(findings: DataFrame, reviews: DataFrame) -> DataFram
     )
 
 
-def pending_items(conflicts: DataFrame, findings: DataFrame, proposals: list[DataFrame]) -> DataFrame:
-    """``run_id, item_id, item_type`` of everything that waits for a person."""
-    items = (
-        conflicts.where(F.col("resolution") == "unresolved")
-        .select("run_id", F.col("conflict_id").alias("item_id"), F.lit(CONFLICT).alias("item_type"))
-        .unionByName(
-            findings.where(F.col("status") == "pending").select(
-                "run_id", F.col("finding_id").alias("item_id"), F.lit(FINDING).alias("item_type")
+def pending_items(
+    conflicts: DataFrame | None, findings: DataFrame, proposals: list[DataFrame]
+) -> DataFrame:
+    """``run_id, item_id, item_type`` of everything that waits for a person.
+
+    Without ``conflicts`` none are listed: a caller that counts them otherwise need not build the pairs.
+    """
+    items = findings.where(F.col("status") == "pending").select(
+        "run_id", F.col("finding_id").alias("item_id"), F.lit(FINDING).alias("item_type")
+    )
+    if conflicts is not None:
+        items = items.unionByName(
+            conflicts.where(F.col("resolution") == "unresolved").select(
+                "run_id", F.col("conflict_id").alias("item_id"), F.lit(CONFLICT).alias("item_type")
             )
         )
-    )
     for proposal in proposals:
         items = items.unionByName(
             proposal.where(F.col("status") == "pending").select(
@@ -191,13 +196,31 @@ def invalid_decisions(decisions: DataFrame, pending: DataFrame) -> DataFrame:
     return decisions.join(pending, ["run_id", "item_id", "item_type"], "left_anti")
 
 
-def review_gate(runs: DataFrame, pending: DataFrame) -> DataFrame:
-    """Waiting items per run and kind; the gate is open, and the run waits, while any is left."""
+def undecided_conflicts(counts: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``run_id, undecided``: conflicts of a run (``run_id, conflicts``) less those with a decision.
+
+    The number comes from group sizes and decisions, so no pair is built to learn that a run has to wait.
+    """
+    decided = reviews.where(F.col("item_type") == CONFLICT).groupBy("run_id").agg(
+        F.countDistinct("item_id").alias("_decided")
+    )
+    left = F.col("conflicts") - F.coalesce("_decided", F.lit(0))
+    return counts.join(decided, "run_id", "left").select("run_id", left.alias("undecided"))
+
+
+def review_gate(runs: DataFrame, pending: DataFrame, undecided: DataFrame | None = None) -> DataFrame:
+    """Waiting items per run and kind; the gate is open, and the run waits, while any is left.
+
+    ``pending`` names the items. With ``undecided``, the conflicts' numbers come from there, and
+    ``pending`` need not hold any.
+    """
     kinds = [(CONFLICT, "conflicts"), (FINDING, "findings"), (REGISTER_CHANGE, "register_changes")]
     counted = pending.groupBy("run_id").agg(
         *[F.count_if(F.col("item_type") == kind).alias(name) for kind, name in kinds]
     )
     result = runs.select("run_id").distinct().join(counted, "run_id", "left")
+    if undecided is not None:
+        result = result.join(undecided, "run_id", "left").withColumn("conflicts", F.col("undecided")).drop("undecided")
     for _, name in kinds:
         result = result.withColumn(name, F.coalesce(name, F.lit(0)))
     waiting = F.col("conflicts") + F.col("findings") + F.col("register_changes")

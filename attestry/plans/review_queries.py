@@ -216,11 +216,14 @@ FROM runs r LEFT JOIN waiting w USING (run_id) GROUP BY 1""",
 )
 def review_gate(spark, sf_dir):
     pending = review.pending_items(
-        decided_conflicts(spark, sf_dir),
+        None,
         decided_findings(spark, sf_dir),
         [tables.decided_additions(spark, sf_dir), tables.decided_changes(spark, sf_dir)],
     )
-    return review.review_gate(views.runs(spark, sf_dir), pending)
+    undecided = review.undecided_conflicts(
+        conflicts.conflict_counts(views.claims(spark, sf_dir)), tables.conflict_reviews(spark, sf_dir)
+    )
+    return review.review_gate(views.runs(spark, sf_dir), pending, undecided)
 
 
 @query(

@@ -7,7 +7,6 @@ import io
 import json
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,8 @@ from attestry.functions.text import NOT_SPACE, SPACE, strip
 
 # A first-level heading line: one '#', white space, something visible.
 HEADING = rf"(?mdU)^#{SPACE}+{NOT_SPACE}.*$"
-MARK = "\x01"
+# A mark that no text can hold after every U+0001 of its own is followed by U+0003.
+MARK, ESCAPED = "\x01\x02", "\x01\x03"
 PIECES_PER_BLOCK = 256
 
 SEGMENTS = T.ArrayType(
@@ -40,9 +40,9 @@ def heading_segments(text: Column) -> Column:
     heading is one segment. Segments tile the text, so their offsets are the
     running lengths of the pieces.
     """
-    clean = F.replace(text, F.lit(MARK), F.lit(" "))
+    marked = F.regexp_replace(F.replace(text, F.lit("\x01"), F.lit(ESCAPED)), HEADING, MARK + "$0")
     pieces = F.filter(
-        F.split(F.regexp_replace(clean, HEADING, MARK + "$0"), MARK),
+        F.transform(F.split(marked, MARK), lambda piece: F.replace(piece, F.lit(ESCAPED), F.lit("\x01"))),
         lambda piece, i: (i > 0) | (piece != "") | (text == ""),
     )
 
@@ -124,6 +124,8 @@ def json_parts(content: str) -> list[str]:
 
 
 PART_SEPARATOR = "\n\n"
+# Parts are given out when the files split so far reach this length.
+HELD_CHARACTERS = 4_000_000
 
 
 def _split_files(documents: DataFrame, key: str, split) -> DataFrame:
@@ -133,23 +135,22 @@ def _split_files(documents: DataFrame, key: str, split) -> DataFrame:
     a running sum right there: no shuffle.
     """
     key_type = documents.schema[key].dataType.simpleString()
+    columns = [key, "seg", "text", "char_start", "char_end"]
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, texts, numbers, ends = [], [], [], []
+            held, width = [], 0
             for file_key, content in zip(batch[key], batch["text"]):
-                found = split(content)
                 end = -len(PART_SEPARATOR)
-                for number, part in enumerate(found):
+                for number, part in enumerate(split(content)):
                     end += len(PART_SEPARATOR) + len(part)
-                    keys.append(file_key)
-                    texts.append(part)
-                    numbers.append(number)
-                    ends.append(end)
-            if keys:
-                frame = pd.DataFrame({key: keys, "seg": numbers, "text": texts, "char_end": ends})
-                frame["char_start"] = frame["char_end"] - np.array([len(t) for t in texts])
-                yield frame
+                    held.append((file_key, number, part, end - len(part), end))
+                width += max(end, 0)
+                if width > HELD_CHARACTERS:
+                    yield pd.DataFrame(held, columns=columns)
+                    held, width = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=columns)
 
     return documents.select(key, "text").mapInPandas(
         parts, schema=f"{key} {key_type}, seg int, text string, char_start long, char_end long"

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from attestry.sources import segments
 from attestry.operators import chunks as ops
 from attestry.sources.segments import concat_segments
 
@@ -88,3 +89,11 @@ def test_scope(frame):
     assert {tuple(r) for r in found} == {("i", 1), ("i", 2), ("u", 1), ("u", 2)}
     order = ops.initial_scope(docs, runs).orderBy(F.col("ingested_at")).collect()
     assert [r["doc_id"] for r in order] == [2, 1]
+
+
+def test_control_characters_stay_in_their_segment(spark):
+    text = "a\x01b\n# H\x01\n\x01\x02c\x03\n# \x02\nd\x01\x03"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    parts = segments.segment_by_heading(df).orderBy("seg").collect()
+    assert [p["text"] for p in parts] == ["a\x01b\n", "# H\x01\n\x01\x02c\x03\n", "# \x02\nd\x01\x03"]
+    assert all(text[p["char_start"] : p["char_end"]] == p["text"] for p in parts)
