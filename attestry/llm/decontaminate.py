@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,8 +157,10 @@ def find_benchmark(
     bench = benchmark.select(F.col(item_column).cast("long").alias("item"), F.col(item_text).alias("words"))
     total = bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     parts = 1 + total // PART_BYTES
+    sends_rows = carry and parts == 1
+    # With the whole row, the text is read from there, so that it is sent once.
     docs = documents.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *[F.struct("*").alias("row")] * carry
+        F.col(id_column).cast("long").alias("doc_id"), F.struct("*").alias("row") if carry else F.col(text_column).alias("text")
     )
     schema = T.StructType.fromDDL(FOUND)
     span = pa.struct([("first", pa.int64()), ("last", pa.int64())])
@@ -169,7 +172,8 @@ def find_benchmark(
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 count, ranges, items = [], [], []
-                for _, n, hits, found_items in scan_texts(batch.column(1), sent.value):
+                texts = pc.struct_field(batch.column(1), text_column) if batch.schema.names[1] == "row" else batch.column(1)
+                for _, n, hits, found_items in scan_texts(texts, sent.value):
                     count.append(n)
                     ranges.append([{"first": a, "last": b} for a, b in hits.tolist()])
                     items.append(found_items)
@@ -179,26 +183,26 @@ def find_benchmark(
                         pa.array(count, pa.int64()),
                         pa.array(ranges, pa.list_(span)),
                         pa.array(items, pa.list_(pa.int64())),
-                        *batch.columns[2:],
+                        *batch.columns[1:] * sends_rows,
                     ],
-                    ["doc_id", "n_words", "hits", "items", *batch.schema.names[2:]],
+                    ["doc_id", "n_words", "hits", "items", *["row"] * sends_rows],
                 )
 
         passes.append(scan)
     if parts == 1:
-        return docs.mapInArrow(passes[0], T.StructType([*schema.fields, *docs.schema.fields[2:]]))
+        return docs.mapInArrow(passes[0], T.StructType([*schema.fields, *docs.schema.fields[1 : 1 + carry]]))
     # Several passes: rows are numbered and written once, so that every pass sees the same numbers.
     placed = stored(docs.withColumn("_place", F.monotonically_increasing_id()), "benchmark-scan")
     merged = None
     for scan in passes:
-        one = placed.select("_place", "text").mapInArrow(scan, schema).withColumnRenamed("doc_id", "_place")
+        one = placed.select("_place", F.col(f"row.{text_column}").alias("text") if carry else "text").mapInArrow(scan, schema).withColumnRenamed("doc_id", "_place")
         merged = one if merged is None else merged.unionByName(one)
     merged = merged.groupBy("_place").agg(
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("hits")).alias("_hits"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
-    return merged.join(placed.drop("text"), "_place").select(
+    return merged.join(placed.select("_place", "doc_id", *["row"] * carry), "_place").select(
         "doc_id", "n_words", _union("_hits").alias("hits"), "items", *["row"] * carry
     )
 

@@ -42,8 +42,8 @@ FEATURES = 2 * CELLS
 SCRIPT_SHARE = 0.001
 #: The model has a row of numbers per language, so their number bounds it.
 MAX_LANGUAGES = 500
-PIECE = 1_500_000
-GROUP_WORDS = 1_500_000
+PIECE = 500_000
+GROUP_WORDS = 700_000
 LAST_LETTER = 0x32400
 UNDETERMINED = "und"
 
@@ -107,6 +107,8 @@ class LanguageModel:
         if not len(words.first):
             return np.zeros((0, len(self.languages)), np.float32)
         score = np.add.reduceat(self.scores[words.trigram], words.first, axis=0) + self.scores[words.word]
+        # What is counted per letter is not needed any more.
+        words.trigram = words.word = words.first = None
         # Far below any word's own score, so that no other language is taken.
         return score - np.where(self.candidates[words.script], 0, 1e6).astype(np.float32)
 
@@ -255,15 +257,16 @@ def label_texts(
                     pa.array(names[pred], pa.string()),
                     pa.array(share.max(axis=1, initial=0) / np.maximum(total, 1)),
                     pa.ListArray.from_arrays(pa.array(bounds), values),
-                    *held.columns[2:],
+                    *held.columns[1 : 1 + carry],
                 ],
-                ["doc_id", "lang_pred", "score", "spans", *held.schema.names[2:]],
+                ["doc_id", "lang_pred", "score", "spans", *["row"] * carry],
             )
 
         for batch in batches:
             held: tuple[list, list, list] = ([], [], [])
-            for low, high in pieces(batch.column(1)):
-                words = TextWords(batch.column(1).slice(low, high - low).to_pylist(), tables)
+            texts = pc.struct_field(batch.column(1), text_column) if carry else batch.column(1)
+            for low, high in pieces(texts):
+                words = TextWords(texts.slice(low, high - low).to_pylist(), tables)
                 if not own.languages:
                     words = TextWords([""] * words.rows, tables)
                 for part, value in zip(held, (batch.slice(low, high - low), words, own.word_scores(words)), strict=True):
@@ -274,10 +277,11 @@ def label_texts(
             if held[0]:
                 yield finish(*held)
 
+    # With the whole row, the text is read from there, so that it is sent once.
     rows = documents.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *[F.struct("*").alias("row")] * carry
+        F.col(id_column).cast("long").alias("doc_id"), F.struct("*").alias("row") if carry else F.col(text_column).alias("text")
     )
     schema = T.StructType.fromDDL(
         "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>"
     )
-    return rows.mapInArrow(label, T.StructType([*schema.fields, *rows.schema.fields[2:]]))
+    return rows.mapInArrow(label, T.StructType([*schema.fields, *rows.schema.fields[1 : 1 + carry]]))
