@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm import bitslice, decontaminate, hmm, language, mixing, neardup, secrets, shard, toxicity, warc
-from attestry.llm.storage import table
+from attestry.llm.storage import table, text_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_language_model")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
+    text_batches(spark, 10_000)  # a block of encoded texts lies within a batch
     return hmm.score_documents(documents.withColumn("held_out", language.held_out("doc_id", 7, 2)))
 
 

@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 
 from attestry.llm import decontaminate, language, mixing, neardup, shard
 from attestry.llm.bloom import maybe_in
-from attestry.llm.storage import stored, table
+from attestry.llm.storage import stored, table, text_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 SHARDS = 8
+#: Documents in a batch of texts that a task works on.
+BATCH = 1000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out texts in which no language can be told: null, or without a letter."""
+    text_batches(spark, BATCH)
     labelled = language.label_texts(docs, language.train_languages(docs), carry=True)
     return labelled.where(F.col("lang_pred") != language.UNDETERMINED).select("row.*")
 
@@ -48,6 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows of one id and text are one document. Rows without an id all stay. Only rows that may have to go are
     shuffled: those whose id a filter of the dropped and repeated ids holds.
     """
+    text_batches(spark, BATCH)
     found = neardup.near_duplicates(docs, width=5, percent=80).where("doc_id is not null")
     ids = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
     touched = stored(ids.where("not kept or n > 1"), "touched-ids")
@@ -61,6 +65,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that hold a benchmark window."""
+    text_batches(spark, BATCH)
     found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), carry=True)
     return found.where(F.size("hits") == 0).select("row.*")
 
