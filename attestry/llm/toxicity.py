@@ -4,8 +4,8 @@ A word's vector is the sum of the vectors of its hash and of the hashes of its f
 four and five bytes, so inflected forms share most of it. Filters of several widths slide over
 a whole text, their largest responses are pooled, and a logistic layer reads the pool.
 The classifier is trained in numpy on a bounded sample of labelled rows; every text is
-scored. A threshold per language, found on a part of the sample kept from training, is mapped to
-the common decision score. The language is guessed from the words of the text alone.
+scored. A threshold per language, found on the counts of all labelled rows that were kept from training, is
+mapped to the common decision score. The language is guessed from the words of the text alone, by word counts of all rows.
 """
 
 from __future__ import annotations
@@ -32,6 +32,12 @@ EPOCHS = 10
 BATCH = 32
 RATE = 0.08
 LANGUAGE_CELLS = 1 << 14
+#: Logits are counted in steps of this width, up to a bound either way.
+STEP, BOUND = 1 / 256, 64
+#: Rows of each class that a language needs for a threshold of its own.
+LEAST = 20
+#: Languages whose word counts a task holds at once.
+HELD_LANGUAGES = 64
 DECISION = 0.7
 PIECE = 1 << 20
 PAD = CELLS
@@ -202,33 +208,97 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Classifie
     return model
 
 
-def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
+def best_threshold(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
     """The logit that separates the classes with the best F1, in the middle of the gap to the next one."""
-    order = np.argsort(-logits, kind="stable")
-    ranked, hits = logits[order], np.cumsum(labels[order])
-    score = 2 * hits / (np.arange(len(hits)) + 1 + labels.sum())
-    at = int(score.argmax())
-    return float((ranked[at] + ranked[at + 1]) / 2) if at + 1 < len(ranked) else float(ranked[at])
+    weights = np.ones(len(logits)) if weights is None else weights
+    values, place = np.unique(logits, return_inverse=True)
+    ranked = values[::-1]
+    hits = np.cumsum(np.bincount(place, weights * labels)[::-1])
+    every = np.cumsum(np.bincount(place, weights)[::-1])
+    at = int((2 * hits / (every + hits[-1])).argmax())
+    return float((ranked[at] + ranked[at + 1]) / 2) if at + 1 < len(ranked) else float(ranked[at] - STEP / 2)
 
 
-def calibrate(model: Classifier, texts: list[np.ndarray], labels: np.ndarray, languages: list[str | None], kept: np.ndarray) -> None:
-    """Word scores per language from all of the sample, thresholds from the rows kept from training."""
-    names = sorted({x for x in languages if x is not None})
+def language_words(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The languages of ``lang, text`` in order, and the logs of their shares of words per cell, from every row."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def release() -> Iterator[pa.RecordBatch]:
+            for name, counts in held.items():
+                used = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(counts[used])], ["lang", "cell", "n"]
+                )
+            held.clear()
+
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            number = names.indices.to_numpy()
+            for low, cells, offsets in encode(batch.column(1)):
+                owner = np.repeat(number[low : low + len(offsets) - 1], np.diff(offsets))
+                place = cells[:, 0] % LANGUAGE_CELLS
+                for at in np.unique(owner):
+                    name = names.dictionary[int(at)].as_py()
+                    if name not in held and len(held) == HELD_LANGUAGES:
+                        yield from release()
+                    counts = held.setdefault(name, np.zeros(LANGUAGE_CELLS, np.int64))
+                    counts += np.bincount(place[owner == at], minlength=LANGUAGE_CELLS)
+        yield from release()
+
+    found = rows.where("lang is not null").select("lang", "text").mapInArrow(count, "lang string, cell int, n long")
+    found = found.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    names = sorted(set(found["lang"]))
     counts = np.full((LANGUAGE_CELLS, len(names)), 0.5)
-    for cells, name in zip(texts, languages, strict=True):
-        if name is not None:
-            np.add.at(counts[:, names.index(name)], cells[:, 0] % LANGUAGE_CELLS, 1)
-    model.languages = np.log(counts / counts.sum(axis=0)).astype(np.float32)
-    offsets = np.concatenate(([0], np.cumsum([len(texts[i]) for i in kept])))
-    cells = np.concatenate([texts[i] for i in kept]) if len(kept) else np.zeros((0, 3), np.int32)
-    logits, truth = model.logits(cells, offsets), labels[kept]
-    common = best_threshold(logits, truth) if 0 < truth.sum() < len(truth) else 0.0
-    model.thresholds = np.full(len(names) + 1, common)
-    guess = model.language(cells, offsets)
-    for at in range(len(names)):
-        own = guess == at
-        if truth[own].sum() >= 20 and (truth[own] == 0).sum() >= 20:
-            model.thresholds[at] = best_threshold(logits[own], truth[own])
+    counts[found["cell"].to_numpy(np.int64), np.searchsorted(np.array(names, object), found["lang"].to_numpy(object))] += found["n"].to_numpy()
+    return names, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+
+
+def logit_counts(rows: DataFrame, known: DataFrame, model: Classifier, fitted: np.ndarray) -> DataFrame:
+    """``guess, step, fitted, label, n``: labelled rows by guessed language, logit and whether the network was fitted on them.
+
+    The texts stay where they are; what is joined with the labels are numbers.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast((vars(model), fitted))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, seen = sent.value
+        own = Classifier(**parts)
+        for batch in batches:
+            for low, cells, offsets in encode(batch.column(1)):
+                ids = batch.column(0).slice(low, len(offsets) - 1)
+                step = np.floor(np.clip(own.logits(cells, offsets), -BOUND, BOUND) / STEP).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(own.language(cells, offsets).astype(np.int32)), pa.array(step), pa.array(np.isin(ids.to_numpy(), seen))],
+                    ["doc_id", "guess", "step", "fitted"],
+                )
+
+    found = rows.where("doc_id is not null").select("doc_id", "text").mapInArrow(measure, "doc_id long, guess int, step int, fitted boolean")
+    return found.join(known, "doc_id").groupBy("guess", "step", "fitted", "label").agg(F.count("*").alias("n"))
+
+
+def choose_thresholds(model: Classifier, counts: DataFrame) -> None:
+    """Thresholds from ``logit_counts``: the common one, and one for each language with enough rows.
+
+    Rows that the network was fitted on lie too far from the threshold to choose it. The others stand for them: a class
+    weighs as many rows as it has in all. Where a class has no other row, the fitted ones are taken.
+    """
+    found = counts.toPandas()
+    guess, truth, n = (found[c].to_numpy(np.int64) for c in ("guess", "label", "n"))
+    logits, fitted = (found["step"].to_numpy() + 0.5) * STEP, found["fitted"].to_numpy(bool)
+    weights = np.zeros(len(n))
+    for label in (0, 1):
+        of = truth == label
+        free = of & ~fitted if (of & ~fitted).any() else of
+        weights[free] = n[free] * (n[of].sum() / max(n[free].sum(), 1))
+    used = weights > 0
+    both = {0, 1} <= set(truth[used])
+    model.thresholds[:] = best_threshold(logits[used], truth[used], weights[used]) if both else 0.0
+    for at in range(len(model.thresholds) - 1):
+        own = used & (guess == at)
+        if all(n[own & (truth == label)].sum() >= LEAST for label in (0, 1)):
+            model.thresholds[at] = best_threshold(logits[own], truth[own], weights[own])
 
 
 def train_classifier(
@@ -240,10 +310,10 @@ def train_classifier(
     language_column: str = "lang",
     label_column: str = "toxic",
 ) -> Classifier:
-    """Fit on at most ``sample`` labelled rows of each class, chosen by the hash of the id.
+    """Fit on at most ``sample`` labelled rows of each class, chosen by the hash of the id; thresholds come from all labelled rows.
 
     The larger of several labels of an id counts; null labels, and labels without a document, are left out. Whole texts
-    are used. Without any labelled row the classifier scores by its random start.
+    are used, and a quarter of the sample is kept from training. Without any labelled row the classifier scores by its random start.
     """
     known = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
     known = known.groupBy(F.col(id_column).cast("long").alias("doc_id")).agg((F.max(label_column) > 0).cast("int").alias("label"))
@@ -256,31 +326,33 @@ def train_classifier(
     )
     # The choice has at most two times ``sample`` rows.
     some = rows.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").dropDuplicates(["doc_id"])
-    some = stored(some.select("doc_id", "label", "lang", "text"), "toxic-sample")
+    some = stored(some.select("doc_id", "label", "text"), "toxic-sample")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, label, lang = [], [], [], []
+        ids, texts, label = [], [], []
         for batch in batches:
             ids += batch.column(0).to_pylist()
             label += batch.column(1).to_pylist()
-            lang += batch.column(2).to_pylist()
-            for _, cells, offsets in encode(batch.column(3)):
+            for _, cells, offsets in encode(batch.column(2)):
                 texts += [cells[a:b].copy() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         order = np.argsort(np.array(ids, dtype=np.int64), kind="stable")
-        texts, lang = [texts[i] for i in order], [lang[i] for i in order]
+        texts, ids = [texts[i] for i in order], np.array(ids, dtype=np.int64)[order]
         truth = np.array(label, dtype=np.int64)[order]
-        kept = np.arange(len(texts)) % 4 == 3
-        fitted = np.flatnonzero(~kept)
+        fitted = np.flatnonzero(np.arange(len(texts)) % 4 != 3)
         model = fit([texts[i] for i in fitted], truth[fitted])
-        calibrate(model, texts, truth, lang, np.flatnonzero(kept))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model))], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((vars(model), ids[fitted]))], pa.binary())], ["model"])
 
     fitted = some.coalesce(1).mapInArrow(train, "model binary").first()
     if fitted is None:
         model = Classifier.fresh()
         model.languages, model.thresholds = np.zeros((LANGUAGE_CELLS, 0), np.float32), np.zeros(1)
         return model
-    return Classifier(**pickle.loads(fitted[0]))
+    parts, ids = pickle.loads(fitted[0])
+    model = Classifier(**parts)
+    names, model.languages = language_words(rows)
+    model.thresholds = np.zeros(len(names) + 1)
+    choose_thresholds(model, logit_counts(rows, known, model, ids))
+    return model
 
 
 def score_texts(documents: DataFrame, model: Classifier, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

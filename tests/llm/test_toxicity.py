@@ -65,3 +65,39 @@ def test_awkward_rows(spark, awkward, nothing):
         untrained = toxicity.train_classifier(docs, known)
         assert toxicity.score_texts(awkward, untrained).where(F.col("score").isNull()).count() == 0
     assert toxicity.score_texts(nothing, model).count() == 0
+
+
+def test_thresholds_from_all_labelled_rows(spark):
+    rng = np.random.RandomState(5)
+    rows, labels = [], []
+    for i in range(3600):
+        lang = "en" if i % 3 else "de"
+        toxic = rng.rand() < 0.1
+        words = [f"{lang}{rng.randint(40)}" for _ in range(12)]
+        # Half of the clean texts have one bad word; in one language toxic texts have many more of them.
+        for _ in range((3 if lang == "en" else 8) if toxic else rng.randint(2)):
+            words[rng.randint(12)] = f"bad{rng.randint(6)}"
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = toxicity.train_classifier(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), sample=60)
+    truth, language = dict(labels), {i: x for i, _, x in rows}
+    assert len(model.thresholds) == 3 and len(set(model.thresholds)) == 3
+    scored = toxicity.score_texts(docs, model).collect()
+    for lang in ("en", "de"):
+        score, label = (np.array(x) for x in zip(*[(r["score"], truth[r["doc_id"]]) for r in scored if language[r["doc_id"]] == lang]))
+
+        def f1(bound, score=score, label=label):
+            hit = ((score >= bound) & (label == 1)).sum()
+            return 2 * hit / ((score >= bound).sum() + label.sum())
+
+        assert f1(toxicity.DECISION) > max(f1(x) for x in score) - 0.03
+
+
+def test_fitted_rows_do_not_choose_and_classes_keep_their_share(spark):
+    model = toxicity.Classifier.fresh()
+    model.thresholds = np.zeros(1)
+    # 30 toxic rows of which 20 were fitted; the other ten stand for all 30 beside 40 clean rows.
+    rows = [(0, 2560, True, 1, 20), (0, 256, False, 1, 9), (0, 0, False, 1, 1), (0, 0, False, 0, 4), (0, -256, False, 0, 36)]
+    toxicity.choose_thresholds(model, spark.createDataFrame(rows, "guess int, step int, fitted boolean, label int, n long"))
+    assert 0 < model.thresholds[0] <= 1 + toxicity.STEP
