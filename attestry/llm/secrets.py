@@ -38,8 +38,10 @@ ENDPOINT = re.compile(rb"""(?:[A-Za-z][A-Za-z0-9+.-]*)?://[^\s"'<>]+|arn:[A-Za-z
 #: another begins with, so none hides another.
 ANCHOR = re.compile(rb"passw|secre|toke|api|aki|user|logi|acco|clien|://|arn")
 STARTS = {b"p": ASSIGN, b"s": ASSIGN, b"t": ASSIGN, b"u": USER, b"l": USER, b"c": USER, b":": ENDPOINT}
-#: Length of a weak candidate: a run of token characters with a digit and a letter of either case.
-WEAK = (20, 64)
+#: Least length of a weak candidate: token characters with a digit and a letter of either case.
+WEAK = 20
+#: What stands between a name and its value; an equals sign at the end of a run is padding.
+SEPARATOR = re.compile(rb"=+(?=[^=])")
 SCOPE = 400
 PART = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 PART_TYPE = "array<struct<kind: string, start: long, end: long>>"
@@ -96,10 +98,23 @@ def runs(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str, int,
         yield row, "hex", hexes.starts[at] - offsets[row], hexes.ends[at] - offsets[row]
     tokens = Words(raw, offsets, TOKEN)
     length = tokens.ends - tokens.starts
-    for at in np.flatnonzero((length >= WEAK[0]) & (length <= WEAK[1])):
-        word, row = tokens.word(at), tokens.rows[at]
-        if re.search(rb"[0-9]", word) and re.search(rb"[a-z]", word) and re.search(rb"[A-Z]", word):
-            yield row, "weak", tokens.starts[at] - offsets[row], tokens.ends[at] - offsets[row]
+    for at in np.flatnonzero(length >= WEAK):
+        row = tokens.rows[at]
+        for start, end in weak_parts(tokens.word(at)):
+            yield row, "weak", tokens.starts[at] + start - offsets[row], tokens.starts[at] + end - offsets[row]
+
+
+def weak_parts(run: bytes) -> list[tuple[int, int]]:
+    """Weak candidates of a run: its parts between separators, or the whole run where no part is one."""
+
+    def weak(word: bytes) -> bool:
+        return len(word) >= WEAK and all(re.search(kind, word) for kind in (rb"[0-9]", rb"[a-z]", rb"[A-Z]"))
+
+    if not weak(run):
+        return []
+    cuts = [0, *(x for m in SEPARATOR.finditer(run) for x in m.span()), len(run)]
+    parts = [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True) if weak(run[a:b])]
+    return parts or [(0, len(run))]
 
 
 def scan(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -173,7 +188,7 @@ def find_secrets(
     """Per row: ``doc_id, spans``: kind, start and end of every reported secret, in order of start, then kind.
 
     Kinds are those of the fixed patterns, and ``weak`` for linked candidates; a weak candidate that a fixed pattern's
-    span covers is not reported again. A null or empty text has no spans. Repeated rows are reported
+    span covers is not reported again. It has no greatest length, and in ``name=value`` it is the value alone. A null or empty text has no spans. Repeated rows are reported
     each on their own, and so are rows without an id. Other columns are not read.
     """
     found = stored(scan(documents, id_column, text_column), "secret-parts")

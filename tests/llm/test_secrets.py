@@ -72,3 +72,22 @@ def test_awkward_rows(awkward, nothing):
     rows = found.where(F.size("spans") > 0).collect()
     assert [(r["doc_id"], base(r)) for r in rows] == [(-10, [("assign", 21, 37)])]
     assert secrets.find_secrets(nothing).count() == 0
+
+
+def test_long_secrets_and_long_names(spark):
+    rng = random.Random(3)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    storage, key, long = ("".join(rng.choice(chars) for _ in range(n)) + "aB3" for n in (83, 37, 400))
+    storage += "=="
+    company = "login: bob99 https://db.example.com/x"
+    texts = [
+        f"{company} AccountKey={storage}",
+        f"{company} S3_BUCKET_AWS_SECRET_ACCESS_KEY={key}",
+        f"{company} {long}",
+        f"{company} one=two={key}",
+        f"{company} Database_1=Short9Value",
+        f"AccountKey={storage}",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "weak"] for r in secrets.find_secrets(df).collect()}
+    assert found == {0: [storage], 1: [key], 2: [long], 3: [key], 4: ["Database_1=Short9Value"], 5: []}
