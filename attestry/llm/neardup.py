@@ -10,12 +10,14 @@ shares most buckets with others, so n members give n - 1 pairs. Pairs are measur
 A star may miss links between members that are not similar enough to its centre. So the measured pairs
 also form clusters, at a lower similarity; where a cluster holds several groups, the sets
 outside its largest group are compared with all its members, exactly, in blocks of bounded size. A block's
-task returns only the links that join groups. Sets too small to differ by more than one
+task returns only the links that join groups. Buckets that then still hold several groups are compared
+in the same way, so every linked pair that shares a bucket is found. Sets too small to differ by more than one
 shingle do not rely on chance: they meet in buckets of their exact set with one shingle left out.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,8 @@ SLACK = 20
 #: Shingles of the sets that one side of a block holds.
 BLOCK_SHINGLES = 500_000
 COLUMNS = 2048
+#: Sets of either side that are compared at once within a block.
+TILE = 2000
 DONORS = np.stack([np.random.RandomState(1000 + i).permutation(BINS) for i in range(BINS)])
 
 
@@ -264,9 +268,7 @@ def links_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         sides = [rows[rows["outside"]], rows[~rows["outside"]]]
         lists = [[np.frombuffer(s, np.uint64) for s in side["set"]] for side in sides]
-        common = shared_counts(*lists)
         sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in lists]
-        linked = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
         nodes, labels = ([side[c].to_numpy() for side in sides] for c in ("node", "label"))
         group = {x: x for x in np.concatenate(labels).tolist()}
 
@@ -277,16 +279,55 @@ def links_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             return x
 
         found = []
-        for a, b in zip(*np.nonzero(linked & (labels[0][:, None] != labels[1][None, :])), strict=True):
-            one, two = root(int(labels[0][a])), root(int(labels[1][b]))
-            if one != two:
-                group[one] = two
-                found.append((nodes[0][a], nodes[1][b]))
+        for i, j in itertools.product(*(range(0, len(side), TILE) for side in lists)):
+            left, right = slice(i, i + TILE), slice(j, j + TILE)
+            common = shared_counts(lists[0][left], lists[1][right])
+            linked = 100 * common >= percent * (sizes[0][left, None] + sizes[1][None, right] - common)
+            for a, b in zip(*np.nonzero(linked & (labels[0][left, None] != labels[1][None, right])), strict=True):
+                one, two = root(int(labels[0][i + a])), root(int(labels[1][j + b]))
+                if one != two:
+                    group[one] = two
+                    found.append((nodes[0][i + a], nodes[1][j + b]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return blocks.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+def mixed_buckets(shared: DataFrame, centers: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """``cluster, node, n, label``: banded buckets that hold several groups and pairs without their centre.
+
+    Of buckets with the same members one stands for all. In the buckets of small sets the star is complete.
+    """
+    banded = centers.where((F.col("lead") == 0) & (F.col("m") >= small_limit(percent))).select("key")
+    held = shared.where("size > 2").select("key", "node", "n").join(banded, "key").join(labels, "node", "left")
+    held = stored(held.withColumn("label", F.coalesce("label", "node")), "near-held")
+    mixed = held.groupBy("key").agg(
+        F.count("*").alias("size"),
+        F.min("label").alias("least"),
+        F.max("label").alias("most"),
+        F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"),
+    ).where("least <> most")
+    mixed = stored(mixed.groupBy("size", "one", "two").agg(F.min("key").alias("key")).select("key"), "near-open")
+    return stored(held.join(mixed, "key").withColumnRenamed("key", "cluster"), "near-mixed-members")
+
+
+def joined_labels(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` after the links ``more`` between nodes of different groups."""
+    if more.isEmpty():
+        return labels
+    joined = more.join(labels.alias("l"), F.col("a") == F.col("l.node"), "left").select(
+        F.coalesce("l.label", "a").alias("a"), "b"
+    ).join(labels.alias("r"), F.col("b") == F.col("r.node"), "left").select("a", F.coalesce("r.label", "b").alias("b"))
+    over = stored(connected_components(joined, "near-joined"), "near-over").select(
+        F.col("node").alias("label"), F.col("label").alias("top")
+    )
+    # A group's label stands for all its nodes, and so does a node that had no link.
+    labels = labels.unionByName(over.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti"))
+    labels = labels.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return stored(labels, "near-labels")
+
+
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every left with every right set, by products of membership matrices."""
     out = np.zeros((len(left), len(right)), np.int64)
@@ -343,15 +384,17 @@ def near_duplicates(
         .agg(F.min(F.struct("rank", -F.col("weight"), "node", "n")).alias("center"))
         .select("key", F.col("center.rank").alias("lead"), F.col("center.node").alias("a"), F.col("center.n").alias("m"))
     )
+    centers = stored(centers, "near-centers")
     stars = (
-        shared.join(stored(centers, "near-centers"), "key")
+        shared.join(centers, "key")
         .where("node <> a and lead = 0")
         .where(near_sizes(percent - SLACK))
         .select("a", F.col("node").alias("b"))
         .distinct()
     )
     stars = stored(stars, "near-stars")
-    ends = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    ends = stars.select(F.col("a").alias("node")).union(stars.select("b"))
+    ends = ends.union(shared.where((F.col("size") > 2) & (F.col("n") >= small_limit(percent))).select("node")).distinct()
     sets = stored(class_sets(ends, classes, docs, width), "near-sets")
     pairs = stored(measured(stars, sets), "near-pairs")
     links = pairs.where(F.col("common") * 100 >= F.col("union") * percent).select("a", "b")
@@ -363,17 +406,9 @@ def near_duplicates(
     members = clusters.join(labels, "node", "left").join(classes.select("node", F.col("n_shingles").alias("n")), "node")
     members = stored(members.withColumn("label", F.coalesce("label", "node")), "near-members")
     more = stored(links_across(members, sets, percent), "near-more")
-    if not more.isEmpty():
-        joined = more.join(labels.alias("l"), F.col("a") == F.col("l.node"), "left").select(
-            F.coalesce("l.label", "a").alias("a"), "b"
-        ).join(labels.alias("r"), F.col("b") == F.col("r.node"), "left").select("a", F.coalesce("r.label", "b").alias("b"))
-        over = stored(connected_components(joined, "near-joined"), "near-over").select(
-            F.col("node").alias("label"), F.col("label").alias("top")
-        )
-        # A group's label stands for all its nodes, and so does a node that had no link.
-        labels = labels.unionByName(over.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti"))
-        labels = labels.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-        labels = stored(labels, "near-labels")
+    labels = joined_labels(labels, more)
+    rest = mixed_buckets(shared, centers, labels, percent)
+    labels = joined_labels(labels, stored(links_across(rest, sets, percent), "near-rest"))
 
     named = classes.select("node", "rep").join(labels, "node", "left").select(
         "node", "rep", F.coalesce("label", "node").alias("label")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from attestry.llm import neardup
@@ -113,3 +114,31 @@ def test_components(spark):
     assert len({label[i] for i in range(31)}) == 1 and len({label[i] for i in range(100, 160)}) == 1
     assert label[0] != label[100] and len(label) == 31 + 60
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_linked_pairs_of_a_bucket_far_from_its_centre(spark, monkeypatch):
+    """Many documents share most of their text, and meet in one bucket only; pairs among them are linked."""
+    monkeypatch.setattr(neardup, "BANDS", 1)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(201)]
+
+    def band(words):
+        _, value, offsets = next(neardup.shingle_sets(pa.array([" ".join(words)]), 2))
+        return tuple(neardup.signatures(value, offsets)[0, : neardup.ROWS])
+
+    def drawn(make):
+        return next(words for words in iter(make, None) if band(words) == hot)
+
+    hot = band(passage)
+    texts = []
+    for at in range(40):
+        words = drawn(lambda: passage + [f"own{rng.randrange(10**9)}" for _ in range(100)])
+        texts.append(" ".join(words))
+        if at % 5 == 0:
+            copy = drawn(lambda words=words: passage + varied(rng, " ".join(words[201:]), 7).split())
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    found = sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()))
+    expected = brute_force(rows, 2, 80)
+    assert sum(not kept for *_, kept in expected) >= 8 and found == expected
