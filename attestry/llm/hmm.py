@@ -27,8 +27,6 @@ from attestry.llm.words import NOT_SPACE, Words, mix, pieces, text_bytes
 STATES = 4
 #: Words with an emission of their own in the tied rounds; bounds what is sent to the tasks.
 HEAD = 20_000
-#: A word that no block holds this often is not considered for the head.
-HEAD_COUNT = 8
 ROUNDS = 6
 THIRDS = 3
 SEGMENT = 128
@@ -304,18 +302,18 @@ def tied_rounds(blocks: DataFrame) -> TiedModel:
         for _, block in block_rows(batches):
             learned = np.repeat(~block.held, np.diff(block.offsets))
             count = np.bincount(block.tokens[learned], minlength=len(block.words))
-            some = count >= HEAD_COUNT
-            words = np.append(block.words[some], END_WORD).view(np.int64)
-            rest = int(count[~some].sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words), pa.array(np.append(count[some], 0)), pa.array(np.append(np.zeros(some.sum(), np.int64), rest))],
-                ["word", "n", "rest"],
-            )
+            some = count > 0
+            yield pa.RecordBatch.from_arrays([pa.array(block.words[some].view(np.int64)), pa.array(count[some])], ["word", "n"])
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held, offsets in zip(*batch.columns, strict=True):
+                learned = ~np.frombuffer(held.as_buffer(), "u1").astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array([int(np.diff(np.frombuffer(offsets.as_buffer(), "<i8"))[learned].sum())])], ["n"])
 
-    sums = blocks.mapInArrow(often, "word long, n long, rest long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"))
-    sums = stored(sums, "hmm-often")
-    total = sums.agg(F.sum(F.col("n") + F.col("rest"))).first()[0] or 0
-    top = sums.where("n > 0").orderBy(F.desc("n"), "word").limit(HEAD).select("word", "n").toPandas()
+    sums = blocks.mapInArrow(often, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = blocks.select("held", "offsets").mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
+    top = sums.orderBy(F.desc("n"), "word").limit(HEAD).select("word", "n").toPandas()
     head = top["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(head)
     model = first_model(head[order], top["n"].to_numpy()[order], total)

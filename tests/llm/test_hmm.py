@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.llm import hmm
+from attestry.llm.storage import stored
 
 
 def chain(rng, states):
@@ -102,3 +103,11 @@ def test_nothing_to_learn_or_score(awkward, nothing):
     found = hmm.score_documents(awkward.withColumn("held_out", F.lit(True))).collect()
     assert {(r["train_tokens"], r["n_known"], r["base_score"]) for r in found} == {(0, 0, 0.0)}
     assert all(abs(r["score"]) < 1e-9 for r in found)
+
+
+def test_head_does_not_depend_on_partitions(spark):
+    texts = [(i, False, f"the cat w{i % 40} and w{i % 7} v{i}") for i in range(120)]
+    df = spark.createDataFrame(texts, "doc_id long, held boolean, text string")
+    one, many = (hmm.tied_rounds(stored(hmm.encode(df.repartition(n), "held"), f"head-{n}")) for n in (1, 60))
+    assert len(one.head) == 1 + 3 + 40 + 120 and (one.head == many.head).all()
+    np.testing.assert_allclose(one.background, many.background)
