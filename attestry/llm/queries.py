@@ -8,8 +8,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import bitslice, decontaminate, hmm, language, mixing, neardup, secrets, shard, toxicity, warc
-from attestry.llm.storage import table, text_batches
+import public_tokenizers
+
+from attestry.llm import (
+    audit,
+    bitslice,
+    decontaminate,
+    hmm,
+    language,
+    mixing,
+    neardup,
+    packing,
+    secrets,
+    shard,
+    spelling,
+    toxicity,
+    warc,
+)
+from attestry.llm.storage import bounded_batches, table, text_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +38,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         @functools.wraps(function)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            bounded_batches(spark)
             return function(spark, sf_dir)
 
         QUERIES[name] = run
@@ -242,3 +259,99 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
+
+
+@query("op11_filter_audit", """
+with texts as (
+  select doc_id, coalesce(source, '') part, coalesce(text, '') t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+marked as (
+  select doc_id, part,
+    (len(w) < 200)::int
+    + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int
+    + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int flags
+  from texts),
+known as (
+  select doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic from labels group by doc_id),
+flagged as (
+  select part, flags, coalesce(good, false) good, coalesce(toxic, false) toxic from marked left join known using (doc_id)),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) l),
+orders as (
+  select a.l || b.l || c.l || d.l || e.l filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps as (
+  select filter_order, step,
+    1 << (ascii(substr(filter_order, step, 1)) - 65) own,
+    list_sum(list_transform(range(1, 6), lambda i: case when i < step then 1 << (ascii(substr(filter_order, i, 1)) - 65) else 0 end)) earlier
+  from orders, (select unnest([1, 2, 3, 4, 5]) step)),
+counts as (select part, flags, good, toxic, count(*) n from flagged group by all),
+found as (
+  select part, filter_order, cast(step as int) step, own,
+    cast(coalesce(sum(n) filter (flags & (earlier | own) = 0), 0) as bigint) kept,
+    cast(coalesce(sum(n) filter (flags & earlier = 0 and flags & own <> 0), 0) as bigint) removed,
+    cast(coalesce(sum(n) filter (flags & earlier <> 0 and flags & own <> 0), 0) as bigint) redundant,
+    cast(coalesce(sum(n) filter (flags = own), 0) as bigint) unique_fails,
+    cast(coalesce(sum(n) filter (flags & earlier = 0 and flags & own <> 0 and good), 0) as bigint) good_lost,
+    cast(coalesce(sum(n) filter (flags & earlier = 0 and flags & own <> 0 and toxic), 0) as bigint) toxic_lost
+  from counts, steps group by part, filter_order, step, own)
+select * exclude (own), cast(sum(removed) over (partition by part, own) as bigint) shapley from found
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer, capacity=2048)
+
+
+@query("op13_spelling", """
+with recursive crc_table as (
+  select list_transform(range(256), lambda b: list_reduce(
+    list_prepend(b, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) crc),
+runs as (
+  select doc_id, run, count(*) occurrences from (
+    select doc_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-zÀ-ÿ]+')) run
+    from documents)
+  group by all),
+digits as (
+  select *, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) h from runs),
+hashed as (
+  select run, occurrences, xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+    lambda c, b: xor(crc[xor(c & 255, b) + 1], c >> 8))) h
+  from digits, crc_table),
+results as (
+  select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end word,
+    occurrences from hashed),
+words as (
+  select word, cast(sum(occurrences) as bigint) n from results where length(word) >= 5
+  group by word having sum(occurrences) >= 3),
+places as (
+  select word, n, i, substr(word, 1, i) || ' ' || substr(word, i + 2) gap, substr(word, 1, i) || substr(word, i + 2) less
+  from (select word, n, unnest(range(length(word))) i from words)),
+near as (
+  select a.word, a.n, b.word near, b.n near_n from places a join places b using (i, gap) where a.word <> b.word
+  union
+  select p.word, p.n, w.word, w.n from places p join words w on w.word = p.less
+  union
+  select w.word, w.n, p.word, p.n from places p join words w on w.word = p.less),
+best as (
+  select word, count(*) n_near, arg_min(near, (-near_n, near)) near, max(near_n) near_n from near group by word),
+formed as (
+  select w.word, w.n, coalesce(n_near, 0) n_near, case when near_n >= 2 * w.n then near end form,
+    case when near_n >= 2 * w.n then near_n end form_n
+  from words w left join best b on b.word = w.word),
+ways as (
+  select word, word last, form next from formed
+  union all
+  select y.word, f.word, f.form from ways y join formed f on f.word = y.next)
+select f.word, form, last root, n, n_near, form_n from formed f join ways y on y.word = f.word and y.next is null
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))

@@ -11,6 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes that go to a task's Python side at once, besides the one row that passes them.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on, what goes to a task's Python side at once is bounded by its bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_batches(spark: SparkSession, rows: int) -> None:
     """From now on, at most so many rows go to a task's Python side at once.
 

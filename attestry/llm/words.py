@@ -61,6 +61,13 @@ def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]
         first = last
 
 
+def counted(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many marks are set in every row."""
+    before = np.zeros(len(marks) + 1, dtype=np.int64)
+    np.cumsum(marks, out=before[1:])
+    return before[offsets[1:]] - before[offsets[:-1]]
+
+
 class Words:
     """The words of a run of rows: byte bounds, hashes, and word offsets per row."""
 
@@ -94,5 +101,12 @@ class Words:
         value *= self.inside[first:] & (place < width) if width else self.inside[first:]
         return mix(np.add.reduceat(value, self.starts - first))
 
+    def encoded(self) -> pa.DictionaryArray:
+        """Every word as its place in the list of distinct words."""
+        bounds = np.zeros(len(self.starts) + 1, dtype=np.int32)
+        np.cumsum(self.ends - self.starts, out=bounds[1:])
+        letters = self.data[self.inside]
+        return pa.StringArray.from_buffers(len(self.starts), pa.py_buffer(bounds), pa.py_buffer(letters)).dictionary_encode()
+
     def word(self, at: int) -> bytes:
         return self.data[self.starts[at] : self.ends[at]].tobytes()

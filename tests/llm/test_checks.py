@@ -18,4 +18,5 @@ def test_query(spark, name):
 def test_rows(spark, name):
     table = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     found = QUERIES[name](spark, SF_DIR)
-    assert found.count() == table.count() and found.select("doc_id").distinct().count() == table.count()
+    # op12 gives a row per piece of a document
+    assert (found.count() == table.count() or name == "op12_packing") and found.select("doc_id").distinct().count() == table.count()
