@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.ids import PROPOSAL_NAMESPACE, uuid5
 from attestry.functions.ordering import position, running_total
-from attestry.functions.scoring import gram_codes
+from attestry.functions.grams import gram_codes
 from attestry.functions.text import slugify, strip, trigram_similarity, trigrams, wrap_source
 
 TEXTS = [
