@@ -14,19 +14,23 @@ from pyspark.sql import functions as F
 
 from attestry.llm import decontaminate, language, mixing, neardup, shard
 from attestry.llm.bloom import maybe_in
-from attestry.llm.storage import stored, table, text_batches
+from attestry.llm.storage import bounded_batches, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 SHARDS = 8
-#: Documents in a batch of texts that a task works on.
-BATCH = 1000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out texts in which no language can be told: null, or without a letter."""
-    text_batches(spark, BATCH)
-    labelled = language.label_texts(docs, language.train_languages(docs), carry=True)
+    """Leave out texts in which no language can be told: null, or without a letter.
+
+    Without a labelled row no language is known, and texts with a letter stay all the same.
+    """
+    bounded_batches(spark)
+    model = language.train_languages(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    labelled = language.label_texts(docs, model, carry=True)
     return labelled.where(F.col("lang_pred") != language.UNDETERMINED).select("row.*")
 
 
@@ -40,9 +44,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), "doc_id", number.alias("_id"), text.alias("_text"))
 
 
-def once(docs: DataFrame) -> DataFrame:
-    """Rows of one id and text as one."""
-    return keyed(docs).dropDuplicates(["_id", "_text"])
+def once(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """Rows of one id and text as one. ``listed`` holds ``_id, _text`` of every row.
+
+    Only rows whose id and text several rows may have are shuffled for it.
+    """
+    both = F.xxhash64("_id", "_text").alias("_both")
+    several = listed.groupBy("_id", "_text").agg(F.count("*").alias("n")).where("n > 1").select(both)
+    several = stored(several, "repeated-rows")
+    flagged = keyed(docs).withColumn("_both", both).withColumn("_maybe", maybe_in(several, "_both"))
+    columns = ["row", "_id", "_text"]
+    some = flagged.where("_maybe").select(columns).dropDuplicates(["_id", "_text"])
+    return flagged.where("not _maybe").select(columns).unionByName(some)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +64,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows of one id and text are one document. Rows without an id all stay. Only rows that may have to go are
     shuffled: those whose id a filter of the dropped and repeated ids holds.
     """
-    text_batches(spark, BATCH)
+    bounded_batches(spark)
     found = neardup.near_duplicates(docs, width=5, percent=80).where("doc_id is not null")
     ids = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
     touched = stored(ids.where("not kept or n > 1"), "touched-ids")
@@ -65,30 +78,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that hold a benchmark window."""
-    text_batches(spark, BATCH)
+    bounded_batches(spark)
     found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), carry=True)
     return found.where(F.size("hits") == 0).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it, from not at all to three times."""
-    taken = mixing.mix_sources(docs).where("taken > 0")
-    taken = taken.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
-        F.col("text_key").alias("_text"),
-        F.expr("explode(sequence(1, cast(taken div size as int)))"),
-    )
-    return once(docs).join(stored(taken.select("_id", "_text"), "taken"), ["_id", "_text"]).select("row.*")
+    bounded_batches(spark)
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
+    taken = stored(mixing.mix_sources(docs).select(number, F.col("text_key").alias("_text"), "size", "taken"), "taken")
+    copies = taken.where("taken > 0").groupBy("_id", "_text").agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies"))
+    found = once(docs, taken).join(copies, ["_id", "_text"])
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def split_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard and its slot there; columns of these names are replaced."""
+    bounded_batches(spark)
     placed = shard.assign_shards(docs, SHARDS)
-    placed = placed.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_key").alias("_text"), "shard", "slot"
-    )
-    rest = docs.drop("shard", "slot")
-    return once(rest).join(stored(placed, "placed"), ["_id", "_text"]).select("row.*", "shard", "slot")
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
+    placed = stored(placed.select(number, F.col("text_key").alias("_text"), "shard", "slot"), "placed")
+    return once(docs.drop("shard", "slot"), placed).join(placed, ["_id", "_text"]).select("row.*", "shard", "slot")
 
 
 STAGES: list[tuple[str, Stage]] = [
