@@ -5,22 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from attestry.operators.commit import next_snapshot
+from attestry.operators.register import FEATURE
 from attestry.operators.review import register_decisions
-from attestry.streaming.sink import read_batches, start, write_batch
+from attestry.streaming.keyed import KeyedLog
+from attestry.streaming.sink import read_batch, start, write_batch
 
 
 def latest_snapshot(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete snapshot table below ``folder``, or None."""
-    written = read_batches(spark, folder, before)
-    if written is None:
-        return None
-    newest = written.agg(F.max("batch")).first()[0]
-    # a fixed number, so that only the files of this snapshot are read
-    return None if newest is None else written.where(F.col("batch") == newest).drop("batch")
+    """The register table below ``folder`` after its newest whole batch, or None."""
+    return KeyedLog(spark, folder).newest(before)
 
 
 def stream_commit(
@@ -33,35 +29,50 @@ def stream_commit(
     folder: str,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     mode: str = "append",
+    compact_every: int = 8,
     **options,
 ) -> StreamingQuery:
-    """Commit approved proposals batch by batch, as snapshots ``folder``/entries and /field_sources.
+    """Commit approved proposals batch by batch; ``folder``/entries and /field_sources log what they change.
 
-    One query is the only writer of a register, so commits are serial. A batch
-    starts from the snapshot before its own number, and so gives the same
-    snapshot when it is run again. ``prepare`` turns a batch into review rows.
-    Items that an earlier batch decided are listed in ``folder``/decided and
-    are not applied a second time.
+    One query is the only writer of a register, so commits are serial. A batch reads the entries that its approved
+    proposals name, by bucket, and writes those entries and all their field sources as deltas, so what it reads and
+    writes does not grow with the register or with the batches before it; every ``compact_every`` batches a new base
+    is written. A batch starts from the state before its own number, and so gives the same deltas when it is
+    run again. ``prepare`` turns a batch into review rows. Items that an earlier batch decided are listed in
+    ``folder``/decided and are not applied a second time.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        decisions = batch if prepare is None else prepare(batch)
-        decided = read_batches(spark, f"{folder}/decided", before=number)
-        if decided is not None:
-            decisions = decisions.join(decided.select("item_id"), "item_id", "left_anti")
-        before = latest_snapshot(spark, f"{folder}/entries", before=number)
-        backing = latest_snapshot(spark, f"{folder}/field_sources", before=number)
-        after, sources = next_snapshot(
-            entries if before is None else before,
-            field_sources if backing is None else backing,
-            register_decisions(additions, decisions),
-            addition_claims,
-            register_decisions(changes, decisions),
-            mode,
-        )
-        write_batch(decisions.select("item_id").distinct(), f"{folder}/decided", number)
-        write_batch(sources, f"{folder}/field_sources", number)
-        write_batch(after, f"{folder}/entries", number)
+        decided = KeyedLog(spark, f"{folder}/decided", ["item_id"])
+        stored = KeyedLog(spark, f"{folder}/entries", FEATURE)
+        backing = KeyedLog(spark, f"{folder}/field_sources", ["entry_id"])
+        stored.begin(entries)
+        backing.begin(field_sources.select("entry_id", "field", "claim_id"))
+        if number and number % compact_every == 0:
+            for log in (decided, stored, backing):
+                log.compact(number - 1)
+
+        write_batch(batch if prepare is None else prepare(batch), f"{folder}/arrived", number)
+        decisions = read_batch(spark, f"{folder}/arrived", number)
+        known = decided.rows(number, decided.buckets_of(decisions))
+        if known is not None:
+            decisions = decisions.join(known.select("item_id"), "item_id", "left_anti")
+        added, changed = register_decisions(additions, decisions), register_decisions(changes, decisions)
+        write_batch(added.where("status = 'approved'"), f"{folder}/approved_additions", number)
+        write_batch(changed.where("status = 'approved'"), f"{folder}/approved_changes", number)
+        added = read_batch(spark, f"{folder}/approved_additions", number)
+        changed = read_batch(spark, f"{folder}/approved_changes", number)
+
+        named = added.select(*FEATURE).unionByName(changed.select(*FEATURE)).distinct()
+        before = stored.newest(number, stored.buckets_of(named)).join(named, FEATURE, "left_semi")
+        owners = before.select("entry_id").unionByName(changed.select("entry_id")).distinct()
+        sources = backing.newest(number, backing.buckets_of(owners)).join(owners, "entry_id", "left_semi")
+        after, sources = next_snapshot(before, sources, added, addition_claims, changed, mode)
+        decided.append(decisions.select("item_id").distinct(), number)
+        backing.append(sources, number)
+        stored.append(after, number)
+        for log in (decided, backing, stored):
+            log.commit(number)
 
     return start(reviews, handle, f"{folder}/_commit_checkpoint", **options)

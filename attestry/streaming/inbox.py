@@ -11,8 +11,10 @@ from attestry.operators.chunks import chunk_documents, chunk_segments, dedupe, n
 from attestry.operators.reports import inbox_owner
 from attestry.sources.files import FILE_SCHEMA, rejected_files, scan_documents
 from attestry.sources.segments import joined_text, segment_csv_rows, segment_json_elements
-from attestry.streaming.sink import read_batch, read_batches, start, write_batch
+from attestry.streaming.keyed import KeyedLog
+from attestry.streaming.sink import read_batch, start, write_batch
 
+CONTENT = ["corpus_id", "content_hash"]
 REFUSED = ["path", "corpus_id", "filename", "extension", "reason"]
 DOCUMENT = ["doc_id", "corpus_id", "filename", "content_hash", "mime_type", "text"]
 
@@ -69,12 +71,15 @@ def parsed_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored.withColumn("text", F.coalesce("text", F.lit(""))).select(DOCUMENT), chunks
 
 
-def stream_inbox(files: DataFrame, corpora: DataFrame, folder: str, **options) -> StreamingQuery:
+def stream_inbox(
+    files: DataFrame, corpora: DataFrame, folder: str, compact_every: int = 16, **options
+) -> StreamingQuery:
     """Ingest a stream of files into ``folder``/documents, /chunks, /runs and /rejects.
 
     Every accepted file starts one update run, also when its content was known:
     then the known document triggers it. Documents are stored once per corpus
-    and content. A file that cannot be read as a document is a row of
+    and content; ``folder``/contents holds the keys of all of them in buckets, of which a batch reads those
+    of its own keys, and which are written together every ``compact_every`` batches. A file that cannot be read as a document is a row of
     /rejects with the reason, and starts no run.
     """
 
@@ -87,8 +92,11 @@ def stream_inbox(files: DataFrame, corpora: DataFrame, folder: str, **options) -
         write_batch(refused_files(batch, corpora).unionByName(unparsed), f"{folder}/rejects", number)
         refused = read_batch(spark, f"{folder}/rejects", number)
         found = arrived.join(refused.select("path"), "path", "left_anti")
-        stored = read_batches(spark, f"{folder}/documents", before=number)
-        fresh = dedupe(found, ["corpus_id", "content_hash"], ["path"])
+        contents = KeyedLog(spark, f"{folder}/contents", CONTENT)
+        if number and number % compact_every == 0:
+            contents.compact(number - 1)
+        stored = contents.rows(number, contents.buckets_of(found))
+        fresh = dedupe(found, CONTENT, ["path"])
         if stored is not None:
             fresh = new_documents(fresh, stored)
         runs = found.select(
@@ -105,5 +113,7 @@ def stream_inbox(files: DataFrame, corpora: DataFrame, folder: str, **options) -
         write_batch(runs, f"{folder}/runs", number)
         write_batch(chunks, f"{folder}/chunks", number)
         write_batch(documents, f"{folder}/documents", number)
+        contents.append(read_batch(spark, f"{folder}/documents", number).select(CONTENT), number)
+        contents.commit(number)
 
     return start(files, handle, f"{folder}/_inbox_checkpoint", **options)
