@@ -34,45 +34,70 @@ ROUNDS, CELLS, FINER = 1500, 1024, 50
 STEP, SHARE = 2.0, 0.05
 #: Parts of the fractional solution that are tried as whole sequences; 0 is best fit alone.
 SCALES = (1.0, 0.9, 0.75, 0.5, 0.0)
-#: Tokenized words that a task remembers.
-REMEMBERED = 200_000
+#: Words that a worker remembers the ids of, words tokenized in one call, and the mark between them.
+REMEMBERED, AT_ONCE, MARK = 1_500_000, 4096, "\x01"
 #: Blocks that the pieces of one length are ranked in.
 BLOCKS = 256
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, at long"
 
 
-@cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 class WordTokens:
     """Ids of single words, remembered. The tokenizer must treat words between blanks apart."""
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def of(self, words: list[str]) -> list[np.ndarray]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self._single([MARK])[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=np.uint32)
+
+    def _single(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of many words from one text that holds a mark between them."""
+        found = self._single([f" {MARK} ".join(words)])[0]
+        if len(self.mark) == 1 and not any(MARK in word for word in words):
+            ends = np.flatnonzero(found == self.mark[0])
+            if len(ends) == len(words) - 1:
+                bounds = zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(found)], strict=True)
+                return [found[a:b] for a, b in bounds]
+        return self._single(words)
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``ids, begins, sizes``: the ids of word i are ``sizes[i]`` from ``begins[i]`` on."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.forget()
         fresh = [word for word in words if word not in self.known]
-        for word, found in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, dtype=np.uint32)
-        return [self.known[word] for word in words]
+        if fresh:
+            found = []
+            for first in range(0, len(fresh), AT_ONCE):
+                found += self._together(fresh[first : first + AT_ONCE])
+            self.known.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh)), strict=True))
+            self.sizes = np.append(self.sizes, [len(x) for x in found])
+            self.ids = np.concatenate([self.ids, *found])
+        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        begins = np.cumsum(self.sizes) - self.sizes
+        return self.ids, begins[at], self.sizes[at]
+
+
+@cache
+def word_tokens(path: str) -> WordTokens:
+    """One memory of words for all tasks of a worker."""
+    return WordTokens(path)
 
 
 def document_ids(words: Words, tokens: WordTokens, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, an id 0 behind each row's, and row bounds."""
     encoded = words.encoded()
-    ids = tokens.of(encoded.dictionary.to_pylist())
-    sizes = np.array([len(x) for x in ids], dtype=np.int64)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    begins = np.cumsum(sizes) - sizes
+    flat, begins, sizes = tokens.of(encoded.dictionary.to_pylist())
     codes = encoded.indices.to_numpy()
     width = sizes[codes]
     before = np.zeros(len(codes) + 1, dtype=np.int64)
@@ -86,7 +111,7 @@ def document_ids(words: Words, tokens: WordTokens, rows: int) -> tuple[np.ndarra
 
 def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """``doc_id, text`` to pieces of at most ``capacity`` ids."""
-    tokens = WordTokens(path)
+    tokens = word_tokens(path)
     at = TaskContext.get().partitionId() << 36
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"), lower=False)

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from attestry.llm import packing
 from attestry.llm.packing import best_configuration, best_fit, pack_documents, plan_sequences, sequences, slots
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -48,12 +49,20 @@ def test_awkward_rows(awkward, tokenizer):
 
 @pytest.mark.parametrize("capacity", [1, 2, 7, 64])
 def test_small_capacities(spark, tokenizer, capacity):
-    words = ["the", "naïve", "ＦＵＬＬ", "don't", "<|endoftext|>", "x" * 40, "12 34", "é", " ", "\x1c", "日本"]
+    words = ["the", "naïve", "ＦＵＬＬ", "don't", "<|endoftext|>", "x" * 40, "12 34", "é", " ", "\x1c", "日本", "a\x01b", "\x01", "\u0308x", "ΑΣ"]
     texts = [(i, " ".join(words[j % len(words)] for j in range(i, 3 * i))) for i in range(30)] + [(None, None), (None, ""), (3, " \n")]
     documents = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
     check(pack_documents(documents, PATH, capacity), texts, tokenizer, capacity)
 
 
+def test_forgotten_words_are_tokenized_again(awkward, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 2)
+    words = packing.WordTokens(PATH)
+    for text in (["ab", "abc"], ["abcd", "ab", "\x01"], ["x"], ["ab", "a\x01 \x01b"]):
+        ids, begins, sizes = words.of(text)
+        assert [ids[b : b + n].tolist() for b, n in zip(begins, sizes)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in text]
+
+
 def test_sequences_hold_the_ids(awkward, tokenizer):
     packed = pack_documents(awkward, PATH, with_ids=True).cache()
     ids = {r["sequence_id"]: r["ids"] for r in sequences(packed).collect()}
