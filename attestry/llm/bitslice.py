@@ -24,6 +24,8 @@ from attestry.llm.storage import stored
 #: Rows of an index block, and queries of a query block; both bound one task's memory.
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 256
+#: Pairs of an index and a query block in a cell of their grid.
+CELL_PAIRS = 1024
 #: Slices per dimension, and bits of a query's weight; what is left out is made up for by the exact scoring.
 VALUE_BITS = 7
 WEIGHT_BITS = 12
@@ -161,6 +163,18 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
+def grid(blocks: int, chunks: int) -> tuple[int, int]:
+    """Rows and columns of the grid on which index and query blocks meet.
+
+    A cell holds about ``CELL_PAIRS`` pairs of blocks, fewer while there are few cells. The sides are copied alike:
+    index blocks times columns is about query blocks times rows, by their size.
+    """
+    pairs = blocks * chunks
+    cells = max(1, pairs // CELL_PAIRS, min(pairs // 16, 1000))
+    down = min(blocks, max(1, round((cells * blocks * BLOCK_ROWS / (chunks * QUERY_ROWS)) ** 0.5)))
+    return down, min(chunks, -(-cells // down))
+
+
 def top_k(
     vectors: DataFrame,
     queries: DataFrame,
@@ -206,32 +220,38 @@ def top_k(
         )
 
     packed = "block int, dim int, ids binary, vectors binary"
-    index = dealt(rows, blocks).groupBy("block", "dim").applyInPandas(gather, packed)
-    index = stored(index, "slice-index")
-    # The query set meets all rows, block by block.
-    sent = dealt(asked, chunks).groupBy("block", "dim").applyInPandas(gather, packed)
-    sent = sent.select(
-        F.col("dim"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
-    answer = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    index = stored(dealt(rows, blocks).groupBy("block", "dim").applyInPandas(gather, packed), "slice-index")
+    sent = stored(dealt(asked, chunks).groupBy("block", "dim").applyInPandas(gather, packed), "slice-queries")
+    # All index blocks meet all query blocks, on a grid: an index block goes to each column, a query block to each row.
+    down, across = grid(blocks, chunks)
+
+    def each(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    left = index.select("*", (F.col("block") % down).alias("_row"), each(across).alias("_column"))
+    right = sent.select(
+        "dim", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"),
+        (F.col("block") % across).alias("_column"), each(down).alias("_row"),
+    )
+    answer = pa.schema([("query_id", pa.int64()), ("dim", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (None, None)
         for batch in batches:
             for line in range(batch.num_rows):
-                block, dim, ids, flat, query_ids, query_flat, row = (c[line].as_py() for c in batch.columns)
+                block, dim, ids, flat, query_ids, query_flat, query_block = (c[line].as_py() for c in batch.columns)
                 if held[0] != (block, dim):
                     held = ((block, dim), Index(np.frombuffer(ids, "<i8"), np.frombuffer(flat, "<i8").reshape(len(ids) // 8, dim)))
                 asked_ids = np.frombuffer(query_ids, "<i8")
                 found = [
-                    (own, row + i, *held[1].top(query, own, k))
+                    (own, (query_block << 32) + i, *held[1].top(query, own, k))
                     for i, (own, query) in enumerate(zip(asked_ids.tolist(), np.frombuffer(query_flat, "<i8").reshape(len(asked_ids), dim), strict=True))
                 ]
                 lengths = [len(f[2]) for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat([f[0] for f in found], lengths).astype(np.int64)),
+                        pa.array(np.full(sum(lengths), dim, np.int64)),
                         pa.array(np.repeat([f[1] for f in found], lengths).astype(np.int64)),
                         pa.array(np.concatenate([f[2] for f in found])),
                         pa.array(np.concatenate([f[3] for f in found])),
@@ -239,11 +259,11 @@ def top_k(
                     schema=answer,
                 )
 
-    sent = stored(sent.withColumn("row", F.shiftleft(F.xxhash64("query_ids", "query_vectors"), 9)), "slice-queries")
-    pairs = index.join(sent, ["block", "dim"]).select(
-        "block", "dim", "ids", "vectors", "query_ids", "query_vectors", "row"
+    pairs = left.join(right, ["dim", "_row", "_column"]).select(
+        "block", "dim", "ids", "vectors", "query_ids", "query_vectors", "query_block"
     )
-    best = pairs.mapInArrow(search, "query_id long, query_row long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+    best = pairs.mapInArrow(search, "query_id long, dim long, query_row long, vec_id long, score long")
+    # A query row is told by its block and its place there: equal rows, and rows of one id, are ranked each on their own.
+    order = Window.partitionBy("query_id", "dim", "query_row").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -139,7 +139,10 @@ def write_archive(
             date,
             ("Content-Type", F.lit("application/warc-fields")),
         ],
-        F.concat(F.lit("page: "), number, F.lit("\r\nfetchedBytes: "), F.col("bytes").cast("string"), F.lit("\r\n")),
+        F.concat(
+            F.lit("page: "), number, F.lit("\r\nfetchedBytes: "), F.col("bytes").cast("string"),
+            F.lit("\r\npayloadDigest: "), F.col("digest"), F.lit("\r\n"),
+        ),
     )
     # Three records of a page in one row: the separator stands between them too.
     row = F.concat(request, F.lit(END), response, F.lit(END), metadata)
@@ -237,7 +240,8 @@ def describe(headers: list[tuple[str, str]], block: bytes) -> dict:
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: the response or revisit with its request and metadata records.
 
-    A request or metadata record belongs to the capture it names as concurrent. Of several
+    A request or metadata record belongs to the capture it names as concurrent; a metadata record with a
+    ``payloadDigest`` only to captures of that digest, so captures that share an id keep their own. Of several
     requests, or metadata records, of one capture the smallest record id is kept; a capture without one has
     null there; a record that names no capture is left out. Payloads are not shuffled
     unless they are selected.
@@ -245,18 +249,20 @@ def assemble(records: DataFrame) -> DataFrame:
     named = records.where("record_type in ('request', 'metadata')").select(
         F.explode("concurrent_to").alias("capture"), "record_type", "record_id", "fields"
     )
-
-    def of(kind: str) -> DataFrame:
-        own = F.struct("record_id", F.map_entries("fields").alias("fields"))
-        return named.where(F.col("record_type") == kind).groupBy("capture").agg(F.min(own).alias(kind))
-
+    named = named.withColumn("_digest", F.try_element_at("fields", F.lit("payloadDigest")))
+    own = F.min(F.struct("record_id", F.map_entries("fields").alias("fields")))
+    requests = named.where("record_type = 'request'").groupBy("capture").agg(own.alias("request"))
+    metadata = named.where("record_type = 'metadata'")
+    general = metadata.where("_digest is null").groupBy("capture").agg(own.alias("_general"))
+    special = metadata.where("_digest is not null").groupBy("capture", F.col("_digest").alias("payload_digest")).agg(own.alias("_special"))
     captures = records.where("record_type in ('response', 'revisit')").withColumnRenamed("record_id", "capture")
-    return captures.join(of("request"), "capture", "left").join(of("metadata"), "capture", "left").select(
+    captures = captures.join(requests, "capture", "left").join(general, "capture", "left")
+    return captures.join(special, ["capture", "payload_digest"], "left").select(
         "capture",
         "target_uri",
         "request",
         F.struct("record_type", "refers_to", "payload_digest", "payload_bytes", "payload").alias("response"),
-        "metadata",
+        F.coalesce("_special", "_general").alias("metadata"),
     )
 
 

@@ -39,6 +39,38 @@ def test_same_rows_as_brute_force(spark, monkeypatch, seed, block):
     assert found == brute_force(rows, queries, 5, 1024)
 
 
+def test_many_equal_queries_lose_nothing(spark):
+    rows = [(i % 3, [float(i % 3), 1.0]) for i in range(1800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    for size in (256, 40):
+        bitslice.QUERY_ROWS, before = size, bitslice.QUERY_ROWS
+        try:
+            found = bitslice.top_k(df, df, k=5)
+            assert found.count() == 1800 * 5
+            counts = {tuple(r)[:2]: r["n"] for r in found.groupBy("query_id", "rank").count().withColumnRenamed("count", "n").collect()}
+        finally:
+            bitslice.QUERY_ROWS = before
+        assert counts == {(i, rank): 600 for i in range(3) for rank in range(1, 6)}
+
+
+def test_copies_on_the_grid_grow_slower_than_pairs():
+    def copied(blocks, chunks):
+        down, across = bitslice.grid(blocks, chunks)
+        assert 1 <= down <= blocks and 1 <= across <= chunks
+        return blocks * bitslice.BLOCK_ROWS * across + chunks * bitslice.QUERY_ROWS * down
+
+    assert bitslice.grid(1, 1) == (1, 1) and bitslice.grid(13, 9) == (13, 1)
+    # Twice the rows and queries are four times the pairs.
+    assert copied(80_000, 40_000) < 4.1 * copied(40_000, 20_000)
+    assert copied(6000, 4000) < 0.6 * 6000 * 4000 * bitslice.QUERY_ROWS
+
+
+def test_clashing_columns_are_not_read(spark):
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(30)], "vec_id long, embedding array<float>")
+    more = df.selectExpr("*", "1 as block", "'x' as dim", "2 as id", "3 as query_id", "4 as score", "5 as rank")
+    assert sorted(bitslice.top_k(more, more, 3).collect()) == sorted(bitslice.top_k(df, df, 3).collect())
+
+
 def test_nothing_to_search(spark):
     df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     none = df.where("false")

@@ -58,6 +58,27 @@ def test_repeated_and_null_ids(spark):
     ]
 
 
+@pytest.mark.parametrize("least", [0, 3])
+def test_repeated_ids_with_other_payloads(spark, least):
+    pages = [(3, "BBBB"), (5, "A"), (5, "BBBB"), (5, "CCC"), (5, "CCC"), (None, "A"), (None, "long enough"), (None, "BBBB"), (7, None), (7, "x")]
+    rows = [(p, f"http://{p}", h, "d", "o") for p, h in pages]
+    found = []
+    for c in warc.round_trip(spark.createDataFrame(rows, SCHEMA).repartition(3), least).collect():
+        fields = dict((f["key"], f["value"]) for f in c["metadata"]["fields"])
+        r = c["response"]
+        size = r["payload_bytes"] if r["payload_bytes"] is not None else int(fields["fetchedBytes"])
+        found.append((fields["page"], int(fields["fetchedBytes"]), size, r["payload_digest"], r["record_type"], r["refers_to"]))
+    expected = []
+    for page, html in pages:
+        payload = (html or "").encode()
+        ids = [p for p, h in pages if (h or "") == (html or "") and p is not None]
+        revisit = len(payload) >= least and len(pages) and bool(ids) and page != min(ids)
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        kind = ("revisit", f"<urn:page:capture:{min(ids)}>") if revisit else ("response", None)
+        expected.append(("" if page is None else str(page), len(payload), len(payload), digest, *kind))
+    assert sorted(found, key=str) == sorted(expected, key=str)
+
+
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
 
