@@ -19,7 +19,6 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.numbering import numbered
 from attestry.llm.storage import stored
 from attestry.llm.words import NOT_SPACE, Words, counted, pieces, text_bytes
 
@@ -27,6 +26,8 @@ from attestry.llm.words import NOT_SPACE, Words, counted, pieces, text_bytes
 FILTERS = "ABCDE"
 ORDERS = ["".join(order) for order in itertools.permutations(FILTERS)]
 MIN_WORDS, MIN_DISTINCT, MAX_UPPER = 200, 50, 2
+#: Words of all blocks in a part of the dictionary, about.
+PART = 200_000
 SPECIAL = np.isin(np.arange(256), list(b"#$%&*|"))
 
 ROWS = "doc_ids array<long>, sources array<string>, upper array<long>, points array<long>, special array<boolean>, digests array<binary>"
@@ -51,8 +52,12 @@ def counted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             part, rows = data[bounds[0] : bounds[-1]], bounds - bounds[0]
             words = Words(data, bounds, NOT_SPACE)
             encoded = words.encoded()
-            width = max(len(encoded.dictionary), 1)
-            cells, counts = np.unique(words.rows * width + encoded.indices.to_numpy(), return_counts=True)
+            known = encoded.dictionary
+            order = np.argsort(word_hashes(known))
+            place = np.empty(len(known), dtype=np.int64)
+            place[order] = np.arange(len(known))
+            width = max(len(known), 1)
+            cells, counts = np.unique(words.rows * width + place[encoded.indices.to_numpy()], return_counts=True)
             raw = part.tobytes()
             digests = [hashlib.sha256(raw[a:b]).digest() for a, b in itertools.pairwise(rows.tolist())]
             columns = {
@@ -66,7 +71,7 @@ def counted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 "starts": _one(np.searchsorted(cells, np.arange(last - first + 1) * width).astype(np.int32)),
                 "columns": _one((cells % width).astype(np.int32)),
                 "counts": _one(counts.astype(np.int32)),
-                "words": _one(encoded.dictionary),
+                "words": _one(known.take(pa.array(order))),
             }
             yield pa.RecordBatch.from_pydict(columns)
             number += 1
@@ -76,19 +81,56 @@ def _rows(batch: pa.RecordBatch, at: int, name: str) -> pa.Array:
     return batch.column(name)[at].values
 
 
-def renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with ``ids``, the numbers of their words, to shards: columns are global and ascend within a row."""
-    carried = [f.split()[0] for f in SHARD.split(", ")]
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Unsigned 64-bit hashes of words without blanks."""
+    data, offsets = text_bytes(words, lower=False)
+    return Words(data, offsets, NOT_SPACE).hashes()
+
+
+def dealt_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """``block, words`` to ``block, part, first, words``: a block's words by ranges of their hash, in which they are ordered."""
     for batch in batches:
-        for at in range(batch.num_rows):
-            shard = {name: batch.column(name).slice(at, 1) for name in carried}
-            starts = _rows(batch, at, "starts").to_numpy()
-            local, counts = (_rows(batch, at, name).to_numpy() for name in ("columns", "counts"))
-            ids = _rows(batch, at, "ids")
-            columns = ids.to_numpy()[local] if ids is not None else np.zeros(0, np.int64)
-            order = np.lexsort((columns, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
-            shard["columns"], shard["counts"] = _one(columns[order]), _one(counts[order])
-            yield pa.RecordBatch.from_pydict(shard)
+        for block, words in zip(batch.column("block").to_pylist(), batch.column("words"), strict=True):
+            part = ((word_hashes(words.values) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array(np.full(len(first), block)),
+                    "part": pa.array(part[first]),
+                    "first": pa.array(first.astype(np.int32)),
+                    "words": pa.ListArray.from_arrays(pa.array(np.append(first, len(part)).astype(np.int32)), words.values),
+                }
+            )
+
+
+def numbered_words(part: pa.Table) -> pa.Table:
+    """One part of the dictionary: the lists of all blocks with the numbers of their words."""
+    lists = part.column("words").combine_chunks()
+    codes = lists.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    base = part.column("part")[0].as_py() << 32
+    bounds = pa.array(np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy()))).astype(np.int32))
+    return pa.table(
+        {"block": part.column("block"), "first": part.column("first"), "numbers": pa.ListArray.from_arrays(bounds, pa.array(base + codes))}
+    )
+
+
+def part_dictionary(part: pa.Table) -> pa.Table:
+    """One part of the dictionary: its words with their numbers."""
+    words = part.column("words").combine_chunks().flatten().dictionary_encode().dictionary
+    base = part.column("part")[0].as_py() << 32
+    return pa.table({"word": words, "number": pa.array(base + np.arange(len(words)))})
+
+
+def renumbered(block: pa.Table, numbers: pa.Table) -> pa.Table:
+    """A block and the numbers of its words to a shard: columns ascend within a row."""
+    block = block.combine_chunks().to_batches()[0]
+    shard = {name: block.column(name) for name in (f.split()[0] for f in SHARD.split(", "))}
+    numbers = numbers.sort_by("first")
+    starts = _rows(block, 0, "starts").to_numpy()
+    ids = numbers.column("numbers").combine_chunks().flatten().to_numpy()
+    columns, counts = ids[_rows(block, 0, "columns").to_numpy()], _rows(block, 0, "counts").to_numpy()
+    order = np.lexsort((columns, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+    return pa.table(shard | {"columns": _one(columns[order]), "counts": _one(counts[order])})
 
 
 def matrix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,18 +157,22 @@ def term_matrix(
     """The document-term matrix: its CSR shards and its dictionary ``word, number``.
 
     A shard is a row: arrays of its documents' ids, sources and character counts, and ``starts, columns, counts``
-    of its part of the matrix. A null text is empty: a row without entries. A block holds about 2 MB of text, or one
-    longer text. An empty table gives no shards and no words.
+    of its part of the matrix; a column is a word's number. A null text is empty: a row without entries. A block holds about
+    2 MB of text, or one longer text. The dictionary has a part for each ``PART`` words of all blocks, so
+    a task numbers about so many, and a word counts once per block, however frequent it is. An empty table gives no
+    shards and no words.
     """
     read = documents.select(
         F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).cast("string").alias("source"), F.col(text_column).alias("text")
     )
     blocks = stored(read.mapInArrow(counted_blocks, BLOCK), "counted-blocks")
-    used = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    dictionary = numbered(used.select("word"), "word", "dictionary")
-    ids = used.join(dictionary, "word").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "number")))["number"].alias("ids"))
-    shards = blocks.drop("words").join(ids, "block", "left").mapInArrow(renumbered, SHARD)
-    return stored(shards, "term-matrix"), dictionary
+    parts = 1 + (blocks.agg(F.sum(F.size("words"))).first()[0] or 0) // PART
+    listed = blocks.select("block", "words").mapInArrow(
+        lambda batches: dealt_words(batches, parts), "block long, part long, first int, words array<string>"
+    )
+    numbers = listed.groupBy("part").applyInArrow(numbered_words, "block long, first int, numbers array<long>")
+    shards = blocks.drop("words").groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(renumbered, SHARD)
+    return shards, listed.groupBy("part").applyInArrow(part_dictionary, "word string, number long")
 
 
 def failed_filters(

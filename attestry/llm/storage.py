@@ -35,5 +35,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     costs no recomputation of what came before.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
