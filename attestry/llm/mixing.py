@@ -67,17 +67,20 @@ def mix_sources(
     """``doc_id, size, source_size, target, taken`` per row; ``taken`` counts repeated words.
 
     Sizes are words; null and empty texts have none and take part with zero. A null
-    source is a source of its own. Repeated rows are separate documents. Equal input gives
+    source is a source of its own. Repeated rows are separate documents. Rows without an id are queued last, by text. Equal input gives
     equal output, except that equal rows may change places. An empty
     table gives no rows. Other columns are not read.
     """
     spark = documents.sparkSession
     text = F.coalesce(F.col(text_column), F.lit(""))
+    number = F.col(id_column).cast("string")
+    # Rows without an id wait behind the others, by their texts.
+    place = F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), number)), F.concat(F.lit("~"), F.lpad(F.hex(F.xxhash64(text)), 16, "0")))
     rows = documents.select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.col(source_column).alias("source"),
         F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("")))).alias("place"),
+        place.alias("place"),
         F.xxhash64(text).alias("text_key"),
     )
     rows = stored(rows, "mix-sizes")
@@ -89,10 +92,13 @@ def mix_sources(
     named = rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select(
         "doc_id", "size", "place", "text_key", "source_no", "source_size", "weight", "target"
     )
+    # Equal rows are one entry of the queue, however many there are.
+    same = ["source_no", "place", "text_key", "size", "doc_id", "source_size", "weight", "target"]
+    entries = named.groupBy(*same).agg(F.count("*").alias("n"))
     queue = running_total(
-        named, ["source_no"], ["place", "text_key", "size"], F.substring("place", 1, 3), F.col("size"), "before"
+        entries, ["source_no"], ["place", "text_key", "size"], F.substring("place", 1, 3), F.col("size") * F.col("n"), "before"
     )
-    queue = stored(queue, "mix-queue")
+    queue = stored(every_copy(stored(queue, "mix-entries")), "mix-queue")
 
     def finish(turn: int | F.Column) -> F.Column:
         return (F.lit(turn) * F.col("source_size") + F.col("before") + F.col("size")) / F.col("weight")
@@ -111,6 +117,18 @@ def mix_sources(
     return queue.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_key")
 
 
+def every_copy(entries: DataFrame) -> DataFrame:
+    """A row for each of an entry's ``n`` equal rows, one behind the other; very many of them come from several tasks."""
+    last = F.col("n") - 1
+    few = entries.where(F.col("n") <= ORDERED).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    many = entries.where(F.col("n") > ORDERED).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(ORDERED).cast("long"))))
+    many = many.repartition("place", "_from").withColumn(
+        "_copy", F.explode(F.sequence(F.col("_from"), F.least(last, F.col("_from") + ORDERED - 1)))
+    )
+    copies = few.unionByName(many.drop("_from"))
+    return copies.withColumn("before", F.col("before") + F.col("_copy") * F.col("size")).drop("_copy", "n")
+
+
 def cut_at(turns: DataFrame, budget: int, level: float) -> tuple | None:
     """Key of the last turn that fits into ``budget`` in key order, or None.
 

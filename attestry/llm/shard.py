@@ -24,8 +24,10 @@ from attestry.llm.storage import stored
 SAMPLE = 20_000
 #: Ranges per shard.
 FINE = 32
-#: A group above this part of a shard is placed by itself; so at most ``shards / HEAVY`` groups are.
+#: A group above this part of a shard is placed by itself; by bytes or by rows, so at most twice ``shards / HEAVY`` groups are.
 HEAVY = 1 / 400
+#: Rows of one text that a task orders at once; a group of no more is never placed by itself for its rows.
+LIGHT_ROWS = 1000
 
 
 def _unit(hashed: Column) -> Column:
@@ -42,6 +44,8 @@ def keyed_rows(documents: DataFrame, id_column: str = "doc_id", text_column: str
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("_group"),
         F.xxhash64(F.coalesce(F.col(id_column).cast("string"), F.lit(""))).alias("_tie"),
+        # Tells rows without an id apart; the rows are written, so it stays.
+        F.xxhash64(F.coalesce(F.col(id_column).cast("string"), F.monotonically_increasing_id().cast("string"))).alias("_spread"),
     )
 
 
@@ -64,9 +68,10 @@ def sampled_splitters(rows: DataFrame, total: int, ranges: int) -> list[int]:
     return splitters
 
 
-def heavy_groups(rows: DataFrame, limit: float) -> list[tuple[int, int]]:
-    """Groups larger than ``limit``; their number is below total / limit."""
-    sizes = rows.groupBy("_group").agg(F.sum("size").alias("size")).where(F.col("size") > limit)
+def heavy_groups(rows: DataFrame, bytes_: float, count: float) -> list[tuple[int, int]]:
+    """Groups of more than ``bytes_`` or more than ``count`` rows; of either there are fewer than the total by that."""
+    sizes = rows.groupBy("_group").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    sizes = sizes.where((F.col("size") > bytes_) | (F.col("n") > count))
     return [(r[0], r[1]) for r in sizes.collect()]
 
 
@@ -83,12 +88,13 @@ def assign_shards(
     """
     spark = documents.sparkSession
     rows = stored(keyed_rows(documents, id_column, text_column), "shard-keys")
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, number = rows.agg(F.sum("size"), F.count("*")).first()
+    total = total or 0
     share = total / shards
     ranges = FINE * shards
 
     load, whole, split = [0] * shards, [], [(0, False)]
-    for group, size in sorted(heavy_groups(rows, share * HEAVY), key=lambda x: (-x[1], x[0])):
+    for group, size in sorted(heavy_groups(rows, share * HEAVY, max(number * HEAVY / shards, LIGHT_ROWS)), key=lambda x: (-x[1], x[0])):
         least = min(range(shards), key=lambda s: (load[s], s))
         if load[least] + size <= share:
             load[least] += size
@@ -97,7 +103,7 @@ def assign_shards(
             split.append((group, True))
     placed = spark.createDataFrame(whole, "_group long, _whole int")
     loose = spark.createDataFrame(split, "_group long, _split boolean").where("_split")
-    # Both lists are shorter than shards / HEAVY.
+    # Both lists are shorter than twice shards / HEAVY.
     rows = rows.join(F.broadcast(placed), "_group", "left").join(F.broadcast(loose), "_group", "left")
 
     splitters = sampled_splitters(rows, total, ranges)
@@ -122,7 +128,7 @@ def assign_shards(
     )
     rows = rows.join(F.broadcast(cut.join(bounds, "_range")), "_range")
     within = F.floor((F.col("_group").cast("double") - F.col("_low")) / F.col("_width") * F.col("_parts"))
-    tied = F.floor(_unit(F.col("_tie")) * F.col("_parts"))
+    tied = F.floor(_unit(F.col("_spread")) * F.col("_parts"))
     hot = F.coalesce(F.col("_split"), F.lit(False)) | F.col("_whole").isNotNull()
     step = F.lit(2**20)
     rows = rows.withColumn(

@@ -50,6 +50,17 @@ def test_queue_by_brute_force(spark, monkeypatch, ordered):
     assert all(abs(taken[k] - target[k]) <= 80 for k in taken)
 
 
+def test_many_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ORDERED", 50)
+    docs = [(None, "same text here", "a")] * 700 + [(None, f"w{i} " * (i % 9), "b") for i in range(300)] + [(i, "x y", "a") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    rows = sorted(map(str, mixing.mix_sources(df).collect()))
+    assert rows == sorted(map(str, mixing.mix_sources(df.repartition(2)).collect())) and len(rows) == len(docs)
+    found = mixing.mix_sources(df).groupBy("target").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 30 for r in found)
+    assert sum(r["size"] for r in found) - 30 < sum(r["taken"] for r in found) <= sum(r["size"] for r in found)
+
+
 def test_awkward_rows(awkward, nothing):
     found = mixing.mix_sources(awkward)
     assert found.count() == awkward.count()

@@ -41,6 +41,16 @@ def test_a_group_of_a_third_of_all_rows(spark, shards):
     assert max(load) - min(load) < 0.02 * sum(load)
 
 
+def test_many_empty_rows_without_an_id_are_split(spark):
+    docs = [(None, None) if i % 3 else (i, f"text number {i} " * 9) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    load = check(shard.assign_shards(df, 8).collect(), docs, 8)
+    assert max(load) - min(load) < 0.02 * sum(load)
+    rows = shard.keyed_rows(df).cache()
+    assert len(shard.heavy_groups(rows, 1e9, shard.LIGHT_ROWS)) == 1
+    assert rows.where("doc_id is null").select("_spread").distinct().count() == 2000
+
+
 def test_few_samples_are_made_up_for(spark, monkeypatch):
     monkeypatch.setattr(shard, "SAMPLE", 3)
     docs = [(i, "x" * (i * 37 % 1000)) for i in range(3000)]
