@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from attestry.llm.storage import stored
 
@@ -64,3 +66,12 @@ def test_run_on_the_small_table(spark):
     found = pipeline.run(spark, SMALL)
     assert found.columns == [*docs.columns, "shard", "slot"]
     assert 0 < found.count() and found.join(docs, docs.columns, "left_anti").count() == 0
+
+
+def test_without_a_labelled_row_texts_with_letters_stay(spark, awkward):
+    docs = awkward.withColumn("lang", F.lit(None).cast("string"))
+    after = keep_all("language")(spark, docs, SMALL)
+    assert after.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in after.collect()) == [
+        (False, -10), (False, 1), (False, 1), (False, 2), (False, 6), (False, 7), (False, 9), (True, 0),
+    ]
