@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.operators import grams
+from attestry.operators import cells, grams
 from attestry.operators.chunks import chunk_documents
 from attestry.operators.classify import DOC_TYPES
 from attestry.session import shared_dir
@@ -303,6 +303,11 @@ def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
+def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.vector_cells(chunk_vectors(spark, sf_dir))
+
+
 def _as_queries(spark: SparkSession, sf_dir: str, texts: DataFrame) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")
