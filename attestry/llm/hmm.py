@@ -2,9 +2,8 @@
 
 Texts are encoded once into blocks: a block's distinct words and, per token, a word number. Baum-Welch
 counts (starts, transitions, emissions) are taken block by block and summed across partitions. The first
-rounds tie all words but the most frequent ones, so only a bounded table travels to the tasks; each
-takes the next third of the texts. A last round over all texts counts emissions of every word, which
-stay distributed: words are joined with their counts and sent back to the blocks that hold them.
+rounds tie all words but the most frequent ones, so only a bounded table travels to the tasks. All rounds take all
+texts to learn from. The last one counts emissions of every word, which stay distributed: words are joined with their counts and sent back to the blocks that hold them.
 
 Texts are cut into short segments that advance together. A segment's product of scaled transition and
 emission matrices carries the recursion across it, so the forward and backward values, and
@@ -18,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +27,14 @@ from attestry.llm.words import NOT_SPACE, Words, mix, pieces, text_bytes
 STATES = 4
 #: Words with an emission of their own in the tied rounds; bounds what is sent to the tasks.
 HEAD = 20_000
-ROUNDS = 6
-THIRDS = 3
+ROUNDS = 3
 SEGMENT = 128
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
 #: Tokens whose forward and backward values are held at once.
 HELD_TOKENS = 300_000
 #: Part of a state's emissions left to the background.
-BACKGROUND = 0.2
+BACKGROUND = 0.4
 END_WORD = np.uint64(0x0123456789ABCDEF)
 BLOCKS = "block long, ids binary, no_id binary, held binary, offsets binary, words binary, low binary, high binary"
 
@@ -43,8 +42,23 @@ BLOCKS = "block long, ids binary, no_id binary, held binary, offsets binary, wor
 def encode(documents: DataFrame, held: str) -> DataFrame:
     """Blocks of encoded texts: ids, token bounds, distinct word hashes by frequency, and token numbers."""
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches put together up to the size of a block, however small they arrive."""
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
+            more = pc.sum(pc.binary_length(batch.column(2))).as_py() or 0
+            if held and size + more > BLOCK_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            if batch.num_rows:
+                held.append(batch)
+                size += more
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches):
             _, offsets = text_bytes(batch.column(2), lower=False)
             for low, high in pieces(offsets, BLOCK_BYTES):
                 hashes, counts = [], []
@@ -289,11 +303,6 @@ def next_chain(starts: np.ndarray, moves: np.ndarray) -> Chain:
     return Chain(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True))
 
 
-def third_of(block: Block, turn: int) -> np.ndarray:
-    """Texts to learn from in a round."""
-    return ~block.held & (mix(block.ids.view(np.uint64)) % np.uint64(THIRDS) == np.uint64(turn % THIRDS))
-
-
 def tied_rounds(blocks: DataFrame) -> TiedModel:
     """Baum-Welch with tied rare words. Tables that reach the driver are bounded by ``HEAD``."""
     spark = blocks.sparkSession
@@ -318,17 +327,17 @@ def tied_rounds(blocks: DataFrame) -> TiedModel:
     order = np.argsort(head)
     model = first_model(head[order], top["n"].to_numpy()[order], total)
 
-    for turn in range(ROUNDS):
+    for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
 
-        def count(batches: Iterator[pa.RecordBatch], turn=turn, sent=sent) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
             width = len(own.background)
             starts, moves = np.zeros(STATES), np.zeros((STATES, STATES))
             cells = np.zeros((width, STATES))
             for _, block in block_rows(batches):
                 table, place = own.block_emission(block), own.cells(block.words)
-                for tokens, offsets in block.texts(third_of(block, turn)):
+                for tokens, offsets in block.texts(~block.held):
                     gamma, begin, move = expected(table[tokens], offsets, own.chain)
                     starts += begin
                     moves += move
@@ -378,8 +387,7 @@ def emission_counts(blocks: DataFrame, model: TiedModel) -> DataFrame:
                 for s in range(STATES):
                     cells[:, s] += np.bincount(tokens, gamma[:, s], minlength=len(plain))
             used = plain > 0
-            # Three binary places are enough for an expected count, and pack well.
-            every = np.concatenate((np.round(cells[used] * 8) / 8, chain)).astype(np.float32)
+            every = np.concatenate((cells[used], chain)).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((np.zeros(used.sum(), np.int8), np.arange(1, 2 + STATES, dtype=np.int8)))),
@@ -435,7 +443,7 @@ def score_documents(
     wanted = path_blocks.mapInArrow(route, "block long, place int, word long")
     # A word that no text to learn from holds needs no row: it is known by its absence.
     sent = wanted.join(words, "word").select(
-        "block", "place", F.col("c").cast("int").alias("c"), *[F.col(n).cast("float").alias(n) for n in names]
+        "block", "place", "c", *[F.col(n).cast("float").alias(n) for n in names]
     )
 
     def score(group: pa.Table, counts: pa.Table) -> pa.Table:

@@ -25,7 +25,7 @@ from attestry.llm import (
     toxicity,
     warc,
 )
-from attestry.llm.storage import bounded_batches, table, text_batches
+from attestry.llm.storage import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,7 +81,6 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_language_model")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    text_batches(spark, 10_000)  # a block of encoded texts lies within a batch
     return hmm.score_documents(documents.withColumn("held_out", language.held_out("doc_id", 7, 2)))
 
 

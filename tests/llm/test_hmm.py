@@ -98,6 +98,14 @@ def test_awkward_rows(awkward):
     assert one == other
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+    one, many = ({r["doc_id"]: r["score"] for r in hmm.score_documents(docs.repartition(n)).collect()} for n in (1, 40))
+    assert len(one) == 200
+    assert all(math.isclose(one[i], many[i], rel_tol=1e-6) for i in one)
+
+
 def test_nothing_to_learn_or_score(awkward, nothing):
     assert hmm.score_documents(nothing.withColumn("held_out", F.lit(False))).count() == 0
     found = hmm.score_documents(awkward.withColumn("held_out", F.lit(True))).collect()
