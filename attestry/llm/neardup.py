@@ -240,17 +240,26 @@ def links_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """Links ``a, b`` between the groups of each cluster.
 
     ``members`` holds ``cluster, node, n, label``. Sets outside the cluster's largest group meet all of its sets; both sides are
-    cut into blocks, and each pair of blocks is compared in a task of its own.
+    cut into blocks, and each pair of blocks is compared by itself.
     """
-    groups = members.groupBy("cluster", "label").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    groups = members.groupBy("cluster", "label").agg(
+        F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
     groups = stored(groups, "near-groups")
     clusters = groups.groupBy("cluster").agg(
         F.max(F.struct("size", "label"))["label"].alias("main"), F.sum("shingles").alias("all"), F.count("*").alias("groups")
     ).where("groups > 1")
-    clusters = stored(clusters.join(groups.alias("g").select("cluster", "label", "shingles"), "cluster").where("label = main").select(
+    outer = groups.alias("g").join(clusters, "cluster").groupBy("cluster", "main", "all").agg(
+        F.sum(F.when(F.col("label") != F.col("main"), F.col("shingles"))).alias("outside"),
+        F.min(F.when(F.col("label") != F.col("main"), F.col("least"))).alias("least"),
+        F.max(F.when(F.col("label") != F.col("main"), F.col("most"))).alias("most"),
+    )
+    clusters = stored(outer.select(
         "cluster",
         "main",
-        F.ceil((F.col("all") - F.col("shingles")) / BLOCK_SHINGLES).cast("int").alias("rows"),
+        "least",
+        "most",
+        F.ceil(F.col("outside") / BLOCK_SHINGLES).cast("int").alias("rows"),
         F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("columns"),
     ), "near-mixed")
 
@@ -260,13 +269,22 @@ def links_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     def each(parts: str) -> F.Column:
         return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
-    held = members.join(clusters, "cluster")
-    outside = held.where("label <> main").select("cluster", "node", "label", F.lit(True).alias("outside"), place("rows").alias("i"), each("columns").alias("j"))
-    every = held.select("cluster", "node", "label", F.lit(False).alias("outside"), each("rows").alias("i"), place("columns").alias("j"))
-    blocks = stored(outside.unionByName(every), "near-blocks").join(sets, "node")
+    # Sets too small or too large for any set outside the largest group are left out.
+    fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
+    held = members.join(clusters, "cluster").where((F.col("label") != F.col("main")) | fits)
+    held = held.withColumn("outside", F.col("label") != F.col("main"))
+    held = held.withColumn("_i", F.when(F.col("outside"), place("rows")).otherwise(F.lit(-1))).withColumn("_j", place("columns"))
+    # A set outside is on the left of its row of blocks and on the right of its column; where these cross it is sent once.
+    left = held.where("outside").withColumn("j", each("columns")).select(
+        "cluster", "node", "label", F.lit(True).alias("left"), (F.col("j") == F.col("_j")).alias("right"), F.col("_i").alias("i"), "j"
+    )
+    right = held.withColumn("i", each("rows")).where("i <> _i").select(
+        "cluster", "node", "label", F.lit(False).alias("left"), F.lit(True).alias("right"), "i", F.col("_j").alias("j")
+    )
+    blocks = stored(left.unionByName(right), "near-blocks").join(sets, "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        sides = [rows[rows["outside"]], rows[~rows["outside"]]]
+        sides = [rows[rows["left"]], rows[rows["right"]]]
         lists = [[np.frombuffer(s, np.uint64) for s in side["set"]] for side in sides]
         sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in lists]
         nodes, labels = ([side[c].to_numpy() for side in sides] for c in ("node", "label"))

@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes that go to a task's Python side at once, besides the one row that passes them.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -20,14 +20,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def text_batches(spark: SparkSession, rows: int) -> None:
-    """From now on, at most so many rows go to a task's Python side at once.
-
-    Whole texts are long, and a task holds the texts of a batch several times over.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below ``spark.checkpoint.dir`` and read back.
 
