@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from attestry.functions.json import json_text
 from attestry.functions.ids import PROPOSAL_NAMESPACE, proposal_id, uuid5
+from attestry.functions.ordering import position
 from attestry.functions.text import slugify
 
 RISK = "risk"
 SINGLE_FIELDS = ["owner", "target_release", "status"]
 FEATURE = ["corpus_id", "feature_key"]
 
+# Ranges of confidence that the risks of a feature are placed in.
+RISK_RANGES = 256
+
 # Microseconds of the earliest timestamp; stands in for an unknown ingestion time.
 EARLIEST = -62135596800000000
 
@@ -107,8 +111,25 @@ def _risk_list(value: Column, trust: Column, when: Column) -> Column:
     return F.transform(ordered, lambda r: r["value"])
 
 
+def open_risk_rows(rows: DataFrame) -> DataFrame:
+    """``corpus_id, feature_key, place, risk, claim_id``: a row per distinct risk of a feature, place 0 most trusted.
+
+    Places are counted by ranges of confidence, so a feature with very many risks (such as ``unknown``) is neither
+    one row nor one task.
+    """
+    risks = winners(rows).where(F.col("field") == "open_risks").select(
+        *FEATURE, F.col("value").alias("risk"), "claim_id", "trust"
+    )
+    # The order begins with the negated confidence, which lies between -1 and 0; ranges are in that order.
+    block = F.floor(F.coalesce(F.col("trust.c"), F.lit(-2.0)) * RISK_RANGES)
+    return position(risks, FEATURE, ["trust"], block, "place").select(*FEATURE, "place", "risk", "claim_id")
+
+
 def open_risks(rows: DataFrame) -> DataFrame:
-    """Distinct risks per feature, most trusted first; empty for a feature without any."""
+    """Distinct risks per feature, most trusted first; empty for a feature without any.
+
+    The array is the field's stored value; ``open_risk_rows`` has a row per risk.
+    """
     return build_fields(rows).select(*FEATURE, "fields.open_risks")
 
 

@@ -64,24 +64,39 @@ def citations(claim_sources: DataFrame, chunks: DataFrame, documents: DataFrame)
     return cut.join(names, "doc_id")
 
 
-def register_view(
+def register_view_rows(
     entries: DataFrame, field_sources: DataFrame, claims: DataFrame, cited: DataFrame
 ) -> DataFrame:
-    """Entries with ``field_claims``: field to claims to citations, one row per entry.
+    """A row per entry, field, claim and citation: the register view without nesting.
 
-    ``cited`` comes from ``citations``. Only winners are stored for a field, so
-    the nested value of an entry is small however many claims its feature has.
+    ``cited`` comes from ``citations``. The entry's own columns are not repeated; a claim without a citation has a row
+    of nulls there. However many claims a field has gathered, no row grows.
     """
-    one = F.struct(
-        *[c for c in cited.columns if c != "claim_id"],
-    )
-    per_claim = cited.groupBy("claim_id").agg(F.array_sort(F.collect_list(one)).alias("sources"))
     backing = (
-        field_sources.select("entry_id", "field", "claim_id")
+        entries.select("entry_id")
+        .join(field_sources.select("entry_id", "field", "claim_id"), "entry_id")
         .join(claims.select("claim_id", "predicate", "object", "confidence"), "claim_id")
-        .join(per_claim, "claim_id", "left")
     )
-    per_field = backing.groupBy("entry_id", "field").agg(
+    return backing.join(cited, "claim_id", "left").select(
+        "entry_id", "field", "claim_id", "predicate", "object", "confidence", *[c for c in cited.columns if c != "claim_id"]
+    )
+
+
+def register_view(
+    entries: DataFrame, field_sources: DataFrame, claims: DataFrame, cited: DataFrame
+) -> DataFrame:
+    """Entries with ``field_claims``: field to claims to citations, one row per entry, for export.
+
+    ``cited`` comes from ``citations``. Where commits keep the old claims of a changed field (mode "append"), the nested
+    value gains a claim per committed change; ``register_view_rows`` holds the same without nesting, and a caller
+    nests the entries it shows.
+    """
+    rows = register_view_rows(entries, field_sources, claims, cited)
+    one = F.struct(*[c for c in cited.columns if c != "claim_id"])
+    nested = rows.groupBy("entry_id", "field", "claim_id", "predicate", "object", "confidence").agg(
+        F.array_sort(F.collect_list(F.when(F.col("chunk_id").isNotNull(), one))).alias("sources")
+    )
+    per_field = nested.groupBy("entry_id", "field").agg(
         F.array_sort(
             F.collect_list(F.struct("claim_id", "predicate", "object", "confidence", "sources"))
         ).alias("claims")

@@ -364,6 +364,17 @@ def open_risks(spark, sf_dir):
     return listed.withColumn("open_risks", F.array_join("open_risks", "|"))
 
 
+@query(
+    "open_risk_rows",
+    """
+SELECT corpus_id, feature_key, row_number() OVER (PARTITION BY corpus_id, feature_key
+  ORDER BY confidence DESC, coalesce(ingested_at, TIMESTAMP '0001-01-01') DESC, claim_id) - 1 AS place, value AS risk, claim_id
+FROM won_all WHERE field = 'open_risks'""",
+)
+def open_risk_rows(spark, sf_dir):
+    return register.open_risk_rows(tables.claim_rows(spark, sf_dir))
+
+
 def flat_fields(df):
     """The ``fields`` struct as columns of plain types."""
     rest = [c for c in df.columns if c != "fields"]

@@ -382,6 +382,22 @@ def untouched_entries(spark, sf_dir):
 # ---------------------------------------------------------------- read models
 
 
+@query(
+    "register_view_rows",
+    """
+SELECT s.entry_id, s.field, c.claim_id, c.predicate, c.object, q.chunk_id, q.snippet, q.highlight_start
+FROM entries e JOIN field_sources s USING (entry_id) JOIN claims c USING (claim_id) LEFT JOIN cited q USING (claim_id)""",
+)
+def register_view_rows(spark, sf_dir):
+    rows = reports.register_view_rows(
+        tables.entries(spark, sf_dir),
+        tables.field_sources(spark, sf_dir),
+        views.claims(spark, sf_dir),
+        tables.cited(spark, sf_dir),
+    )
+    return rows.select("entry_id", "field", "claim_id", "predicate", "object", "chunk_id", "snippet", "highlight_start")
+
+
 @query(
     "register_view",
     """
