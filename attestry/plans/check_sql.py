@@ -274,8 +274,8 @@ VIEWS |= {
     "bench_q": """
   SELECT item_id AS query_id, text AS query, 'src' || (item_id % 20) AS corpus_id, e.embedding AS vector FROM benchmark LEFT JOIN embeddings e ON e.vec_id = item_id""",
     "talk_q": """
-  SELECT query_id, query, 'src' || (query_id % 20) AS corpus_id, e.embedding AS vector
-  FROM (SELECT conv_id AS query_id, arg_min(text, turn) AS query FROM conversations GROUP BY 1) LEFT JOIN embeddings e ON e.vec_id = query_id""",
+  SELECT conv_id * 1000 + turn AS query_id, text AS query, 'src' || (conv_id % 20) AS corpus_id, e.embedding AS vector
+  FROM conversations LEFT JOIN embeddings e ON e.vec_id = conv_id + turn""",
     "bench_v": _vector_list("bench_q"),
     "bench_t": _trigram_list("bench_q"),
     "bench_f": _fused("bench_v", "bench_t"),

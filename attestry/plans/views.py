@@ -309,26 +309,27 @@ def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _as_queries(spark: SparkSession, sf_dir: str, texts: DataFrame) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")
-    )
-    return texts.withColumn(
-        "corpus_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"))
-    ).join(vectors, "query_id", "left")
+    """``query_id, number, vec_id, query`` with the corpus of the number and the vector of the id."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    corpus = F.concat(F.lit("src"), (F.col("number") % 20).cast("string"))
+    return texts.withColumn("corpus_id", corpus).join(vectors, "vec_id", "left").drop("number", "vec_id")
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.col("item_id")
     texts = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.col("text").alias("query")
+        item.alias("query_id"), item.alias("number"), item.alias("vec_id"), F.col("text").alias("query")
     )
     return _as_queries(spark, sf_dir, texts)
 
 
 def conversation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The opening turn of every conversation as a query."""
-    texts = (
-        table(spark, sf_dir, "conversations")
-        .groupBy(F.col("conv_id").alias("query_id"))
-        .agg(F.min_by("text", "turn").alias("query"))
+    """Every turn of every conversation as a query."""
+    conversation, turn = F.col("conv_id"), F.col("turn")
+    texts = table(spark, sf_dir, "conversations").select(
+        (conversation * 1000 + turn).alias("query_id"),
+        conversation.alias("number"),
+        (conversation + turn).alias("vec_id"),
+        F.col("text").alias("query"),
     )
     return _as_queries(spark, sf_dir, texts)
