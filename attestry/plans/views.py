@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.operators import cells, grams
+from attestry.operators import cells, extract, grams
 from attestry.operators.chunks import chunk_documents
 from attestry.operators.classify import DOC_TYPES
 from attestry.session import shared_dir
@@ -193,20 +193,20 @@ def claim_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("doc_id") + F.col("idx")
-    return claim_candidates(spark, sf_dir).where((n % 11 != 0) & (n % 13 != 0) & (n % 17 != 0))
+@stored
+def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that quote verification keeps."""
+    return extract.accepted_claims(extract.verify_quotes(claim_candidates(spark, sf_dir), chunks(spark, sf_dir)))
 
 
 @stored
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored claims: exactly the candidates that quote verification keeps."""
-    return _accepted(spark, sf_dir).drop("sources", "doc_id", "idx")
+    return extract.split_claims_sources(accepted(spark, sf_dir))[0]
 
 
 @stored
 def claim_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _accepted(spark, sf_dir).select("claim_id", F.inline("sources"))
+    return extract.split_claims_sources(accepted(spark, sf_dir))[1]
 
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
