@@ -35,7 +35,7 @@ BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 SHINGLE = np.uint64(0xA24BAED4963EE407)
 NODE, CHECK = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
-FEATURES = "doc_id long, n_shingles long, node long, check long, signature binary, small binary"
+FEATURES = "doc_id long, n_shingles long, node long, check long, bands binary, small binary"
 #: Measured pairs whose similarity is below the threshold by at most this many percent hold a cluster together.
 SLACK = 20
 #: Shingles of the sets that one side of a block holds.
@@ -108,8 +108,16 @@ def signatures(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(lines: np.ndarray) -> np.ndarray:
+    """Bucket keys of signatures, one per band."""
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(lines), 1))
+    for row in range(ROWS):
+        keys = mix(keys * SHINGLE + lines[:, row : BANDS * ROWS : ROWS])
+    return keys
+
+
 def document_features(documents: DataFrame, width: int, percent: int, id_column: str, text_column: str) -> DataFrame:
-    """Set size, 128-bit set key, signature, and small-set keys of every row; no text."""
+    """Set size, 128-bit set key, bucket keys of the signature, and small-set keys of every row; no text."""
     limit = small_limit(percent)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,8 +126,8 @@ def document_features(documents: DataFrame, width: int, percent: int, id_column:
                 count = np.diff(offsets)
                 one = mix(value ^ NODE)
                 node, check = set_sums(value, offsets, NODE), set_sums(value, offsets, CHECK)
-                lines = signatures(value, offsets)
-                signature = [lines[i].tobytes() if n >= limit else None for i, n in enumerate(count)]
+                keys = band_keys(signatures(value, offsets))
+                bands = [keys[i].tobytes() if n >= limit else None for i, n in enumerate(count)]
                 small = [
                     np.append(node[i], node[i] - one[offsets[i] : offsets[i + 1]]).tobytes() if 0 < n <= limit else None
                     for i, n in enumerate(count)
@@ -130,10 +138,10 @@ def document_features(documents: DataFrame, width: int, percent: int, id_column:
                         pa.array(count, pa.int64()),
                         pa.array(node.view(np.int64)),
                         pa.array(check.view(np.int64)),
-                        pa.array(signature, pa.binary()),
+                        pa.array(bands, pa.binary()),
                         pa.array(small, pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "node", "check", "signature", "small"],
+                    ["doc_id", "n_shingles", "node", "check", "bands", "small"],
                 )
 
     return documents.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(features, FEATURES)
@@ -152,14 +160,10 @@ def buckets(classes: DataFrame, percent: int) -> DataFrame:
                 key, owner, rank = [], [], []
                 banded = [i for i, s in enumerate(part.column(2)) if s.is_valid]
                 if banded:
-                    lines = np.stack([np.frombuffer(part.column(2)[i].as_py(), np.uint32) for i in banded])
-                    for band in range(BANDS):
-                        acc = np.full(len(banded), band + 1, np.uint64)
-                        for row in range(ROWS):
-                            acc = mix(acc * SHINGLE + lines[:, band * ROWS + row])
-                        key.append(acc)
-                        owner.append(np.array(banded))
-                        rank.append(np.zeros(len(banded), np.int8))
+                    keys = np.stack([np.frombuffer(part.column(2)[i].as_py(), np.uint64) for i in banded])
+                    key.append(keys.T.ravel())
+                    owner.append(np.tile(banded, BANDS))
+                    rank.append(np.zeros(keys.size, np.int8))
                 for i, keys in enumerate(part.column(3)):
                     if keys.is_valid:
                         values = np.frombuffer(keys.as_py(), np.uint64)
@@ -180,7 +184,7 @@ def buckets(classes: DataFrame, percent: int) -> DataFrame:
                         ["key", "node", "n", "rank"],
                     )
 
-    return classes.select("node", "n_shingles", "signature", "small").mapInArrow(
+    return classes.select("node", "n_shingles", "bands", "small").mapInArrow(
         rows, "key long, node long, n long, rank byte"
     )
 
@@ -389,7 +393,7 @@ def near_duplicates(
     classes = (
         features.where("n_shingles > 0 and doc_id is not null")
         .groupBy("node", "check", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("small").alias("small"))
+        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("small").alias("small"))
     )
     classes = stored(classes.drop("check"), "near-classes")
 

@@ -11,13 +11,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes that go to a task's Python side at once, besides the one row that passes them.
-BATCH_BYTES = 3 << 20
+#: Bytes and rows that go to a task's Python side at once, besides the one row that passes them.
+BATCH_BYTES, BATCH_ROWS = 3 << 19, 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """From now on, what goes to a task's Python side at once is bounded by its bytes."""
+    """From now on, what goes to a task's Python side at once is bounded by its bytes, and rows that wait for it by number.
+
+    All operators run with these values; what they give does not depend on them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
