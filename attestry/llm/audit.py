@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.storage import stored
-from attestry.llm.words import NOT_SPACE, Words, counted, pieces, text_bytes
+from attestry.llm.words import NOT_SPACE, Words, counted, gathered, pieces, text_bytes
 
 #: Filters by letter; a document that fails one has the bit of its place.
 FILTERS = "ABCDE"
 ORDERS = ["".join(order) for order in itertools.permutations(FILTERS)]
 MIN_WORDS, MIN_DISTINCT, MAX_UPPER = 200, 50, 2
+#: Bytes of text in a block; a longer text is a block of its own.
+BLOCK_BYTES = 3 << 20
 #: Words of all blocks in a part of the dictionary, about.
 PART = 200_000
 SPECIAL = np.isin(np.arange(256), list(b"#$%&*|"))
@@ -45,9 +47,9 @@ def _one(values: np.ndarray | pa.Array) -> pa.Array:
 def counted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``doc_id, source, text`` to blocks of counted words, a row each."""
     number = TaskContext.get().partitionId() << 32
-    for batch in batches:
+    for batch in gathered(batches, "text", BLOCK_BYTES):
         data, offsets = text_bytes(batch.column("text"), lower=False)
-        for first, last in pieces(offsets):
+        for first, last in pieces(offsets, BLOCK_BYTES):
             bounds = offsets[first : last + 1]
             part, rows = data[bounds[0] : bounds[-1]], bounds - bounds[0]
             words = Words(data, bounds, NOT_SPACE)
@@ -158,7 +160,7 @@ def term_matrix(
 
     A shard is a row: arrays of its documents' ids, sources and character counts, and ``starts, columns, counts``
     of its part of the matrix; a column is a word's number. A null text is empty: a row without entries. A block holds about
-    2 MB of text, or one longer text. The dictionary has a part for each ``PART`` words of all blocks, so
+    3 MB of text, or one longer text. The dictionary has a part for each ``PART`` words of all blocks, so
     a task numbers about so many, and a word counts once per block, however frequent it is. An empty table gives no
     shards and no words.
     """

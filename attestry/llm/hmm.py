@@ -17,12 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.storage import stored
-from attestry.llm.words import NOT_SPACE, Words, mix, pieces, text_bytes
+from attestry.llm.words import NOT_SPACE, Words, gathered, mix, pieces, text_bytes
 
 STATES = 4
 #: Words with an emission of their own in the tied rounds; bounds what is sent to the tasks.
@@ -42,23 +41,8 @@ BLOCKS = "block long, ids binary, no_id binary, held binary, offsets binary, wor
 def encode(documents: DataFrame, held: str) -> DataFrame:
     """Blocks of encoded texts: ids, token bounds, distinct word hashes by frequency, and token numbers."""
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches put together up to the size of a block, however small they arrive."""
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            more = pc.sum(pc.binary_length(batch.column(2))).as_py() or 0
-            if held and size + more > BLOCK_BYTES:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-            if batch.num_rows:
-                held.append(batch)
-                size += more
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
+        for batch in gathered(batches, 2, BLOCK_BYTES):
             _, offsets = text_bytes(batch.column(2), lower=False)
             for low, high in pieces(offsets, BLOCK_BYTES):
                 hashes, counts = [], []

@@ -61,6 +61,22 @@ def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]
         first = last
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int | str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to so many bytes of a text column, however small they arrive."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        more = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and size + more > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def counted(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many marks are set in every row."""
     before = np.zeros(len(marks) + 1, dtype=np.int64)
