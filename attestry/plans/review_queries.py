@@ -134,9 +134,9 @@ def pending_register_changes(spark, sf_dir):
     waiting = review.pending_register_changes(
         tables.decided_additions(spark, sf_dir), tables.decided_changes(spark, sf_dir)
     )
-    shown = review.pending_change_citations(
-        waiting, tables.addition_claims(spark, sf_dir), tables.cited(spark, sf_dir)
-    )
+    backing = tables.addition_claims(spark, sf_dir)
+    behind = backing.select("claim_id").unionByName(tables.changes(spark, sf_dir).select("claim_id"))
+    shown = review.pending_change_citations(waiting, backing, tables.cited(spark, sf_dir, of=behind))
     return waiting.select(
         "item_id",
         "change_kind",
@@ -393,7 +393,7 @@ def register_view_rows(spark, sf_dir):
         tables.entries(spark, sf_dir),
         tables.field_sources(spark, sf_dir),
         views.claims(spark, sf_dir),
-        tables.cited(spark, sf_dir),
+        tables.cited(spark, sf_dir, of=tables.field_sources(spark, sf_dir)),
     )
     return rows.select("entry_id", "field", "claim_id", "predicate", "object", "chunk_id", "snippet", "highlight_start")
 
@@ -409,7 +409,7 @@ def register_view(spark, sf_dir):
         tables.entries(spark, sf_dir),
         tables.field_sources(spark, sf_dir),
         views.claims(spark, sf_dir),
-        tables.cited(spark, sf_dir),
+        tables.cited(spark, sf_dir, of=tables.field_sources(spark, sf_dir)),
     )
     # unfolded again, so that the rows compare with plain SQL
     return (

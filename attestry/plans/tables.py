@@ -231,7 +231,9 @@ def decided_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.withColumn("committed_at", F.timestamp_micros(F.lit(1719878400000000)))
 
 
-def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.citations(
-        views.claim_sources(spark, sf_dir), views.chunks(spark, sf_dir), views.documents(spark, sf_dir)
-    )
+def cited(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Citations of all claims, or of the claims ``of`` (``claim_id``): others are left out before they meet a text."""
+    sources = views.claim_sources(spark, sf_dir)
+    if of is not None:
+        sources = sources.join(of.select("claim_id"), "claim_id", "left_semi")
+    return reports.citations(sources, views.chunks(spark, sf_dir), views.documents(spark, sf_dir))

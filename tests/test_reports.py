@@ -124,3 +124,16 @@ def test_register_order(frame):
     assert order("owner") == ["e3", "e2", "e1"]
     assert order("open_risks", False) == ["e3", "e1", "e2"]
     assert order("sources") == ["e3", "e2", "e1"]
+
+
+def test_claims_that_nobody_shows_meet_no_text(spark):
+    from attestry.plans import tables
+
+    sf_dir = "/root/testdata/sf0.001"
+    wanted = tables.field_sources(spark, sf_dir).limit(3)
+    shown = tables.cited(spark, sf_dir, of=wanted)
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "shuffle_hash" in plan
+    ids = {r["claim_id"] for r in wanted.select("claim_id").collect()}
+    every = [tuple(r) for r in tables.cited(spark, sf_dir).collect() if r["claim_id"] in ids]
+    assert sorted(map(str, every)) == sorted(str(tuple(r)) for r in tables.cited(spark, sf_dir, of=wanted).collect())
