@@ -89,8 +89,9 @@ def verify_quotes(candidates: DataFrame, chunks: DataFrame, key: str = "claim_id
     )
     texts = chunks.select("doc_id", F.col("chunk_id").cast("string").alias("_chunk"), "text")
     # an inner join: chunks that nobody cites are left out before their texts move
+    # Claims are the small side and texts stream past them: no text is sorted, and none spills.
     held = (
-        cited.join(texts, ["doc_id", "_chunk"])
+        cited.hint("shuffle_hash").join(texts, ["doc_id", "_chunk"])
         .where(F.contains(F.col("text"), F.col("_quote")))
         .groupBy(key)
         .agg(F.count("*").alias("_held"))

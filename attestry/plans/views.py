@@ -45,7 +45,7 @@ def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
                 except AnalysisException:
                     pass  # the folder was cleared: write it again
             path = shared_dir(spark, build.__name__)
-            build(spark, sf_dir).write.parquet(path)
+            build(spark, sf_dir).write.option("compression", "zstd").parquet(path)
             _WRITTEN[key] = path
             return spark.read.parquet(path)
 

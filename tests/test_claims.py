@@ -306,3 +306,10 @@ def test_rules_are_checked():
         Rule("x", "fatal", "at_least_one", "p")
     with pytest.raises(ValueError):
         Rule("x", "info", "sometimes", "p")
+
+
+def test_texts_stream_past_the_quotes_unsorted(frame):
+    chunks = frame([("d1", "a", 0, "Priya owns Export.")], CHUNKS)
+    verified = extract.verify_quotes(frame([candidate(1, [("a", "Priya owns")])], CANDIDATES), chunks)
+    plan = verified._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and [r["verified"] for r in verified.collect()] == [True]
