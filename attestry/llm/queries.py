@@ -231,7 +231,7 @@ select page_id, payload_bytes,
 from bits
 """)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = warc.round_trip(table(spark, sf_dir, "pages"))
+    captures = warc.round_trip(table(spark, sf_dir, "pages"), payloads=False)
     fields = F.map_from_entries("metadata.fields")
     refers = F.regexp_extract("response.refers_to", r":(-?[0-9]+)>$", 1).cast("long")
     return captures.select(

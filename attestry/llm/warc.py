@@ -243,8 +243,8 @@ def assemble(records: DataFrame) -> DataFrame:
     A request or metadata record belongs to the capture it names as concurrent; a metadata record with a
     ``payloadDigest`` only to captures of that digest, so captures that share an id keep their own. Of several
     requests, or metadata records, of one capture the smallest record id is kept; a capture without one has
-    null there; a record that names no capture is left out. Payloads are not shuffled
-    unless they are selected.
+    null there; a record that names no capture is left out. Records without the column
+    ``payload`` give responses without it: the joins move payloads, whatever is selected afterwards.
     """
     named = records.where("record_type in ('request', 'metadata')").select(
         F.explode("concurrent_to").alias("capture"), "record_type", "record_id", "fields"
@@ -257,17 +257,19 @@ def assemble(records: DataFrame) -> DataFrame:
     special = metadata.where("_digest is not null").groupBy("capture", F.col("_digest").alias("payload_digest")).agg(own.alias("_special"))
     captures = records.where("record_type in ('response', 'revisit')").withColumnRenamed("record_id", "capture")
     captures = captures.join(requests, "capture", "left").join(general, "capture", "left")
+    response = ["record_type", "refers_to", "payload_digest", "payload_bytes", *(["payload"] if "payload" in records.columns else [])]
     return captures.join(special, ["capture", "payload_digest"], "left").select(
         "capture",
         "target_uri",
         "request",
-        F.struct("record_type", "refers_to", "payload_digest", "payload_bytes", "payload").alias("response"),
+        F.struct(*response).alias("response"),
         F.coalesce("_special", "_general").alias("metadata"),
     )
 
 
-def round_trip(pages: DataFrame, min_bytes: int = 0, **columns: str) -> DataFrame:
-    """Write ``pages`` to a new archive in the shared folder and return its captures."""
+def round_trip(pages: DataFrame, min_bytes: int = 0, payloads: bool = True, **columns: str) -> DataFrame:
+    """Write ``pages`` to a new archive in the shared folder and return its captures, on request without payloads."""
     path = shared_dir(pages.sparkSession, "archive")
     write_archive(pages, path, min_bytes, **columns)
-    return assemble(read_archive(pages.sparkSession, path))
+    found = read_archive(pages.sparkSession, path)
+    return assemble(found if payloads else found.drop("payload"))

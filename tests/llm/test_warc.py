@@ -102,3 +102,11 @@ def test_requests_of_other_writers(spark):
     )
     found = {c["capture"]: (c["request"] and c["request"]["record_id"], c["metadata"]) for c in warc.assemble(df).collect()}
     assert found == {"r1": ("q1", None), "r2": (None, None)}
+
+
+def test_the_query_moves_no_payload_between_records(spark):
+    from attestry.llm.queries import QUERIES
+
+    plan = QUERIES["op8_warc"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = [line for line in plan.splitlines() if "MapInArrow" not in line]
+    assert len(above) > 3 and not [line for line in above if " payload#" in line]
