@@ -99,6 +99,9 @@ def stream_inbox(
         fresh = dedupe(found, CONTENT, ["path"])
         if stored is not None:
             fresh = new_documents(fresh, stored)
+        # chunks and texts of every format read this table; deduplication would run for each of them
+        write_batch(fresh, f"{folder}/fresh", number)
+        fresh = read_batch(spark, f"{folder}/fresh", number)
         runs = found.select(
             uuid5(
                 PROPOSAL_NAMESPACE,

@@ -248,3 +248,14 @@ def test_known_contents_are_looked_up_by_bucket(spark, tmp_path):
     assert spark.read.parquet(f"{out}/documents").count() == 6
     assert KeyedLog(spark, f"{out}/contents").newest().count() == 6
     assert spark.read.parquet(f"{out}/runs").count() == 10
+
+
+def test_new_files_are_written_once_before_they_are_parsed(spark, tmp_path):
+    box, out = tmp_path / "box", str(tmp_path / "out")
+    box.mkdir()
+    corpora = spark.createDataFrame([("c1", str(box), T0)], "corpus_id string, inbox_path string, created_at timestamp")
+    for name in ("a.md", "b.md"):
+        (box / name).write_text("same")
+    inbox.stream_inbox(inbox.read_inbox(spark, str(box)), corpora, out).awaitTermination()
+    fresh = spark.read.parquet(f"{out}/fresh")
+    assert [r["filename"] for r in fresh.collect()] == ["a.md"] == [r["filename"] for r in spark.read.parquet(f"{out}/documents").collect()]
