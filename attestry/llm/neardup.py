@@ -10,8 +10,8 @@ shares most buckets with others, so n members give n - 1 pairs. Pairs are measur
 A star may miss links between members that are not similar enough to its centre. So the measured pairs
 also form clusters, at a lower similarity; where a cluster holds several groups, the sets
 outside its largest group are compared with all its members, exactly, in blocks of bounded size. A block's
-task returns only the links that join groups. Buckets that then still hold several groups are compared
-in the same way, so every linked pair that shares a bucket is found. Sets too small to differ by more than one
+task returns only the links that join groups. Buckets that hold several clusters are compared
+in the same way, but for pairs within a cluster, so every linked pair that shares a bucket is found. Sets too small to differ by more than one
 shingle do not rely on chance: they meet in buckets of their exact set with one shingle left out.
 """
 
@@ -193,12 +193,12 @@ def near_sizes(percent: int) -> F.Column:
     return F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
 
 
-def class_sets(nodes: DataFrame, classes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
-    """``node, set``: the full sets of the given classes, from the texts of their first documents.
+def class_sets(wanted: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """``doc_id, node, set``: the full sets of the given classes (``node, doc_id``), from the texts of their first documents.
 
-    Texts do not move: a filter of the documents' ids stands before the sets are built, and the sets are joined.
+    Neither texts nor sets move: a filter of the documents' ids stands before the sets are built. It lets some other
+    documents pass, so a set is that of its class only together with the ``doc_id``.
     """
-    wanted = stored(nodes.join(classes.select("node", "rep"), "node").withColumnRenamed("rep", "doc_id"), "near-ends")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,11 +210,10 @@ def class_sets(nodes: DataFrame, classes: DataFrame, documents: DataFrame, width
                 )
 
     some = documents.where(maybe_in(wanted.select("doc_id"), "doc_id")).select("doc_id", "text")
-    found = some.mapInArrow(sets, "doc_id long, node long, set binary")
-    return found.join(wanted, ["doc_id", "node"]).select("node", "set")
+    return some.mapInArrow(sets, "doc_id long, node long, set binary")
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def measured(pairs: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` with the sizes of the sets' intersection and union."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,33 +229,36 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ["a", "b", "common", "union"],
             )
 
+    for end in ("a", "b"):
+        pairs = pairs.join(wanted.select(F.col("node").alias(end), F.col("doc_id").alias(f"{end}_doc")), end)
     left, right = sets.alias("l"), sets.alias("r")
     return (
-        pairs.join(left, F.col("a") == F.col("l.node"))
-        .select("a", "b", F.col("l.set").alias("one"))
-        .join(right, F.col("b") == F.col("r.node"))
+        stored(pairs, "near-measured").join(left, (F.col("a") == F.col("l.node")) & (F.col("a_doc") == F.col("l.doc_id")))
+        .select("a", "b", "b_doc", F.col("l.set").alias("one"))
+        .join(right, (F.col("b") == F.col("r.node")) & (F.col("b_doc") == F.col("r.doc_id")))
         .select("a", "b", "one", F.col("r.set").alias("two"))
         .mapInArrow(measure, "a long, b long, common long, union long")
     )
 
 
-def links_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def links_across(members: DataFrame, wanted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b`` between the groups of each cluster.
 
-    ``members`` holds ``cluster, node, n, label``. Sets outside the cluster's largest group meet all of its sets; both sides are
-    cut into blocks, and each pair of blocks is compared by itself.
+    ``members`` holds ``cluster, node, n, label, part``; nodes of one part have no links left to find among them. Sets outside
+    the cluster's largest part meet all of its sets; both sides are
+    cut into blocks, and each pair of blocks is compared by itself. Only sets of these blocks are sent.
     """
-    groups = members.groupBy("cluster", "label").agg(
+    groups = members.groupBy("cluster", "part").agg(
         F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("n").alias("least"), F.max("n").alias("most")
     )
     groups = stored(groups, "near-groups")
     clusters = groups.groupBy("cluster").agg(
-        F.max(F.struct("size", "label"))["label"].alias("main"), F.sum("shingles").alias("all"), F.count("*").alias("groups")
+        F.max(F.struct("size", "part"))["part"].alias("main"), F.sum("shingles").alias("all"), F.count("*").alias("groups")
     ).where("groups > 1")
     outer = groups.alias("g").join(clusters, "cluster").groupBy("cluster", "main", "all").agg(
-        F.sum(F.when(F.col("label") != F.col("main"), F.col("shingles"))).alias("outside"),
-        F.min(F.when(F.col("label") != F.col("main"), F.col("least"))).alias("least"),
-        F.max(F.when(F.col("label") != F.col("main"), F.col("most"))).alias("most"),
+        F.sum(F.when(F.col("part") != F.col("main"), F.col("shingles"))).alias("outside"),
+        F.min(F.when(F.col("part") != F.col("main"), F.col("least"))).alias("least"),
+        F.max(F.when(F.col("part") != F.col("main"), F.col("most"))).alias("most"),
     )
     clusters = stored(outer.select(
         "cluster",
@@ -273,10 +275,10 @@ def links_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     def each(parts: str) -> F.Column:
         return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
-    # Sets too small or too large for any set outside the largest group are left out.
+    # Sets too small or too large for any set outside the largest part are left out.
     fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
-    held = members.join(clusters, "cluster").where((F.col("label") != F.col("main")) | fits)
-    held = held.withColumn("outside", F.col("label") != F.col("main"))
+    held = members.join(clusters, "cluster").where((F.col("part") != F.col("main")) | fits)
+    held = held.withColumn("outside", F.col("part") != F.col("main"))
     held = held.withColumn("_i", F.when(F.col("outside"), place("rows")).otherwise(F.lit(-1))).withColumn("_j", place("columns"))
     # A set outside is on the left of its row of blocks and on the right of its column; where these cross it is sent once.
     left = held.where("outside").withColumn("j", each("columns")).select(
@@ -285,7 +287,9 @@ def links_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     right = held.withColumn("i", each("rows")).where("i <> _i").select(
         "cluster", "node", "label", F.lit(False).alias("left"), F.lit(True).alias("right"), "i", F.col("_j").alias("j")
     )
-    blocks = stored(left.unionByName(right), "near-blocks").join(sets, "node")
+    blocks = stored(left.unionByName(right).join(wanted, "node"), "near-blocks")
+    needed = sets.where(maybe_in(blocks.select("node").distinct(), "node"))
+    blocks = blocks.join(needed, ["node", "doc_id"]).drop("doc_id")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         sides = [rows[rows["left"]], rows[rows["right"]]]
@@ -316,17 +320,19 @@ def links_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def mixed_buckets(shared: DataFrame, centers: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """``cluster, node, n, label``: banded buckets that hold several groups and pairs without their centre.
+    """``cluster, node, n, label, part``: banded buckets that hold several parts and pairs without their centre.
 
+    ``labels`` holds ``node, label, part``; a part is a cluster whose groups were compared before.
     Of buckets with the same members one stands for all. In the buckets of small sets the star is complete.
     """
     banded = centers.where((F.col("lead") == 0) & (F.col("m") >= small_limit(percent))).select("key")
     held = shared.where("size > 2").select("key", "node", "n").join(banded, "key").join(labels, "node", "left")
-    held = stored(held.withColumn("label", F.coalesce("label", "node")), "near-held")
+    held = held.withColumn("label", F.coalesce("label", "node")).withColumn("part", F.coalesce("part", "node"))
+    held = stored(held, "near-held")
     mixed = held.groupBy("key").agg(
         F.count("*").alias("size"),
-        F.min("label").alias("least"),
-        F.max("label").alias("most"),
+        F.min("part").alias("least"),
+        F.max("part").alias("most"),
         F.bit_xor(F.xxhash64("node")).alias("one"),
         F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"),
     ).where("least <> most")
@@ -398,7 +404,10 @@ def near_duplicates(
     classes = stored(classes.drop("check"), "near-classes")
 
     sizes = buckets(classes, percent).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = stored(buckets(classes, percent).join(stored(sizes, "near-sizes"), "key"), "near-shared")
+    sizes = stored(sizes, "near-sizes")
+    # Most keys have one class; these rows stay where they are.
+    held = buckets(classes, percent).where(maybe_in(sizes.select("key"), "key"))
+    shared = stored(held.join(sizes, "key"), "near-shared")
     weights = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")), "near-weights")
     centers = (
         shared.join(weights, "node")
@@ -417,8 +426,9 @@ def near_duplicates(
     stars = stored(stars, "near-stars")
     ends = stars.select(F.col("a").alias("node")).union(stars.select("b"))
     ends = ends.union(shared.where((F.col("size") > 2) & (F.col("n") >= small_limit(percent))).select("node")).distinct()
-    sets = stored(class_sets(ends, classes, docs, width), "near-sets")
-    pairs = stored(measured(stars, sets), "near-pairs")
+    wanted = stored(ends.join(classes.select("node", F.col("rep").alias("doc_id")), "node"), "near-ends")
+    sets = stored(class_sets(wanted, docs, width), "near-sets")
+    pairs = stored(measured(stars, wanted, sets), "near-pairs")
     links = pairs.where(F.col("common") * 100 >= F.col("union") * percent).select("a", "b")
     labels = connected_components(links, "near-links")
 
@@ -427,10 +437,12 @@ def near_duplicates(
     ).withColumnRenamed("label", "cluster")
     members = clusters.join(labels, "node", "left").join(classes.select("node", F.col("n_shingles").alias("n")), "node")
     members = stored(members.withColumn("label", F.coalesce("label", "node")), "near-members")
-    more = stored(links_across(members, sets, percent), "near-more")
+    more = stored(links_across(members.withColumn("part", F.col("label")), wanted, sets, percent), "near-more")
     labels = joined_labels(labels, more)
-    rest = mixed_buckets(shared, centers, labels, percent)
-    labels = joined_labels(labels, stored(links_across(rest, sets, percent), "near-rest"))
+    # A group lies within a cluster, and a cluster's groups have been compared: what is left lies between clusters.
+    compared = members.select("node", F.col("cluster").alias("part")).join(labels, "node", "left")
+    rest = mixed_buckets(shared, centers, compared, percent)
+    labels = joined_labels(labels, stored(links_across(rest, wanted, sets, percent), "near-rest"))
 
     named = classes.select("node", "rep").join(labels, "node", "left").select(
         "node", "rep", F.coalesce("label", "node").alias("label")

@@ -142,3 +142,14 @@ def test_linked_pairs_of_a_bucket_far_from_its_centre(spark, monkeypatch):
     found = sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()))
     expected = brute_force(rows, 2, 80)
     assert sum(not kept for *_, kept in expected) >= 8 and found == expected
+
+
+def test_groups_of_one_cluster_are_compared_once(spark):
+    """A bucket whose groups lie in one cluster was compared there; buckets of several clusters are looked at."""
+    shared = [(key, node, 50, 3) for key, nodes in ((1, (1, 2, 3)), (2, (1, 2, 4)), (3, (1, 5, 6))) for node in nodes]
+    shared = spark.createDataFrame(shared, "key long, node long, n long, size long")
+    centers = spark.createDataFrame([(key, 0, 1, 50) for key in (1, 2, 3)], "key long, lead int, a long, m long")
+    labels = [(1, 1, 1), (2, 2, 1), (3, 2, 1), (4, 4, 4)]
+    labels = spark.createDataFrame(labels, "node long, label long, part long")
+    found = neardup.mixed_buckets(shared, centers, labels, 80).select("cluster", "node", "label", "part").collect()
+    assert sorted(map(tuple, found)) == [(2, 1, 1, 1), (2, 2, 2, 1), (2, 4, 4, 4), (3, 1, 1, 1), (3, 5, 5, 5), (3, 6, 6, 6)]
