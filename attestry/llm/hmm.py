@@ -3,7 +3,8 @@
 Texts are encoded once into blocks: a block's distinct words and, per token, a word number. Baum-Welch
 counts (starts, transitions, emissions) are taken block by block and summed across partitions. The first
 rounds tie all words but the most frequent ones, so only a bounded table travels to the tasks. All rounds take all
-texts to learn from. The last one counts emissions of every word, which stay distributed: words are joined with their counts and sent back to the blocks that hold them.
+texts to learn from. The last one counts emissions of every word, which stay distributed: a block sends the counts of its words
+packed by ranges of their hashes, each range is summed by itself, and the sums go back to the blocks in the order in which they came.
 
 Texts are cut into short segments that advance together. A segment's product of scaled transition and
 emission matrices carries the recursion across it, so the forward and backward values, and
@@ -35,6 +36,12 @@ HELD_TOKENS = 300_000
 #: Part of a state's emissions left to the background.
 BACKGROUND = 0.4
 END_WORD = np.uint64(0x0123456789ABCDEF)
+#: Words that a range of hashes holds, counted once per block.
+RANGE_WORDS = 1 << 19
+#: Numbers in place of a range's: of the row that carries starts, moves and sums, and of that which tells a block's ranges.
+CHAIN, PLACES = -1, -2
+PARTS = "block long, part int, words binary, c binary, cells binary"
+REPLIES = "block long, part int, c binary, cells binary"
 BLOCKS = "block long, ids binary, no_id binary, held binary, offsets binary, words binary, low binary, high binary"
 
 
@@ -92,7 +99,7 @@ class Block:
 
     @staticmethod
     def read(rows: pa.RecordBatch | pa.Table, at: int) -> Block:
-        """The block in one row; its bytes are read where Arrow holds them."""
+        """The block in one row; its bytes are read where Arrow holds them. Without a column of words it has none."""
 
         def of(name: str, kind: str) -> np.ndarray:
             return np.frombuffer(rows.column(name)[at].as_buffer(), kind)
@@ -101,7 +108,8 @@ class Block:
         tokens <<= 16
         tokens |= of("low", "<u2")
         flags = (of(name, "u1").astype(bool) for name in ("no_id", "held"))
-        return Block(of("ids", "<i8"), *flags, of("offsets", "<i8"), of("words", "<u8"), tokens)
+        words = of("words", "<u8") if "words" in rows.schema.names else np.zeros(0, np.uint64)
+        return Block(of("ids", "<i8"), *flags, of("offsets", "<i8"), words, tokens)
 
     def texts(self, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Token numbers and bounds of the chosen texts, in runs of about ``HELD_TOKENS`` tokens."""
@@ -252,12 +260,14 @@ def smoothed(counts: np.ndarray, sums: np.ndarray, background: np.ndarray) -> np
 
 @dataclass
 class TiedModel:
-    """Chain, and emissions of the head words; the last row stands for all others."""
+    """Chain, and emissions of the head words; the last row stands for all others. Of the training: its tokens and distinct words."""
 
     head: np.ndarray
     background: np.ndarray
     chain: Chain
     emission: np.ndarray
+    total: int
+    distinct: int
 
     def cells(self, words: np.ndarray) -> np.ndarray:
         if not len(self.head):
@@ -270,7 +280,7 @@ class TiedModel:
         return (self.emission / self.background[:, None])[self.cells(block.words)].astype(np.float32)
 
 
-def first_model(head: np.ndarray, counts: np.ndarray, total: int) -> TiedModel:
+def first_model(head: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> TiedModel:
     """States that keep to themselves and lean to different words, by the words' hashes."""
     background = np.append(counts, max(total - counts.sum(), 1)).astype(float)
     background /= background.sum()
@@ -279,7 +289,7 @@ def first_model(head: np.ndarray, counts: np.ndarray, total: int) -> TiedModel:
     emission = background[:, None] * lean
     stay = np.full((STATES, STATES), 0.04 / max(STATES - 1, 1))
     np.fill_diagonal(stay, 0.96)
-    return TiedModel(head, background, Chain(np.full(STATES, 1 / STATES), stay), emission / emission.sum(axis=0))
+    return TiedModel(head, background, Chain(np.full(STATES, 1 / STATES), stay), emission / emission.sum(axis=0), total, distinct)
 
 
 def next_chain(starts: np.ndarray, moves: np.ndarray) -> Chain:
@@ -298,18 +308,12 @@ def tied_rounds(blocks: DataFrame) -> TiedModel:
             some = count > 0
             yield pa.RecordBatch.from_arrays([pa.array(block.words[some].view(np.int64)), pa.array(count[some])], ["word", "n"])
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for held, offsets in zip(*batch.columns, strict=True):
-                learned = ~np.frombuffer(held.as_buffer(), "u1").astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array([int(np.diff(np.frombuffer(offsets.as_buffer(), "<i8"))[learned].sum())])], ["n"])
-
-    sums = blocks.mapInArrow(often, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = blocks.select("held", "offsets").mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
+    sums = stored(blocks.mapInArrow(often, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "hmm-words")
+    total, distinct = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = sums.orderBy(F.desc("n"), "word").limit(HEAD).select("word", "n").toPandas()
     head = top["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(head)
-    model = first_model(head[order], top["n"].to_numpy()[order], total)
+    model = first_model(head[order], top["n"].to_numpy()[order], total, distinct)
 
     for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
@@ -343,47 +347,105 @@ def tied_rounds(blocks: DataFrame) -> TiedModel:
             model.background,
             next_chain(every[len(counts)], every[len(counts) + 1 :]),
             smoothed(counts, counts.sum(axis=0), model.background),
+            total,
+            distinct,
         )
         sent.unpersist()
     return model
 
 
-def emission_counts(blocks: DataFrame, model: TiedModel) -> DataFrame:
-    """``word, c, n0, n1, ...``: training count and expected count per state, of every word; starts and moves in reserved rows.
+def ranges(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's range of hashes; the words in order of their ranges, and where each range begins there."""
+    part = ((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype("<u4")
+    return part, *in_order(part, parts)
+
+
+def in_order(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
-    Rows with ``kind`` above 0 hold the starts (1) and the transitions from a state (2 and up).
+
+def emission_counts(blocks: DataFrame, model: TiedModel, parts: int) -> DataFrame:
+    """``block, part, words, c, cells``: a block's words in a range, their training counts and expected counts per state.
+
+    The row of part ``CHAIN`` holds starts, moves, and sums of the expected counts.
     """
     sent = blocks.sparkSession.sparkContext.broadcast(model)
-    names = [f"n{s}" for s in range(STATES)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for _, block in block_rows(batches):
+        for number, block in block_rows(batches):
             table = own.block_emission(block)
-            cells = np.zeros((len(block.words), STATES))
+            cells = np.zeros((STATES, len(block.words)))
             plain = np.zeros(len(block.words), np.int64)
-            chain = np.zeros((1 + STATES, STATES))
+            chain = np.zeros((2 + STATES, STATES))
             for tokens, offsets in block.texts(~block.held):
                 gamma, begin, move = expected(table[tokens], offsets, own.chain)
                 chain[0] += begin
-                chain[1:] += move
+                chain[1:-1] += move
                 plain += np.bincount(tokens, minlength=len(plain))
                 for s in range(STATES):
-                    cells[:, s] += np.bincount(tokens, gamma[:, s], minlength=len(plain))
-            used = plain > 0
-            every = np.concatenate((cells[used], chain)).astype(np.float32)
+                    cells[s] += np.bincount(tokens, gamma[:, s], minlength=len(plain))
+            chain[-1] = cells.sum(axis=1)
+            _, order, bounds = ranges(block.words, parts)
+            filled = np.flatnonzero(np.diff(bounds))
+            places = [order[bounds[i] : bounds[i + 1]] for i in filled]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate((np.zeros(used.sum(), np.int8), np.arange(1, 2 + STATES, dtype=np.int8)))),
-                    pa.array(np.concatenate((block.words[used].view(np.int64), np.zeros(1 + STATES, np.int64)))),
-                    pa.array(np.concatenate((plain[used], np.zeros(1 + STATES, np.int64)))),
-                    *(pa.array(every[:, s]) for s in range(STATES)),
+                    pa.array(np.full(len(filled) + 1, number)),
+                    pa.array(np.append(filled, CHAIN).astype(np.int32)),
+                    pa.array([*(block.words[at].tobytes() for at in places), b""], pa.binary()),
+                    pa.array([*(plain[at].astype("<u4").tobytes() for at in places), b""], pa.binary()),
+                    pa.array([*(cells[:, at].astype("<f4").tobytes() for at in places), chain.tobytes()], pa.binary()),
                 ],
-                ["kind", "word", "c", *names],
+                ["block", "part", "words", "c", "cells"],
             )
 
-    rows = blocks.mapInArrow(count, "kind byte, word long, c long, " + ", ".join(f"{n} float" for n in names))
-    return rows.groupBy("kind", "word").agg(F.sum("c").alias("c"), *[F.sum(n).alias(n) for n in names])
+    return blocks.mapInArrow(count, PARTS)
+
+
+def summed(counts: DataFrame) -> DataFrame:
+    """``block, part, c, cells``: the words of every row with their counts in all blocks."""
+
+    def add(group: pa.Table) -> pa.Table:
+        def of(name: str, kind: str) -> list[np.ndarray]:
+            return [np.frombuffer(x.as_buffer(), kind) for x in group.column(name)]
+
+        if group.column("part")[0].as_py() == CHAIN:
+            c, cells = [b""] * group.num_rows, [np.sum(of("cells", "<f8"), axis=0).tobytes()] * group.num_rows
+        else:
+            words = of("words", "<u8")
+            ends = np.cumsum([len(x) for x in words])[:-1]
+            distinct, number = np.unique(np.concatenate(words), return_inverse=True)
+            often = np.bincount(number, np.concatenate(of("c", "<u4"))).astype("<i8")
+            each = np.concatenate([x.reshape(STATES, -1) for x in of("cells", "<f4")], axis=1)
+            sums = np.stack([np.bincount(number, state) for state in each]).astype("<f4")
+            rows = np.split(number, ends)
+            c, cells = [often[at].tobytes() for at in rows], [sums[:, at].tobytes() for at in rows]
+        columns = [*group.select(["block", "part"]).columns, pa.array(c, pa.binary()), pa.array(cells, pa.binary())]
+        return pa.Table.from_arrays(columns, ["block", "part", "c", "cells"])
+
+    # A group is a range of hashes with about RANGE_WORDS words, or a few numbers per block.
+    return counts.groupBy("part").applyInArrow(add, REPLIES)
+
+
+def range_places(blocks: DataFrame, parts: int) -> DataFrame:
+    """Per block, the range of every word, as a row of part ``PLACES``."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = [ranges(np.frombuffer(x.as_buffer(), "<u8"), parts)[0].tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(np.full(len(part), PLACES, np.int32)),
+                    pa.array([b""] * len(part), pa.binary()),
+                    pa.array(part, pa.binary()),
+                ],
+                ["block", "part", "c", "cells"],
+            )
+
+    return blocks.select("block", "words").mapInArrow(tell, REPLIES)
 
 
 def score_documents(
@@ -402,44 +464,26 @@ def score_documents(
     blocks = encode(rows, "held")
     path_blocks = stored(blocks, "hmm-blocks")
     model = tied_rounds(path_blocks)
-    names = [f"n{s}" for s in range(STATES)]
-    counted = stored(emission_counts(path_blocks, model), "hmm-emissions")
-    words = counted.where("kind = 0")
-    figures = words.agg(F.sum("c"), F.count("*"), *[F.sum(n) for n in names]).first()
-    total, distinct = figures[0] or 0, figures[1]
-    sums = np.array([x or 0.0 for x in figures[2:]])
-    every = np.zeros((1 + STATES, STATES))
-    for row in counted.where("kind > 0").collect():
-        every[row["kind"] - 1] = [row[n] for n in names]
-    chain = next_chain(every[0], every[1:])
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in block_rows(batches):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(block.words), number)),
-                    pa.array(np.arange(len(block.words), dtype=np.int32)),
-                    pa.array(block.words.view(np.int64)),
-                ],
-                ["block", "place", "word"],
-            )
-
-    wanted = path_blocks.mapInArrow(route, "block long, place int, word long")
-    # A word that no text to learn from holds needs no row: it is known by its absence.
-    sent = wanted.join(words, "word").select(
-        "block", "place", "c", *[F.col(n).cast("float").alias(n) for n in names]
-    )
+    total, distinct = model.total, model.distinct
+    words = path_blocks.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
+    parts = int(words // RANGE_WORDS) + 1
+    replies = summed(emission_counts(path_blocks, model, parts)).unionByName(range_places(path_blocks, parts))
 
     def score(group: pa.Table, counts: pa.Table) -> pa.Table:
-        parts = []
+        scored = []
         for row in range(group.num_rows):
             block = Block.read(group, row)
-            place = counts.column("place").to_numpy()
-            c = np.zeros(len(block.words))
-            c[place] = counts.column("c").to_numpy()
-            own = np.zeros((len(block.words), STATES))
-            for s, name in enumerate(names):
-                own[place, s] = counts.column(name).to_numpy()
+            told = dict(zip(counts.column("part").to_pylist(), zip(counts.column("c"), counts.column("cells")), strict=True))
+            place = np.frombuffer(told.pop(PLACES)[1].as_buffer(), "<u4")
+            every = np.frombuffer(told.pop(CHAIN)[1].as_buffer(), "<f8").reshape(-1, STATES)
+            chain, sums = next_chain(every[0], every[1:-1]), every[-1]
+            order, bounds = in_order(place, parts)
+            c = np.zeros(len(place))
+            own = np.zeros((len(place), STATES))
+            for part, (often, cells) in told.items():
+                at = order[bounds[part] : bounds[part + 1]]
+                c[at] = np.frombuffer(often.as_buffer(), "<i8")
+                own[at] = np.frombuffer(cells.as_buffer(), "<f4").reshape(STATES, -1).T
             background = (c + 1) / (total + distinct + 1)
             emission = smoothed(own, sums, background)
             known, base = c > 0, np.log10(background)
@@ -459,11 +503,11 @@ def score_documents(
                     pa.array(np.add.reduceat(base[tokens], offsets[:-1])),
                     pa.array(log / np.log(10)),
                 ]
-                parts.append(pa.Table.from_arrays(columns, schema=SCORED))
-        return pa.concat_tables(parts) if parts else SCORED.empty_table()
+                scored.append(pa.Table.from_arrays(columns, schema=SCORED))
+        return pa.concat_tables(scored) if scored else SCORED.empty_table()
 
-    # A group is one block and its words, bounded by the block's size.
-    return path_blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(
+    # A group is one block and its words' counts, bounded by the block's size.
+    return path_blocks.drop("words").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
         score,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -119,3 +119,44 @@ def test_head_does_not_depend_on_partitions(spark):
     one, many = (hmm.tied_rounds(stored(hmm.encode(df.repartition(n), "held"), f"head-{n}")) for n in (1, 60))
     assert len(one.head) == 1 + 3 + 40 + 120 and (one.head == many.head).all()
     np.testing.assert_allclose(one.background, many.background)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_counts_of_all_blocks_come_back_in_the_order_of_each(spark, parts):
+    texts = [(i, i % 5 == 0, f"the cat w{i % 40} and w{i % 7} v{i}") for i in range(120)]
+    df = spark.createDataFrame(texts, "doc_id long, held boolean, text string")
+    blocks = stored(hmm.encode(df.repartition(7), "held"), "summed")
+    counts = hmm.emission_counts(blocks, hmm.tied_rounds(blocks), parts).collect()
+    true, cells = {}, {}
+    for row in (r for r in counts if r["part"] >= 0):
+        for word, c, n in zip(
+            np.frombuffer(row["words"], "<u8"), np.frombuffer(row["c"], "<u4"), np.frombuffer(row["cells"], "<f4").reshape(4, -1).T, strict=True
+        ):
+            true[word], cells[word] = true.get(word, 0) + c, cells.get(word, 0) + n
+    assert max(true.values()) == 96
+    words = {(r["block"], r["part"]): np.frombuffer(r["words"], "<u8") for r in counts}
+    found = hmm.summed(spark.createDataFrame(counts, hmm.PARTS)).collect()
+    assert len(found) == len(counts)
+    for row in (r for r in found if r["part"] >= 0):
+        held = words[row["block"], row["part"]]
+        assert np.frombuffer(row["c"], "<i8").tolist() == [true[w] for w in held]
+        np.testing.assert_allclose(np.frombuffer(row["cells"], "<f4").reshape(4, -1).T, [cells[w] for w in held], rtol=1e-5, atol=1e-6)
+
+
+def test_no_row_is_sent_per_word(spark):
+    """Counts meet blocks packed: no join on words, and no hashes beside a block's tokens."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("held_out", F.lit(False))
+    plan = hmm.score_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 0
+
+
+def test_many_ranges_give_the_same_scores(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).repartition(3)
+    one = {r["doc_id"]: r for r in hmm.score_documents(docs).collect()}
+    monkeypatch.setattr(hmm, "RANGE_WORDS", 50)
+    many = {r["doc_id"]: r for r in hmm.score_documents(docs).collect()}
+    assert len(one) == 200 and set(one) == set(many)
+    for i, row in one.items():
+        assert row["n_known"] == many[i]["n_known"] and math.isclose(row["base_score"], many[i]["base_score"], rel_tol=1e-12)
+        assert math.isclose(row["score"], many[i]["score"], rel_tol=1e-6)
