@@ -203,11 +203,9 @@ def entry_id() -> Column:
 def affected_keys(claims: DataFrame, runs: DataFrame) -> DataFrame:
     """Features that an update run's own claims touch: ``run_id, corpus_id, feature_key``."""
     update = runs.where(F.col("kind") == "update").select("run_id")
-    return (
-        claims.select("run_id", "corpus_id", feature_key().alias("feature_key"))
-        .distinct()
-        .join(update, "run_id", "left_semi")
-    )
+    # The key is taken once per subject, not once per claim.
+    subjects = claims.select("run_id", "corpus_id", "subject").distinct().join(update, "run_id", "left_semi")
+    return subjects.select("run_id", "corpus_id", feature_key().alias("feature_key")).distinct()
 
 
 def touched_claims(

@@ -192,13 +192,14 @@ sent AS (SELECT * FROM every UNION ALL SELECT item_id, run_id, item_type, CASE d
 )
 def invalid_decisions(spark, sf_dir):
     """All decisions sent a second time, and those on changes sent under another type."""
-    sent = tables.reviews(spark, sf_dir).withColumn(
+    reviews = tables.reviews(spark, sf_dir)
+    sent = reviews.withColumn(
         "item_type",
         F.when(F.col("item_type") == "register_change", F.lit("finding")).otherwise(F.col("item_type")),
     )
     pending = review.pending_items(
-        decided_conflicts(spark, sf_dir),
-        decided_findings(spark, sf_dir),
+        review.apply_conflict_decisions(tables.conflicts(spark, sf_dir), reviews),
+        review.apply_finding_decisions(tables.findings(spark, sf_dir), reviews),
         [tables.additions(spark, sf_dir), tables.changes(spark, sf_dir)],
     )
     return review.invalid_decisions(sent, pending).select("item_id", "run_id", "item_type", "decision")

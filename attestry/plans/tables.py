@@ -69,20 +69,20 @@ def field_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def touched_rows(spark: SparkSession, sf_dir: str, affected: DataFrame) -> DataFrame:
-    """Claim rows of the features that update runs touch."""
-    claims, sources = register.touched_claims(
-        views.claims(spark, sf_dir), views.claim_sources(spark, sf_dir), affected
-    )
-    return register.claim_rows(claims, sources, views.chunks(spark, sf_dir), views.documents(spark, sf_dir))
+@views.stored
+def affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features that update runs touch."""
+    return register.affected_keys(views.claims(spark, sf_dir), views.runs(spark, sf_dir))
 
 
 @views.stored
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every touched field, written once: additions, changes and unaffected features read it."""
-    affected = register.affected_keys(views.claims(spark, sf_dir), views.runs(spark, sf_dir))
+    """Every touched field, written once: additions, changes and unaffected features read it.
+
+    The claim rows are there already, as the entries come from them.
+    """
     return register.judge_features(
-        touched_rows(spark, sf_dir, affected), affected, entries(spark, sf_dir), field_sources(spark, sf_dir)
+        stored_rows(spark, sf_dir), affected(spark, sf_dir), entries(spark, sf_dir), field_sources(spark, sf_dir)
     )
 
 
@@ -213,6 +213,7 @@ def change_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_decisions(spark, sf_dir, items, "register_change")
 
 
+@views.stored
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         conflict_reviews(spark, sf_dir)

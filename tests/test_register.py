@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attestry import schemas
 from attestry.functions.ids import PROPOSAL_NAMESPACE
 from attestry.operators import commit, register, review
+from attestry.plans import tables
 
 ROWS = (
     "claim_id string, run_id string, corpus_id string, subject string, predicate string, object string,"
@@ -377,3 +378,22 @@ def test_enumerated_columns_are_checked(frame):
     assert [r["run_id"] for r in schemas.valid_rows(df, "runs").collect()] == ["r1"]
     for text in schemas.SCHEMAS.values():
         assert frame([], text).columns
+
+
+def test_keys_are_taken_once_per_subject(spark):
+    claims = spark.createDataFrame(
+        [("c:update", "c", "Feature A"), ("c:update", "c", "feature/a"), ("c:initial", "c", "Feature B")],
+        "run_id string, corpus_id string, subject string",
+    )
+    runs = spark.createDataFrame([("c:update", "update"), ("c:initial", "initial")], "run_id string, kind string")
+    found = register.affected_keys(claims, runs)
+    assert [tuple(r) for r in found.collect()] == [("c:update", "c", "feature-a")]
+    lines = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    keyed, grouped = ([i for i, line in enumerate(lines) if word in line] for word in ("regexp_replace", "Aggregate ["))
+    assert grouped[-1] > keyed[-1]  # claims are grouped by subject below the step that takes keys
+
+
+def test_reviews_are_derived_once(spark):
+    """Decisions are read back from a table: sent ones and those that were taken need no joins of their own."""
+    plan = tables.reviews(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Relation" in plan
