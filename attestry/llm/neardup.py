@@ -18,7 +18,7 @@ shingle do not rely on chance: they meet in buckets of their exact set with one
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.bloom import maybe_in
+from attestry.llm.bloom import lookup, maybe_in
 from attestry.llm.graph import connected_components
 from attestry.llm.storage import stored
 from attestry.llm.words import NOT_SPACE, Words, mix, pieces, text_bytes
@@ -42,7 +42,9 @@ SLACK = 20
 BLOCK_SHINGLES = 500_000
 COLUMNS = 2048
 #: Sets of either side that are compared at once within a block.
-TILE = 2000
+TILE = 500
+#: Bytes of text whose sets are built at once.
+TEXT_BYTES = 1 << 19
 DONORS = np.stack([np.random.RandomState(1000 + i).permutation(BINS) for i in range(BINS)])
 
 
@@ -54,7 +56,7 @@ def small_limit(percent: int) -> int:
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of rows: first row, sorted distinct shingle hashes, and their offsets per row."""
     data, offsets = text_bytes(column)
-    for low, high in pieces(offsets):
+    for low, high in pieces(offsets, TEXT_BYTES):
         words = Words(data, offsets[low : high + 1], NOT_SPACE)
         hashes = words.hashes()
         count = np.diff(words.offsets)
@@ -147,8 +149,10 @@ def document_features(documents: DataFrame, width: int, percent: int, id_column:
     return documents.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(features, FEATURES)
 
 
-def buckets(classes: DataFrame, percent: int) -> DataFrame:
-    """``key, node, n, rank``: a row per class and bucket; the lowest rank is the star's centre."""
+def buckets(
+    classes: DataFrame, percent: int, some: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda batch: batch
+) -> DataFrame:
+    """``key, node, n, rank``: a row per class and bucket, of those that ``some`` leaves; the lowest rank is the star's centre."""
     limit = small_limit(percent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,14 +178,16 @@ def buckets(classes: DataFrame, percent: int) -> DataFrame:
                         rank.append((np.arange(len(values)) + (count[i] >= limit) > 0).astype(np.int8))
                 if key:
                     at = np.concatenate(owner)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(key).view(np.int64)),
-                            pa.array(node[at]),
-                            pa.array(count[at]),
-                            pa.array(np.concatenate(rank)),
-                        ],
-                        ["key", "node", "n", "rank"],
+                    yield some(
+                        pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.concatenate(key).view(np.int64)),
+                                pa.array(node[at]),
+                                pa.array(count[at]),
+                                pa.array(np.concatenate(rank)),
+                            ],
+                            ["key", "node", "n", "rank"],
+                        )
                     )
 
     return classes.select("node", "n_shingles", "bands", "small").mapInArrow(
@@ -197,11 +203,15 @@ def class_sets(wanted: DataFrame, documents: DataFrame, width: int) -> DataFrame
     """``doc_id, node, set``: the full sets of the given classes (``node, doc_id``), from the texts of their first documents.
 
     Neither texts nor sets move: a filter of the documents' ids stands before the sets are built. It lets some other
-    documents pass, so a set is that of its class only together with the ``doc_id``.
+    documents pass, so a set is that of its class only together with the ``doc_id``. The filter is looked up by the
+    process that builds the sets, so a task has one Python process.
     """
+    some = lookup(wanted.select("doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(some, batches):
+            if not batch.num_rows:
+                continue
             for low, value, offsets in shingle_sets(batch.column(1), width):
                 packed = [value[offsets[i] : offsets[i + 1]].tobytes() for i in range(len(offsets) - 1)]
                 node = pa.array(set_sums(value, offsets, NODE).view(np.int64))
@@ -209,8 +219,7 @@ def class_sets(wanted: DataFrame, documents: DataFrame, width: int) -> DataFrame
                     [batch.column(0).slice(low, len(packed)), node, pa.array(packed, pa.binary())], ["doc_id", "node", "set"]
                 )
 
-    some = documents.where(maybe_in(wanted.select("doc_id"), "doc_id")).select("doc_id", "text")
-    return some.mapInArrow(sets, "doc_id long, node long, set binary")
+    return documents.select("doc_id", "text").mapInArrow(sets, "doc_id long, node long, set binary")
 
 
 def measured(pairs: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
@@ -292,33 +301,41 @@ def links_across(members: DataFrame, wanted: DataFrame, sets: DataFrame, percent
     blocks = blocks.join(needed, ["node", "doc_id"]).drop("doc_id")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        sides = [rows[rows["left"]], rows[rows["right"]]]
-        lists = [[np.frombuffer(s, np.uint64) for s in side["set"]] for side in sides]
-        sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in lists]
-        nodes, labels = ([side[c].to_numpy() for side in sides] for c in ("node", "label"))
-        group = {x: x for x in np.concatenate(labels).tolist()}
-
-        def root(x: int) -> int:
-            while group[x] != x:
-                group[x] = group[group[x]]
-                x = group[x]
-            return x
-
-        found = []
-        for i, j in itertools.product(*(range(0, len(side), TILE) for side in lists)):
-            left, right = slice(i, i + TILE), slice(j, j + TILE)
-            common = shared_counts(lists[0][left], lists[1][right])
-            linked = 100 * common >= percent * (sizes[0][left, None] + sizes[1][None, right] - common)
-            for a, b in zip(*np.nonzero(linked & (labels[0][left, None] != labels[1][None, right])), strict=True):
-                one, two = root(int(labels[0][i + a])), root(int(labels[1][j + b]))
-                if one != two:
-                    group[one] = two
-                    found.append((nodes[0][i + a], nodes[1][j + b]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        return block_links(rows, percent)
 
     return blocks.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links ``a, b`` that join groups, of one block's rows ``node, label, left, right, set``.
+
+    Besides the sets themselves, memory follows ``TILE``, not the block.
+    """
+    sides = [rows[rows["left"]], rows[rows["right"]]]
+    lists = [[np.frombuffer(s, np.uint64) for s in side["set"]] for side in sides]
+    sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in lists]
+    nodes, labels = ([side[c].to_numpy() for side in sides] for c in ("node", "label"))
+    group = {x: x for x in np.concatenate(labels).tolist()}
+
+    def root(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    found = []
+    for i, j in itertools.product(*(range(0, len(side), TILE) for side in lists)):
+        left, right = slice(i, i + TILE), slice(j, j + TILE)
+        common = shared_counts(lists[0][left], lists[1][right])
+        linked = 100 * common >= percent * (sizes[0][left, None] + sizes[1][None, right] - common)
+        for a, b in zip(*np.nonzero(linked & (labels[0][left, None] != labels[1][None, right])), strict=True):
+            one, two = root(int(labels[0][i + a])), root(int(labels[1][j + b]))
+            if one != two:
+                group[one] = two
+                found.append((nodes[0][i + a], nodes[1][j + b]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
 def mixed_buckets(shared: DataFrame, centers: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """``cluster, node, n, label, part``: banded buckets that hold several parts and pairs without their centre.
 
@@ -406,7 +423,7 @@ def near_duplicates(
     sizes = buckets(classes, percent).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     sizes = stored(sizes, "near-sizes")
     # Most keys have one class; these rows stay where they are.
-    held = buckets(classes, percent).where(maybe_in(sizes.select("key"), "key"))
+    held = buckets(classes, percent, lookup(sizes.select("key")))
     shared = stored(held.join(sizes, "key"), "near-shared")
     weights = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")), "near-weights")
     centers = (

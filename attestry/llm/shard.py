@@ -13,7 +13,8 @@ from __future__ import annotations
 import bisect
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +76,12 @@ def heavy_groups(rows: DataFrame, bytes_: float, count: float) -> list[tuple[int
     return [(r[0], r[1]) for r in sizes.collect()]
 
 
+def listed(spark: SparkSession, rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """A short list as a table, sent as Arrow data: no Python process on the executors turns it into rows."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(columns, fields, strict=True)}))
+
+
 def assign_shards(
     documents: DataFrame, shards: int = 8, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -101,8 +108,8 @@ def assign_shards(
             whole.append((group, least))
         else:
             split.append((group, True))
-    placed = spark.createDataFrame(whole, "_group long, _whole int")
-    loose = spark.createDataFrame(split, "_group long, _split boolean").where("_split")
+    placed = listed(spark, whole, [("_group", pa.int64()), ("_whole", pa.int32())])
+    loose = listed(spark, split, [("_group", pa.int64()), ("_split", pa.bool_())]).where("_split")
     # Both lists are shorter than twice shards / HEAVY.
     rows = rows.join(F.broadcast(placed), "_group", "left").join(F.broadcast(loose), "_group", "left")
 
@@ -120,11 +127,12 @@ def assign_shards(
         r["_range"]: 1 + int(max(r["_sum"] * ranges / max(total, 1), r["_n"] * ranges / max(count, 1)))
         for r in filled
     }
-    cut = spark.createDataFrame([(k, v) for k, v in parts.items()], "_range long, _parts long")
+    cut = listed(spark, list(parts.items()), [("_range", pa.int64()), ("_parts", pa.int64())])
     edges = [-(2**63), *splitters, 2**63]
-    bounds = spark.createDataFrame(
+    bounds = listed(
+        spark,
         [(i, float(edges[i]), float(edges[i + 1] - edges[i])) for i in range(len(splitters) + 1)],
-        "_range long, _low double, _width double",
+        [("_range", pa.int64()), ("_low", pa.float64()), ("_width", pa.float64())],
     )
     rows = rows.join(F.broadcast(cut.join(bounds, "_range")), "_range")
     within = F.floor((F.col("_group").cast("double") - F.col("_low")) / F.col("_width") * F.col("_parts"))

@@ -1,10 +1,13 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
 from attestry.llm import neardup
+from attestry.llm.bloom import lookup
 from attestry.llm.graph import connected_components
 
 
@@ -153,3 +156,33 @@ def test_groups_of_one_cluster_are_compared_once(spark):
     labels = spark.createDataFrame(labels, "node long, label long, part long")
     found = neardup.mixed_buckets(shared, centers, labels, 80).select("cluster", "node", "label", "part").collect()
     assert sorted(map(tuple, found)) == [(2, 1, 1, 1), (2, 2, 2, 1), (2, 4, 4, 4), (3, 1, 1, 1), (3, 5, 5, 5), (3, 6, 6, 6)]
+
+
+def test_a_block_of_near_copies_needs_little_memory():
+    """Every set is linked with every other: memory follows the tiles, not the block's pairs."""
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.append(base, np.uint64(1000 + i)).tobytes() for i in range(2500)]
+    rows = pd.DataFrame({"node": range(2500), "label": np.arange(2500) % 50 // 49, "left": True, "right": True, "set": sets})
+    tracemalloc.start()
+    found = neardup.block_links(rows, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1 and peak < 40e6
+
+
+def test_sets_and_buckets_take_one_python_process_a_task(spark):
+    """The filter is looked up where the sets and keys are made: no second Python node in the stage."""
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "e f g h"), (None, "i j k"), (4, None)], "doc_id long, text string")
+    wanted = spark.createDataFrame([(7, 1), (8, 4)], "node long, doc_id long")
+    sets = neardup.class_sets(wanted, docs, 2)
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    assert {r["doc_id"]: len(r["set"]) for r in sets.collect()} == {1: 24, 4: 0}
+
+
+def test_lookup_keeps_every_row_of_the_ids(spark):
+    ids = spark.range(-500, 500)
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(-2000, 2000), None])], ["id"])
+    left = lookup(ids)(batch).column(0).to_pylist()
+    assert set(range(-500, 500)) <= set(left) and len(left) < 1100
+    assert lookup(ids.where("false"))(batch).num_rows == 0

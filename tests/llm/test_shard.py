@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+from pyspark import SparkContext
 
 from attestry.llm import shard
 
@@ -62,3 +63,15 @@ def test_awkward_rows(awkward, nothing):
     docs = [(r["doc_id"], r["text"]) for r in awkward.collect()]
     check(shard.assign_shards(awkward, 4).collect(), docs, 4)
     assert shard.assign_shards(nothing, 8).count() == 0
+
+
+def test_short_lists_need_no_python_process(spark, monkeypatch):
+    """Lists of the plan go to the executors as Arrow data; parallelized rows would be unpickled by further processes."""
+    docs = [(i, "one text again " * 9 if i % 3 else f"text number {i} " * 12) for i in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+
+    def refused(*args, **kwargs):
+        raise AssertionError("rows are sent through Python")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refused)
+    check(shard.assign_shards(df, 3).collect(), docs, 3)
