@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.ordering import running_total
-from attestry.llm.storage import stored
+from attestry.llm.storage import files_of, stored
 
 WEIGHTS = (5, 2, 1)
 #: Ranges that the finish times are cut into, in each round of refinement.
@@ -98,7 +98,7 @@ def mix_sources(
     queue = running_total(
         entries, ["source_no"], ["place", "text_key", "size"], F.substring("place", 1, 3), F.col("size") * F.col("n"), "before"
     )
-    queue = stored(every_copy(stored(queue, "mix-entries")), "mix-queue")
+    queue = stored(every_copy(stored(queue, "mix-entries", files_of(rows.count()))), "mix-queue")
 
     def finish(turn: int | F.Column) -> F.Column:
         return (F.lit(turn) * F.col("source_size") + F.col("before") + F.col("size")) / F.col("weight")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.bloom import lookup, maybe_in
 from attestry.llm.graph import connected_components
-from attestry.llm.storage import stored
+from attestry.llm.storage import files_of, stored
 from attestry.llm.words import NOT_SPACE, Words, mix, pieces, text_bytes
 
 BANDS, ROWS = 32, 5
@@ -222,7 +222,7 @@ def class_sets(wanted: DataFrame, documents: DataFrame, width: int) -> DataFrame
     return documents.select("doc_id", "text").mapInArrow(sets, "doc_id long, node long, set binary")
 
 
-def measured(pairs: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
+def measured(pairs: DataFrame, wanted: DataFrame, sets: DataFrame, files: int | None = None) -> DataFrame:
     """The pairs ``a, b`` with the sizes of the sets' intersection and union."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +242,7 @@ def measured(pairs: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = pairs.join(wanted.select(F.col("node").alias(end), F.col("doc_id").alias(f"{end}_doc")), end)
     left, right = sets.alias("l"), sets.alias("r")
     return (
-        stored(pairs, "near-measured").join(left, (F.col("a") == F.col("l.node")) & (F.col("a_doc") == F.col("l.doc_id")))
+        stored(pairs, "near-measured", files).join(left, (F.col("a") == F.col("l.node")) & (F.col("a_doc") == F.col("l.doc_id")))
         .select("a", "b", "b_doc", F.col("l.set").alias("one"))
         .join(right, (F.col("b") == F.col("r.node")) & (F.col("b_doc") == F.col("r.doc_id")))
         .select("a", "b", "one", F.col("r.set").alias("two"))
@@ -250,7 +250,7 @@ def measured(pairs: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def links_across(members: DataFrame, wanted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def links_across(members: DataFrame, wanted: DataFrame, sets: DataFrame, percent: int, files: int | None = None) -> DataFrame:
     """Links ``a, b`` between the groups of each cluster.
 
     ``members`` holds ``cluster, node, n, label, part``; nodes of one part have no links left to find among them. Sets outside
@@ -260,7 +260,7 @@ def links_across(members: DataFrame, wanted: DataFrame, sets: DataFrame, percent
     groups = members.groupBy("cluster", "part").agg(
         F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("n").alias("least"), F.max("n").alias("most")
     )
-    groups = stored(groups, "near-groups")
+    groups = stored(groups, "near-groups", files)
     clusters = groups.groupBy("cluster").agg(
         F.max(F.struct("size", "part"))["part"].alias("main"), F.sum("shingles").alias("all"), F.count("*").alias("groups")
     ).where("groups > 1")
@@ -276,7 +276,7 @@ def links_across(members: DataFrame, wanted: DataFrame, sets: DataFrame, percent
         "most",
         F.ceil(F.col("outside") / BLOCK_SHINGLES).cast("int").alias("rows"),
         F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("columns"),
-    ), "near-mixed")
+    ), "near-mixed", files)
 
     def place(parts: str) -> F.Column:
         return F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
@@ -296,7 +296,7 @@ def links_across(members: DataFrame, wanted: DataFrame, sets: DataFrame, percent
     right = held.withColumn("i", each("rows")).where("i <> _i").select(
         "cluster", "node", "label", F.lit(False).alias("left"), F.lit(True).alias("right"), "i", F.col("_j").alias("j")
     )
-    blocks = stored(left.unionByName(right).join(wanted, "node"), "near-blocks")
+    blocks = stored(left.unionByName(right).join(wanted, "node"), "near-blocks", files)
     needed = sets.where(maybe_in(blocks.select("node").distinct(), "node"))
     blocks = blocks.join(needed, ["node", "doc_id"]).drop("doc_id")
 
@@ -336,7 +336,7 @@ def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def mixed_buckets(shared: DataFrame, centers: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def mixed_buckets(shared: DataFrame, centers: DataFrame, labels: DataFrame, percent: int, files: int | None = None) -> DataFrame:
     """``cluster, node, n, label, part``: banded buckets that hold several parts and pairs without their centre.
 
     ``labels`` holds ``node, label, part``; a part is a cluster whose groups were compared before.
@@ -345,7 +345,7 @@ def mixed_buckets(shared: DataFrame, centers: DataFrame, labels: DataFrame, perc
     banded = centers.where((F.col("lead") == 0) & (F.col("m") >= small_limit(percent))).select("key")
     held = shared.where("size > 2").select("key", "node", "n").join(banded, "key").join(labels, "node", "left")
     held = held.withColumn("label", F.coalesce("label", "node")).withColumn("part", F.coalesce("part", "node"))
-    held = stored(held, "near-held")
+    held = stored(held, "near-held", files)
     mixed = held.groupBy("key").agg(
         F.count("*").alias("size"),
         F.min("part").alias("least"),
@@ -353,24 +353,24 @@ def mixed_buckets(shared: DataFrame, centers: DataFrame, labels: DataFrame, perc
         F.bit_xor(F.xxhash64("node")).alias("one"),
         F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"),
     ).where("least <> most")
-    mixed = stored(mixed.groupBy("size", "one", "two").agg(F.min("key").alias("key")).select("key"), "near-open")
-    return stored(held.join(mixed, "key").withColumnRenamed("key", "cluster"), "near-mixed-members")
+    mixed = stored(mixed.groupBy("size", "one", "two").agg(F.min("key").alias("key")).select("key"), "near-open", files)
+    return stored(held.join(mixed, "key").withColumnRenamed("key", "cluster"), "near-mixed-members", files)
 
 
-def joined_labels(labels: DataFrame, more: DataFrame) -> DataFrame:
+def joined_labels(labels: DataFrame, more: DataFrame, files: int | None = None) -> DataFrame:
     """``labels`` after the links ``more`` between nodes of different groups."""
     if more.isEmpty():
         return labels
     joined = more.join(labels.alias("l"), F.col("a") == F.col("l.node"), "left").select(
         F.coalesce("l.label", "a").alias("a"), "b"
     ).join(labels.alias("r"), F.col("b") == F.col("r.node"), "left").select("a", F.coalesce("r.label", "b").alias("b"))
-    over = stored(connected_components(joined, "near-joined"), "near-over").select(
+    over = stored(connected_components(joined, "near-joined", files), "near-over", files).select(
         F.col("node").alias("label"), F.col("label").alias("top")
     )
     # A group's label stands for all its nodes, and so does a node that had no link.
     labels = labels.unionByName(over.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti"))
     labels = labels.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    return stored(labels, "near-labels")
+    return stored(labels, "near-labels", files)
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -413,26 +413,29 @@ def near_duplicates(
     """
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     features = stored(document_features(docs, width, percent, "doc_id", "text"), "near-features")
+    # Tables from here on are small beside the texts; written by every partition of a shuffle, they would be very many tiny files.
+    number, shingles = features.agg(F.count("*"), F.sum("n_shingles")).first()
+    files = files_of(number, shingles or 0)
     classes = (
         features.where("n_shingles > 0 and doc_id is not null")
         .groupBy("node", "check", "n_shingles")
         .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("small").alias("small"))
     )
-    classes = stored(classes.drop("check"), "near-classes")
+    classes = stored(classes.drop("check"), "near-classes", files)
 
     sizes = buckets(classes, percent).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    sizes = stored(sizes, "near-sizes")
+    sizes = stored(sizes, "near-sizes", files)
     # Most keys have one class; these rows stay where they are.
     held = buckets(classes, percent, lookup(sizes.select("key")))
-    shared = stored(held.join(sizes, "key"), "near-shared")
-    weights = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")), "near-weights")
+    shared = stored(held.join(sizes, "key"), "near-shared", files)
+    weights = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")), "near-weights", files)
     centers = (
         shared.join(weights, "node")
         .groupBy("key")
         .agg(F.min(F.struct("rank", -F.col("weight"), "node", "n")).alias("center"))
         .select("key", F.col("center.rank").alias("lead"), F.col("center.node").alias("a"), F.col("center.n").alias("m"))
     )
-    centers = stored(centers, "near-centers")
+    centers = stored(centers, "near-centers", files)
     stars = (
         shared.join(centers, "key")
         .where("node <> a and lead = 0")
@@ -440,33 +443,33 @@ def near_duplicates(
         .select("a", F.col("node").alias("b"))
         .distinct()
     )
-    stars = stored(stars, "near-stars")
+    stars = stored(stars, "near-stars", files)
     ends = stars.select(F.col("a").alias("node")).union(stars.select("b"))
     ends = ends.union(shared.where((F.col("size") > 2) & (F.col("n") >= small_limit(percent))).select("node")).distinct()
-    wanted = stored(ends.join(classes.select("node", F.col("rep").alias("doc_id")), "node"), "near-ends")
+    wanted = stored(ends.join(classes.select("node", F.col("rep").alias("doc_id")), "node"), "near-ends", files)
     sets = stored(class_sets(wanted, docs, width), "near-sets")
-    pairs = stored(measured(stars, wanted, sets), "near-pairs")
+    pairs = stored(measured(stars, wanted, sets, files), "near-pairs", files)
     links = pairs.where(F.col("common") * 100 >= F.col("union") * percent).select("a", "b")
-    labels = connected_components(links, "near-links")
+    labels = connected_components(links, "near-links", files)
 
     clusters = connected_components(
-        pairs.where(F.col("common") * 100 >= F.col("union") * (percent - SLACK)).select("a", "b"), "near-clusters"
+        pairs.where(F.col("common") * 100 >= F.col("union") * (percent - SLACK)).select("a", "b"), "near-clusters", files
     ).withColumnRenamed("label", "cluster")
     members = clusters.join(labels, "node", "left").join(classes.select("node", F.col("n_shingles").alias("n")), "node")
-    members = stored(members.withColumn("label", F.coalesce("label", "node")), "near-members")
-    more = stored(links_across(members.withColumn("part", F.col("label")), wanted, sets, percent), "near-more")
-    labels = joined_labels(labels, more)
+    members = stored(members.withColumn("label", F.coalesce("label", "node")), "near-members", files)
+    more = stored(links_across(members.withColumn("part", F.col("label")), wanted, sets, percent, files), "near-more")
+    labels = joined_labels(labels, more, files)
     # A group lies within a cluster, and a cluster's groups have been compared: what is left lies between clusters.
     compared = members.select("node", F.col("cluster").alias("part")).join(labels, "node", "left")
-    rest = mixed_buckets(shared, centers, compared, percent)
-    labels = joined_labels(labels, stored(links_across(rest, wanted, sets, percent), "near-rest"))
+    rest = mixed_buckets(shared, centers, compared, percent, files)
+    labels = joined_labels(labels, stored(links_across(rest, wanted, sets, percent, files), "near-rest"), files)
 
     named = classes.select("node", "rep").join(labels, "node", "left").select(
         "node", "rep", F.coalesce("label", "node").alias("label")
     )
-    named = stored(named, "near-named")
+    named = stored(named, "near-named", files)
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    groups = stored(named.join(stored(least, "near-least"), "label").select("node", "component_id"), "near-groups")
+    groups = stored(named.join(stored(least, "near-least", files), "label").select("node", "component_id"), "near-groups", files)
     found = features.select("doc_id", "n_shingles", "node").join(groups, "node", "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     component = F.when(linked, F.col("component_id")).otherwise(F.col("doc_id"))

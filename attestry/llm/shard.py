@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry.functions.ordering import position, running_total
-from attestry.llm.storage import stored
+from attestry.llm.storage import files_of, stored
 
 #: Expected number of sampled keys on the driver, at any input size.
 SAMPLE = 20_000
@@ -119,7 +119,8 @@ def assign_shards(
     def range_of(key: pd.Series) -> pd.Series:
         return pd.Series([bisect.bisect_right(splitters, k) for k in key], dtype="int64")
 
-    rows = rows.withColumn("_range", range_of("_group"))
+    # Else the inner join below lets Spark test it for null ahead of taking it: two Python processes a task.
+    rows = rows.withColumn("_range", range_of.asNondeterministic()("_group"))
     filled = rows.groupBy("_range").agg(F.sum("size").alias("_sum"), F.count("*").alias("_n")).collect()
     # Parts so that neither bytes nor rows of a range exceed its due; at most twice as many as ranges.
     count = sum(r["_n"] for r in filled)
@@ -165,7 +166,7 @@ def assign_shards(
     done = done.select(out).unionByName(
         rows.where("_whole is not null").withColumn("shard", F.col("_whole")).select(out)
     )
-    done = stored(done, "sharded")
+    done = stored(done, "sharded", files_of(number))
     return position(done, ["shard"], order, F.col("_cell"), "slot").select(
         "doc_id", "size", "text_crc32", "shard", "slot", F.col("_group").alias("text_key")
     )

@@ -24,12 +24,23 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir`` and read back.
+#: Rows of a stored table's documents, and shingles of theirs, that stand behind one file at least.
+FILE_ROWS, FILE_SHINGLES = 4096, 1_000_000
+
+
+def files_of(rows: int, shingles: int = 0) -> int:
+    """How many files a table needs that is derived from so many documents; it grows with them."""
+    return max(1, -(-rows // FILE_ROWS), -(-shingles // FILE_SHINGLES))
+
+
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """``df`` written below ``spark.checkpoint.dir`` and read back, in at most ``files`` files.
 
     Later steps read files that every executor reaches, so a lost executor
-    costs no recomputation of what came before.
+    costs no recomputation of what came before. Without ``files`` every partition is a file, however small.
     """
     path = shared_dir(df.sparkSession, name)
+    if files is not None:
+        df = df.coalesce(files)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm import decontaminate, language, mixing, neardup, shard
 from attestry.llm.bloom import maybe_in
-from attestry.llm.storage import bounded_batches, stored, table
+from attestry.llm.storage import bounded_batches, files_of, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -51,7 +51,7 @@ def once(docs: DataFrame, listed: DataFrame) -> DataFrame:
     """
     both = F.xxhash64("_id", "_text").alias("_both")
     several = listed.groupBy("_id", "_text").agg(F.count("*").alias("n")).where("n > 1").select(both)
-    several = stored(several, "repeated-rows")
+    several = stored(several, "repeated-rows", files_of(listed.count()))
     flagged = keyed(docs).withColumn("_both", both).withColumn("_maybe", maybe_in(several, "_both"))
     columns = ["row", "_id", "_text"]
     some = flagged.where("_maybe").select(columns).dropDuplicates(["_id", "_text"])
@@ -67,7 +67,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     bounded_batches(spark)
     found = neardup.near_duplicates(docs, width=5, percent=80).where("doc_id is not null")
     ids = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    touched = stored(ids.where("not kept or n > 1"), "touched-ids")
+    touched = stored(ids.where("not kept or n > 1"), "touched-ids", files_of(docs.count()))
     flagged = keyed(docs).withColumn(
         "_touched", maybe_in(touched.select("doc_id"), "doc_id") & F.col("doc_id").isNotNull()
     )
@@ -98,7 +98,7 @@ def split_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     bounded_batches(spark)
     placed = shard.assign_shards(docs, SHARDS)
     number = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
-    placed = stored(placed.select(number, F.col("text_key").alias("_text"), "shard", "slot"), "placed")
+    placed = stored(placed.select(number, F.col("text_key").alias("_text"), "shard", "slot"), "placed", files_of(docs.count()))
     return once(docs.drop("shard", "slot"), placed).join(placed, ["_id", "_text"]).select("row.*", "shard", "slot")
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from attestry.llm import neardup
+from attestry.llm import neardup, storage
 from attestry.llm.bloom import lookup
 from attestry.llm.graph import connected_components
 
@@ -186,3 +186,30 @@ def test_lookup_keeps_every_row_of_the_ids(spark):
     left = lookup(ids)(batch).column(0).to_pylist()
     assert set(range(-500, 500)) <= set(left) and len(left) < 1100
     assert lookup(ids.where("false"))(batch).num_rows == 0
+
+
+def test_small_tables_are_few_files(spark, monkeypatch, tmp_path):
+    """Files follow the documents, not the partitions of a shuffle, and the result is the same."""
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(240):
+        rng = random.Random(i // 4)
+        text = [rng.choice(words) for _ in range(60)]
+        text[i % 4 * 3] = f"own{i}"
+        rows.append((i, " ".join(text)))
+    wanted = brute_force(rows, 2, 80)
+    assert any(not kept for *_, kept in wanted)
+    monkeypatch.setattr(storage, "shared_dir", lambda _, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    parts, coalesce = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(parts), spark.conf.get(coalesce)
+    spark.conf.set(parts, "40")
+    spark.conf.set(coalesce, "false")
+    try:
+        found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2, 80)
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found.collect())
+    finally:
+        spark.conf.set(parts, before[0])
+        spark.conf.set(coalesce, before[1])
+    assert got == wanted
+    files = {p.name: len(list(p.glob("part-*"))) for p in tmp_path.iterdir()}
+    assert len(files) > 20 and max(files.values()) <= 3, files

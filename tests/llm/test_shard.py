@@ -4,6 +4,7 @@ import pytest
 from pyspark import SparkContext
 
 from attestry.llm import shard
+from attestry.llm.storage import stored
 
 
 def check(rows, docs, shards):
@@ -75,3 +76,20 @@ def test_short_lists_need_no_python_process(spark, monkeypatch):
 
     monkeypatch.setattr(SparkContext, "parallelize", refused)
     check(shard.assign_shards(df, 3).collect(), docs, 3)
+
+
+def test_ranges_are_looked_up_once(spark, monkeypatch):
+    """A task that looks up ranges runs one Python process, not a second one that only tests them for null."""
+    plans = []
+
+    def seen(df, name, *files):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name, *files)
+
+    monkeypatch.setattr(shard, "stored", seen)
+    docs = [(i, f"text number {i} " * 12) for i in range(300)]
+    check(shard.assign_shards(spark.createDataFrame(docs, "doc_id long, text string"), 3).collect(), docs, 3)
+    assert any("range_of" in plan for plan in plans)
+    for plan in plans:
+        for branch in plan.split("Scan parquet"):
+            assert branch.count("ArrowEvalPython") <= 1, plan
