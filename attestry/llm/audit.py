@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,22 +135,41 @@ def renumbered(block: pa.Table, numbers: pa.Table) -> pa.Table:
     return pa.table(shard | {"columns": _one(columns[order]), "counts": _one(counts[order])})
 
 
-def matrix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards to a row per document with its sum and its number of nonzero entries."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            starts = _rows(batch, at, "starts").to_numpy().astype(np.int64)
-            sums = np.concatenate([[0], np.cumsum(_rows(batch, at, "counts").to_numpy(), dtype=np.int64)])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": _rows(batch, at, "doc_ids"),
-                    "source": _rows(batch, at, "sources"),
-                    "words": pa.array(np.diff(sums[starts])),
-                    "distinct_words": pa.array(np.diff(starts)),
-                    **{n: _rows(batch, at, n) for n in ("upper", "points", "special")},
-                    "digest": _rows(batch, at, "digests"),
-                }
-            )
+def matrix_rows(shard: pa.Table) -> pa.Table:
+    """A shard to a row per document with its sum and its number of nonzero entries."""
+    shard = shard.combine_chunks().to_batches()[0]
+    starts = _rows(shard, 0, "starts").to_numpy().astype(np.int64)
+    sums = np.concatenate([[0], np.cumsum(_rows(shard, 0, "counts").to_numpy(), dtype=np.int64)])
+    return pa.table(
+        {
+            "doc_id": _rows(shard, 0, "doc_ids"),
+            "source": _rows(shard, 0, "sources"),
+            "words": pa.array(np.diff(sums[starts])),
+            "distinct_words": pa.array(np.diff(starts)),
+            **{n: _rows(shard, 0, n) for n in ("upper", "points", "special")},
+            "digest": _rows(shard, 0, "digests"),
+        }
+    )
+
+
+def _blocks_and_words(documents: DataFrame, id_column: str, text_column: str, source_column: str) -> tuple[DataFrame, DataFrame]:
+    """The stored blocks, and their words dealt to the parts of the dictionary."""
+    read = documents.select(
+        F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).cast("string").alias("source"), F.col(text_column).alias("text")
+    )
+    blocks = stored(read.mapInArrow(counted_blocks, BLOCK), "counted-blocks", group_rows=1)
+    parts = 1 + (blocks.agg(F.sum(F.size("words"))).first()[0] or 0) // PART
+    return blocks, blocks.select("block", "words").mapInArrow(
+        lambda batches: dealt_words(batches, parts), "block long, part long, first int, words array<string>"
+    )
+
+
+def _of_shards(blocks: DataFrame, listed: DataFrame, function: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What ``function`` gives for every shard, in the task that makes it: shards do not pass from process to process."""
+    numbers = listed.groupBy("part").applyInArrow(numbered_words, "block long, first int, numbers array<long>")
+    return blocks.drop("words").groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(
+        lambda block, ids: function(renumbered(block, ids)), schema
+    )
 
 
 def term_matrix(
@@ -164,16 +183,8 @@ def term_matrix(
     a task numbers about so many, and a word counts once per block, however frequent it is. An empty table gives no
     shards and no words.
     """
-    read = documents.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).cast("string").alias("source"), F.col(text_column).alias("text")
-    )
-    blocks = stored(read.mapInArrow(counted_blocks, BLOCK), "counted-blocks")
-    parts = 1 + (blocks.agg(F.sum(F.size("words"))).first()[0] or 0) // PART
-    listed = blocks.select("block", "words").mapInArrow(
-        lambda batches: dealt_words(batches, parts), "block long, part long, first int, words array<string>"
-    )
-    numbers = listed.groupBy("part").applyInArrow(numbered_words, "block long, first int, numbers array<long>")
-    shards = blocks.drop("words").groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(renumbered, SHARD)
+    blocks, listed = _blocks_and_words(documents, id_column, text_column, source_column)
+    shards = _of_shards(blocks, listed, lambda shard: shard, SHARD)
     return shards, listed.groupBy("part").applyInArrow(part_dictionary, "word string, number long")
 
 
@@ -186,8 +197,8 @@ def failed_filters(
     are neither larger nor smaller than others, so they never fail E and fail no other; rows of one id and text do not
     fail E for each other. Very long texts are counted whole. Columns other than the three named are not read.
     """
-    shards, _ = term_matrix(documents, id_column, text_column, source_column)
-    rows = stored(shards.mapInArrow(matrix_rows, DOCUMENT), "matrix-rows")
+    blocks, listed = _blocks_and_words(documents, id_column, text_column, source_column)
+    rows = stored(_of_shards(blocks, listed, matrix_rows, DOCUMENT), "matrix-rows")
     # Copies share a digest; a table of digests that several rows have is joined, and skewed ones may be split.
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
     rows = rows.join(firsts.drop("_n"), "digest", "left")

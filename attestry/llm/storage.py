@@ -33,14 +33,19 @@ def files_of(rows: int, shingles: int = 0) -> int:
     return max(1, -(-rows // FILE_ROWS), -(-shingles // FILE_SHINGLES))
 
 
-def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, files: int | None = None, group_rows: int | None = None) -> DataFrame:
     """``df`` written below ``spark.checkpoint.dir`` and read back, in at most ``files`` files.
 
     Later steps read files that every executor reaches, so a lost executor
     costs no recomputation of what came before. Without ``files`` every partition is a file, however small.
+    Rows of megabytes need ``group_rows``, the rows of a row group: a writer holds 100 rows before it looks at their
+    size, and a reader up to 4096, but neither more than a row group.
     """
     path = shared_dir(df.sparkSession, name)
     if files is not None:
         df = df.coalesce(files)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if group_rows is not None:
+        writer = writer.option("parquet.block.row.count.limit", str(group_rows))
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,11 +1,14 @@
 import itertools
 import re
 from collections import Counter
+from urllib.parse import unquote, urlparse
 
+import pyarrow.parquet as pq
 import pytest
 
 from attestry.llm import audit
 from attestry.llm.audit import ORDERS, failed_filters, filter_audit, term_matrix
+from attestry.llm.storage import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -124,3 +127,15 @@ def test_zero_rows_are_there(frame, spark, order):
 
 def test_five_filters():
     assert len(ORDERS) == 120 and audit.FILTERS == "ABCDE"
+
+
+def test_a_row_group_holds_one_block(frame, spark, monkeypatch):
+    """A writer would hold 100 blocks before it looks at their size, a reader all blocks of a file."""
+    kept = []
+    monkeypatch.setattr(audit, "stored", lambda df, name, **more: kept.append(stored(df, name, **more)) or kept[-1])
+    texts = [" ".join(f"w{i + n}" for i in range(250_000)) for n in range(5)]
+    documents = frame([(n, text, "s") for n, text in enumerate(texts)], "doc_id long, text string, source string").coalesce(1)
+    assert {r["flags"] for r in failed_filters(documents).collect()} == {0}
+    (file,) = kept[0].inputFiles()
+    groups = pq.ParquetFile(unquote(urlparse(file).path)).metadata
+    assert [groups.row_group(i).num_rows for i in range(groups.num_row_groups)] == [1] * 5
