@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.numbering import numbered
@@ -111,6 +111,14 @@ def letter_runs(
     return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the words, by sorting: neither is collected for a broadcast.
+
+    Spark would size a written table by its compressed files, and exploded words as the words themselves.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def node_pairs(words: DataFrame) -> DataFrame:
     """``word, n, left, right, skipped, first`` for every place of every word.
 
@@ -129,9 +137,9 @@ def node_pairs(words: DataFrame) -> DataFrame:
         ).alias("spelling"),
     )
     numbers = numbered(nodes.select("spelling"), "spelling", "trie-nodes")
-    both = nodes.join(numbers, "spelling").select("word", "place", "number", F.col("spelling").startswith("<").alias("forward"))
+    both = _joined(nodes, numbers, "spelling").select("word", "place", "number", F.col("spelling").startswith("<").alias("forward"))
 
-    def line(forward: bool) -> F.Column:
+    def line(forward: bool) -> Column:
         here = F.col("forward") if forward else ~F.col("forward")
         found = F.array_sort(F.collect_list(F.when(here, F.struct("place", "number"))))
         return found["number"]
@@ -142,7 +150,7 @@ def node_pairs(words: DataFrame) -> DataFrame:
     skips = """
         transform(sequence(0, length(word) - 1), i -> named_struct('left', lefts[i], 'right', rights[i + 1], 'skipped', true,
             'first', i = 0 or substr(word, i, 1) <> substr(word, i + 1, 1)))"""
-    return words.join(lines, "word").select("word", "n", F.explode(F.concat(F.expr(pair), F.expr(skips))).alias("_p")).select(
+    return _joined(words, lines, "word").select("word", "n", F.explode(F.concat(F.expr(pair), F.expr(skips))).alias("_p")).select(
         "word", "n", "_p.*"
     )
 
@@ -186,7 +194,7 @@ def roots(forms: DataFrame, name: str = "roots") -> DataFrame:
     while True:
         round_ += 1
         ahead = going.select(F.col("word").alias("_word"), F.col("to").alias("_next"))
-        stepped = going.join(ahead, F.col("to") == F.col("_word"), "left").select(
+        stepped = _joined(going, ahead, F.col("to") == F.col("_word"), "left").select(
             "word", F.coalesce("_next", "to").alias("to"), F.col("_next").isNotNull().alias("moved")
         )
         stepped = stored(stepped, f"{name}-{round_}")
@@ -206,7 +214,7 @@ def spelling_variants(
     table gives no rows. Other columns are not read.
     """
     words = stored(letter_runs(documents, damaged, id_column, text_column), "spelled-words")
-    near = words.join(near_words(words), "word", "left")
+    near = _joined(words, near_words(words), "word", "left")
     formed = -F.col("near._order") >= FACTOR * F.col("n")
     near = stored(
         near.select(
@@ -219,6 +227,6 @@ def spelling_variants(
         "near-words",
     )
     ends = roots(near.where("form is not null"))
-    return near.join(ends, "word", "left").select(
+    return _joined(near, ends, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from attestry.llm import spelling
 from attestry.llm.spelling import checksums, letters, roots, spelling_variants
 from attestry.llm.words import Words
 
@@ -85,6 +86,22 @@ def test_empty_table(nothing):
     assert spelling_variants(nothing).count() == 0
 
 
+def test_no_join_collects_words_for_a_broadcast(spark, monkeypatch):
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    kept = spelling.stored
+    monkeypatch.setattr(spelling, "stored", lambda df, name, **more: kept(planned(df), name, **more))
+    text = "banana banana banana banana banana banana banena banena banena"
+    found = planned(spelling_variants(spark.createDataFrame([(1, text)], "doc_id long, text string"), None))
+    assert {(r["word"], r["root"]) for r in found.collect()} == {("banana", "banana"), ("banena", "banana")}
+    assert sum(plan.count("SortMergeJoin") for plan in plans) >= 5
+    assert not [plan for plan in plans if "Broadcast" in plan]
+
+
 def test_chains_end_at_the_last_form(spark):
     chain = [(f"w{i:03}", f"w{i + 1:03}") for i in range(50)] + [("x", "y")]
     found = {r["word"]: r["root"] for r in roots(spark.createDataFrame(chain, "word string, form string")).collect()}
